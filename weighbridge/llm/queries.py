@@ -6,9 +6,13 @@ import importlib
 
 #: query -> module of this package that holds it
 WHERE = {
+    "op1_chat_format": "chat",
     "op2_url_filter": "url_filter",
     "op3_quality_rules": "quality_rules",
     "op4_exact_dedup": "exact_dedup",
+    "op7_source_mix": "mixing",
+    "op9_ngram_jaccard": "jaccard_join",
+    "op10_language_id": "langid",
 }
 
 
@@ -21,5 +25,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .exact_dedup import OP4_SQL
+    from .jaccard_join import OP9_SQL
 
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}
