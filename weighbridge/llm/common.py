@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -48,3 +49,8 @@ def is_held_out(key: Column, modulus: int, remainder: int) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Broadcast df only when its counted size is under limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with more fields; StructType.add would change the given one."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

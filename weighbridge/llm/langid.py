@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table
+from .common import is_held_out, table, with_fields
 
 BUCKETS = 1 << 14
 PIECE = 1 << 20
@@ -114,8 +114,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             cols = [batch[c] for c in keep] + [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score", "ambiguous"])
 
-    schema = docs.select(*keep).schema
-    return docs.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
+    return docs.mapInArrow(run, with_fields(docs.select(*keep).schema, "lang_pred string, score double, ambiguous boolean"))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

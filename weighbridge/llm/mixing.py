@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, table, written
+from .common import WORD, broadcast_if_small, table, with_fields, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
@@ -121,7 +121,7 @@ def balanced(units: DataFrame, block_rows: int = 20_000, seed: int = 7) -> DataF
     while most:
         blocks = math.ceil(most / block_rows)
         block = F.pmod(F.xxhash64("order", F.lit(level)), F.lit(blocks))
-        flown = written(open_.withColumn("block", block).groupBy("rank", "block").applyInPandas(_fly(blocks == 1, seed + level), open_.schema.add("block", "long")).drop("block"), "mix-flown")
+        flown = written(open_.withColumn("block", block).groupBy("rank", "block").applyInPandas(_fly(blocks == 1, seed + level), with_fields(open_.schema, "block long")).drop("block"), "mix-flown")
         done.append(flown.filter("pi in (0.0, 1.0)"))
         open_, level = flown.filter("pi not in (0.0, 1.0)"), level + 1
         most = 2 * blocks if blocks > 1 else 0

@@ -10,7 +10,10 @@ WHERE = {
     "op2_url_filter": "url_filter",
     "op3_quality_rules": "quality_rules",
     "op4_exact_dedup": "exact_dedup",
+    "op5_sentencepiece": "sentencepiece_codec",
+    "op6_license_scan": "license_scan",
     "op7_source_mix": "mixing",
+    "op8_suffix_tree_score": "suffix_tree_lm",
     "op9_ngram_jaccard": "jaccard_join",
     "op10_language_id": "langid",
 }
