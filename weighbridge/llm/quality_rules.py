@@ -36,8 +36,20 @@ aggregate(
     p -> aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1), x + 3) - x)), 0L, (a, x) -> a + x)),
   0L, (a, x) -> a + x)"""
 _REPEATED = f"""
-case when n_words < 3 or size(array_distinct(windows)) = size(windows) then 0L
-     else transform(array(sort_array(transform(windows, (x, k) -> struct(x as h, k as i)))), s -> {_COVERED})[0] end"""
+transform(array(of_words.windows), h ->
+  if(size(array_distinct(h)) = size(h), 0L,
+     transform(array(sort_array(transform(h, (x, k) -> struct(x as h, k as i)))), s -> {_COVERED})[0]))[0]"""
+# Everything that needs the words takes them as one lambda argument, so the text
+# is split once however the optimiser merges projections.
+_OF_WORDS = f"""
+transform(array(regexp_extract_all(_t, r'{WORD}', 0)), w -> named_struct(
+  'n_words', cast(size(w) as bigint),
+  'word_chars', cast(length(array_join(w, '')) as bigint),
+  'n_distinct', cast(size(array_distinct(w)) as bigint),
+  'windows', transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, k) -> xxhash64(x, get(w, k + 1), get(w, k + 2)))))[0]"""
+_OF_LINES = f"""
+transform(array(filter(split(_t, '\n'), x -> x rlike r'[^{SPACE}]')), l -> named_struct(
+  'n_lines', cast(size(l) as bigint), 'n_dup_lines', cast(size(l) - size(array_distinct(l)) as bigint)))[0]"""
 
 
 def only(text: Column, kept: str) -> Column:
@@ -47,22 +59,19 @@ def only(text: Column, kept: str) -> Column:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the statistics of every whole text; a null text has none (all counts 0)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_t", text).withColumn("words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
-    df = df.withColumn("lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    df = df.withColumn("n_words", F.size("words").cast("long"))
-    df = df.withColumn("windows", F.expr("if(n_words < 3, array(), transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, k) -> xxhash64(w, get(words, k + 1), get(words, k + 2))))"))
+    df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumn("of_words", F.expr(_OF_WORDS)).withColumn("of_lines", F.expr(_OF_LINES))
     return df.select(
         *docs.columns,
-        "n_words",
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "of_words.n_words",
+        "of_words.word_chars",
         only(F.col("_t"), r"#*$%&|<>").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
+        "of_lines.n_lines",
+        "of_lines.n_dup_lines",
+        F.expr(_REPEATED).alias("n_repeat_words"),
         only(F.col("_t"), "A-Z").alias("n_upper"),
         only(F.col("_t"), "!?").alias("n_marks"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        "of_words.n_distinct",
     )
 
 
@@ -163,7 +172,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     A null or empty text has no word and fails the base rule. Columns of docs
     that share a name with an added one are replaced.
     """
-    added = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct", "words", "lines", "windows", "_t", "base_failed", "rule", "kept", *FEATURES}
+    added = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct", "of_words", "of_lines", "_t", "base_failed", "rule", "kept", *FEATURES}
     df = with_features(statistics(docs.drop(*(added & set(docs.columns)))))
     verdict: Column = F.lit(None).cast("string")
     for rule in reversed(rules):
