@@ -181,7 +181,7 @@ def mid_pit(rows: DataFrame, fitted: DataFrame, level: str, count: str) -> DataF
 
 def variance_components(features: DataFrame) -> DataFrame:
     """Pooled within mean square and between-row variance of the means, per signal."""
-    return features.filter("n_obs > 1").groupBy("signal").agg(F.count(F.lit(1)).alias("rows"), F.try_divide(F.sum("within_ss"), F.sum(F.col("n_obs") - 1)).alias("within_ms"), F.var_samp("within_mean").alias("between"), F.avg(1.0 / F.col("n_obs")).alias("mean_inverse_n"))
+    return features.filter("n_obs > 1").groupBy("signal").agg(F.count(F.lit(1)).alias("rows"), F.try_divide(F.sum("within_ss"), F.sum(F.col("n_obs") - 1)).alias("within_ms"), F.var_samp("within_mean").alias("between_var"), F.avg(1.0 / F.col("n_obs")).alias("mean_inverse_n"))
 
 
 def binomial_intensity(rows: DataFrame, keys: list[str], a: str, exposure: str, pool: int, iterations: int = 25) -> DataFrame:

@@ -82,7 +82,7 @@ def masked(spark, d) -> DataFrame:
 def feature_grid(spark, d) -> DataFrame:
     m = masked(spark, d)
     grid = features.signal_features(people(spark, d), ranges(spark), features.surviving(binned(spark, d), m, "user_id"), m, "user_id", BINS, HALF, SPAN)
-    return grid.withColumn("within_ss", F.round("within_ss", 3) + F.lit(0.0))  # large sums: fewer places are the same everywhere
+    return grid.withColumn("within_ss", F.round("within_ss", 1) + F.lit(0.0))  # large sums: fewer places are the same everywhere
 
 
 def evidence(spark, d, parity: int | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ lat AS (SELECT * FROM hourly ANTI JOIN masked USING (user_id, signal, bin))"""
 GRID = MASKED + """,
 seen AS (SELECT user_id, signal, count(*) AS n_obs, count_if(bin_med < ref_low) AS k_low, count_if(bin_med BETWEEN ref_low AND ref_high) AS k_mid, count_if(bin_med > ref_high) AS k_high,
   quantile_disc(bin_med, 0.05) AS q05, quantile_disc(bin_med, 0.95) AS q95, quantile_disc(bin_med, 0.5) AS value_median, min(bin_min) AS value_min, max(bin_max) AS value_max,
-  avg(bin_med) AS within_mean, round(var_pop(bin_med) * count(*), 3) + 0.0 AS within_ss, avg(bin_max - bin_min) AS range_mean, sum(n_raw)::BIGINT AS n_raw,
+  avg(bin_med) AS within_mean, round(var_pop(bin_med) * count(*), 1) + 0.0 AS within_ss, avg(bin_max - bin_min) AS range_mean, sum(n_raw)::BIGINT AS n_raw,
   covar_pop(bin_med, bin) AS cov, var_pop(bin) AS va, count_if(bin < 12) AS early, count_if(bin >= 12) AS late,
   min(bin) FILTER (bin_med < ref_low) AS first_low, min(bin) FILTER (bin_med > ref_high) AS first_high, min(bin) AS first_bin, max(bin) AS last_bin
   FROM lat JOIN ranges USING (signal) GROUP BY ALL),

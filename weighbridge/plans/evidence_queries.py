@@ -72,10 +72,11 @@ def ordinal_residuals(spark, d):
     return B.rounded(L.mid_pit(rows, L.ordinal_residual(cells, ["signal"]), "level", "k_high").select("user_id", "signal", "level", "residual"))
 
 
-@query("variance_components", B.sql(B.GRID, "SELECT signal, count(*) AS rows, sum(within_ss) / sum(n_obs - 1) AS within_ms, var_samp(within_mean) AS between, avg(1 / n_obs) AS mean_inverse_n FROM grid WHERE n_obs > 1 GROUP BY 1", "within_ms between mean_inverse_n".replace("between", '"between"')).replace(" AS between,", ' AS "between",'))
+@query("variance_components", B.sql(B.GRID, "SELECT signal, count(*) AS rows, sum(within_ss) / sum(n_obs - 1) AS within_ms, var_samp(within_mean) AS between_var, avg(1 / n_obs) AS mean_inverse_n FROM grid WHERE n_obs > 1 GROUP BY 1", "within_ms between_var mean_inverse_n", 4))
 def variance_components(spark, d):
     """L8."""
-    return B.rounded(L.variance_components(B.feature_grid(spark, d)))
+    v = L.variance_components(B.feature_grid(spark, d))
+    return v.select("signal", "rows", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("within_ms", "between_var", "mean_inverse_n")])
 
 
 @query("binomial_intensity")
