@@ -1,13 +1,14 @@
 """N-gram Jaccard join of word-shingle sets, with set-relation skipping.
 
 Exact for the threshold: an overlap of t * |x| or more forces two sets to share
-at least min(l(x), l(y)) of their first |x| - ceil(t|x|) + l(x) members in any
-common order, so only these prefixes are indexed. Members met often in a
-bounded sample come last in that order; the order affects cost, never results.
+one of their first |x| - ceil(t|x|) + 1 members in any common order, so only
+these prefixes are indexed. Members met often in a sample of the rows come last
+in that order; the order affects cost, never results.
 
 * Equal sets are one class, which is one entry of every index list.
-* Lists are sorted by set size; entries whose size cannot reach the threshold
-  are skipped as a block, entries whose positions leave too little to share singly.
+* Lists are sorted by set size: entries whose size cannot reach the threshold
+  are skipped as a block, as are those whose positions leave too few members to
+  share if this were the first shared one (a true pair passes at its first).
 * Answers are derived from highly similar sets: star rounds first compare every
   set with one well-connected set of its lists. What is then in one component
   needs no pair; and where both members of a pair were compared with one and
@@ -118,13 +119,8 @@ def signature(s: np.ndarray) -> int:
     return int(mixed(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0
 
 
-def slack(n):
-    """l(x): members that two similar prefixes share at least."""
-    return 1 + n // 20
-
-
 def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + slack(n))
+    return n - -(-percent * n // 100) + 1
 
 
 def documents(docs: DataFrame, size: int) -> DataFrame:
@@ -139,19 +135,23 @@ def documents(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, text_key long, n long, sig long")
 
 
-def frequent_members(docs: DataFrame, total: int, size: int, sample_members: int = 4_000_000, most: int = 50_000) -> np.ndarray:
-    """Members found in three or more of the sampled rows, commonest last. Both bounds are fixed, so is the result's size."""
-    share = min(1.0, sample_members / max(1, total))
+def frequent_members(docs: DataFrame, size: int, share: float = 0.1, least: int = 3, most: int = 300_000) -> np.ndarray:
+    """Members found in `least` or more of a fixed share of the rows, commonest last; at most `most` of them (8 bytes each).
+
+    With a fixed share, a list whose members stay undetected has a length that
+    does not grow with the corpus.
+    """
 
     def run(batches):
         shingler = Shingler(size)
         for b in batches:
-            for s in shingler.sets(b["text"]):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
+            found = list(shingler.sets(b["text"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
     sample = docs.filter(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    met = sample.mapInArrow(run, "token long").groupBy("token").count().filter("count > 2").orderBy(F.desc("count"), "token").limit(most)
-    return np.array([r["token"] for r in met.collect()][::-1], np.int64).view(np.uint64)
+    met = sample.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most)
+    return met.select("token").toArrow()["token"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def index_rows(docs: DataFrame, size: int, percent: int, late: np.ndarray) -> DataFrame:
@@ -234,10 +234,12 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """lists with comp. a < b, n_a, n_b, shared: pairs of different components that pass size and position filters, with the number of lists they share."""
+    """lists with comp, near, far (the set it was compared with and the distance). a < b: pairs of different
+    components that no filter settles: size, position, and the triangle inequality over a set both were compared with."""
+    apart = 1 - percent / 100 + 1e-9
 
     def run(batches):
-        for g in _whole_lists(batches, ["token", "sig", "n", "pos", "comp"]):
+        for g in _whole_lists(batches, ["token", "sig", "n", "pos", "comp", "near", "far"]):
             t = g["token"]
             edges = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
             found: list[np.ndarray] = []
@@ -245,26 +247,21 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
                 comp = g["comp"][lo:hi]
                 if hi - lo < 2 or (comp == comp[0]).all():
                     continue
-                n, pos, sig = g["n"][lo:hi].astype(np.int64), g["pos"][lo:hi].astype(np.int64), g["sig"][lo:hi]
+                n, rest, sig, near, far = g["n"][lo:hi].astype(np.int64), (g["n"][lo:hi] - g["pos"][lo:hi]).astype(np.int64), g["sig"][lo:hi], g["near"][lo:hi], g["far"][lo:hi]
                 ends = np.searchsorted(n, 100 * n // percent, "right")  # sizes beyond are skipped as a block
-                for i in range(hi - lo - 1):
-                    if ends[i] <= i + 1:
-                        continue
+                able = rest * (100 + percent) >= 2 * percent * n  # its own position leaves enough for a partner of its size
+                for i in np.flatnonzero((ends > np.arange(1, hi - lo + 1)) & able):
                     js = slice(i + 1, ends[i])
-                    bound = np.minimum(pos[i], pos[js]) + 1 + np.minimum(n[i] - 1 - pos[i], n[js] - 1 - pos[js])
-                    ok = (comp[js] != comp[i]) & (bound * (100 + percent) >= percent * (n[i] + n[js]))
+                    ok = (comp[js] != comp[i]) & (np.minimum(rest[i], rest[js]) * (100 + percent) >= percent * (n[i] + n[js]))
+                    ok &= (near[js] != near[i]) | (np.abs(far[js] - far[i]) <= apart)
                     other = sig[js][ok]
                     if len(other):
-                        mine = np.full(len(other), sig[i])
-                        low = other < mine
-                        found.append(np.stack([np.where(low, other, mine), np.where(low, mine, other), np.where(low, n[js][ok], n[i]), np.where(low, n[i], n[js][ok])]))
+                        found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])]))
             if found:
-                rows, counts = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows] + [pa.array(counts.astype(np.int64))], ["a", "b", "n_a", "n_b", "shared"])
+                rows = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b"])
 
-    got = lists.repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
-    got = got.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return got.filter("shared >= least(1 + n_a div 20, 1 + n_b div 20)")
+    return lists.repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -316,10 +313,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, rounds
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(ID_LAST)).alias("id"), F.col(text_col).alias("text"))
     keyed = given.withColumn("text_key", F.xxhash64("text"))
     known = written(documents(keyed, size), "jj-documents")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    late = frequent_members(given, total, size)
+    late = frequent_members(given, size)
     lists = written(shared_lists(index_rows(given, size, percent, late)), "jj-lists")
-    weight = written(lists.groupBy("sig").agg(F.avg("df").alias("weight"), F.first("n").alias("n")), "jj-classes")
+    # how many others a set's indexed members meet on average; members that no other set has count as none
+    indexed = F.first("n") - F.ceil(F.first("n") * percent / 100) + 1
+    weight = written(lists.groupBy("sig").agg((F.sum("df") / indexed).alias("weight")), "jj-classes")
     n_classes = weight.count()
     links = None
     if n_classes:
@@ -346,39 +344,36 @@ def _links(lists, weight, n_classes, texts, percent, size, rounds) -> DataFrame:
     seen = spark.createDataFrame([], "a long, b long, overlap long, united long")
     is_link = F.col("overlap") * 100 >= percent * F.col("united")
     comp = weight.select("sig", F.col("sig").alias("comp"))
-    for k in range(rounds + 1):
-        at = lists.join(broadcast_if_small(comp, n_classes, 32), "sig")
-        if k == rounds:
-            pairs = open_pairs(at.select("token", "sig", "n", "pos", "comp"), percent).select("a", "b")
-            pairs = _not_settled(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), seen, percent)
-        else:
-            order = F.col("weight") if k == 0 else F.xxhash64("sig", F.lit(k)).cast("double")
-            at = at.join(broadcast_if_small(weight.select("sig", "weight"), n_classes, 32), "sig").withColumn("order", order)
-            top = F.max(F.struct("order", "sig", "comp", "n")).over(Window.partitionBy("token"))
-            met = at.withColumn("top", top).filter((F.col("top.comp") != F.col("comp")) & (F.least("n", "top.n") * 100 >= percent * F.greatest("n", "top.n")))
-            met = met.groupBy("sig", F.col("top.sig").alias("pivot")).count()
-            best = met.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("m")).select("sig", F.col("m.pivot").alias("pivot"))
-            pairs = best.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    early = lists.filter((F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n"))  # enough to meet one's like
+    for k in range(rounds):
+        order = F.col("weight") if k == 0 else F.col("weight") * (1 + F.pmod(F.xxhash64("sig", F.lit(k)), F.lit(1000)) / 1000.0)
+        about = comp.join(weight.select("sig", "weight"), "sig")
+        at = early.select("token", "sig", "n").join(broadcast_if_small(about, n_classes, 48), "sig").withColumn("order", order)
+        top = F.max(F.struct("order", "sig", "comp", "n")).over(Window.partitionBy("token"))
+        met = at.withColumn("top", top).filter((F.col("top.comp") != F.col("comp")) & (F.least("n", "top.n") * 100 >= percent * F.greatest("n", "top.n")))
+        met = met.groupBy("sig", F.col("top.sig").alias("pivot")).count()
+        best = met.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("m")).select("sig", F.col("m.pivot").alias("pivot"))
+        pairs = best.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
         new = written(compared(pairs, texts, size), "jj-compared")
         seen = seen.unionByName(new)
-        if k < rounds:
-            if new.filter(is_link).isEmpty() and k:
-                continue
+        n_new = new.filter(is_link).count()
+        if n_new:
             found = components(seen.filter(is_link).select("a", "b")).withColumnRenamed("node", "sig")
             comp = written(weight.select("sig").join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "jj-comp")
-    return seen.filter(is_link).select("a", "b")
-
-
-def _not_settled(pairs: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Without the pairs of which both members were compared with one set at distances that differ too much."""
-    distance = 1 - F.col("overlap") / F.col("united")
-    to = seen.select(F.col("a").alias("x"), F.col("b").alias("p"), distance.alias("d")).unionByName(seen.select(F.col("b").alias("x"), F.col("a").alias("p"), distance.alias("d")))
-    # one comparison per set is enough to derive from: the nearest set it was compared with
-    nearest = to.groupBy("x").agg(F.min(F.struct("d", "p")).alias("m")).select(F.col("x").alias("a"), F.col("m.p").alias("p"), F.col("m.d").alias("d_a"))
-    near = pairs.join(nearest, "a", "left")
-    other = near.join(to.select(F.col("x").alias("b"), "p", F.col("d").alias("d_b")).dropDuplicates(["b", "p"]), ["b", "p"], "left")
-    settled = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) > 1 - percent / 100 + 1e-9, F.lit(False))
-    return other.filter(~settled).select("a", "b")
+        if n_new * 1000 < n_classes:  # another round would hardly join anything
+            break
+    distance = (1 - F.col("overlap") / F.col("united")).alias("d")
+    to = seen.select(F.col("a").alias("sig"), F.col("b").alias("p"), distance).unionByName(seen.select(F.col("b").alias("sig"), F.col("a").alias("p"), distance))
+    # each set keeps its distance to the most compared of the sets that it was compared with
+    times = to.groupBy("p").agg(F.count(F.lit(1)).alias("times"))
+    nearest = to.join(times, "p").groupBy("sig").agg(F.max(F.struct("times", "p", "d")).alias("m")).select("sig", F.col("m.p").alias("near"), F.col("m.d").alias("far"))
+    centres = nearest.select(F.col("near").alias("sig")).distinct().withColumn("own", F.lit(True))
+    about = written(comp.join(nearest, "sig", "left").join(centres, "sig", "left"), "jj-about")
+    near = F.when(F.col("own"), F.col("sig")).otherwise(F.coalesce("near", "sig"))
+    about = about.select("sig", "comp", near.alias("near"), F.when(F.col("own") | F.col("near").isNull(), 0.0).otherwise(F.col("far")).alias("far"))
+    at = lists.drop("df").join(broadcast_if_small(about, n_classes, 48), "sig")
+    pairs = open_pairs(at, percent).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    return seen.unionByName(written(compared(pairs, texts, size), "jj-compared")).filter(is_link).select("a", "b")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
