@@ -197,10 +197,10 @@ def _replicates(spark, d):
     a, b = B.vectors(spark, d)
     long = A.attribution_set({"a": a, "b": b}, "vec_id").withColumn("bag", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     factor = F.lit(1.0) + F.col("bag") * (F.col("vec_id") % 5 + F.col("ord") % 3 - 3) / 20.0
-    return long.withColumn("a", F.round(F.col("a") * factor, 4)).withColumn("replicate", F.concat_ws("-", "method", "bag"))
+    return long.withColumn("a", F.col("a") * factor).withColumn("replicate", F.concat_ws("-", "method", "bag"))
 
 
-REPS = V + """, reps AS (SELECT method, vec_id, signal, ord, bag::BIGINT AS bag, round(a * (1 + bag * (vec_id % 5 + ord % 3 - 3) / 20), 4) AS a, method || '-' || bag AS replicate
+REPS = V + """, reps AS (SELECT method, vec_id, signal, ord, bag::BIGINT AS bag, a * (1 + bag * (vec_id % 5 + ord % 3 - 3) / 20) AS a, method || '-' || bag AS replicate
 FROM (SELECT 'a' AS method, vec_id, signal, ord, a FROM va UNION ALL SELECT 'b', vec_id, signal, ord, b FROM vb), range(3) r(bag))"""
 
 
