@@ -24,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE = 400_000
+CACHE, LEARN = 150_000, 4096
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -150,7 +150,7 @@ class Encoder:
         for s, e, r in zip(new, got, self.reference.encode(given, num_threads=1)):
             ids = e.ids
             self.ids[s] = np.array(ids, np.int32).tobytes()
-            if ids != r:
+            if ids != (r if s != MARK else [self.reference.piece_to_id(MARK)]):  # a text cannot be the marker alone
                 self.unequal.add(s)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
@@ -164,24 +164,36 @@ class Encoder:
             self.ids.clear()
             self.unequal.clear()
         new = list({s for p in parts for s in p if s not in self.ids})
-        if new:
-            self.learn(new)
+        for at in range(0, len(new), LEARN):
+            self.learn(new[at : at + LEARN])
         get = self.ids.__getitem__
         return [b"".join(map(get, p)) for p in parts], [not self.unequal or self.unequal.isdisjoint(p) for p in parts]
 
 
+class Decoder:
+    """Ids back to text: piece bytes joined, markers as spaces, byte pieces as their bytes."""
+
+    def __init__(self, model: Model):
+        self.piece, self.prefix = model.piece_bytes().__getitem__, model.dummy_prefix
+
+    def text(self, ids: list[int]) -> str:
+        data = b"".join(map(self.piece, ids))
+        return (data.removeprefix(b" ") if self.prefix else data).decode("utf-8", "replace")
+
+
 def _lists(data: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(d) // 4 for d in data])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int32)))
 
 
-def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_rows: int = 256) -> DataFrame:
-    """Adds ids (array<int>) and parity (the sentencepiece library gives the same ids) to docs.
+def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_rows: int = 64, check_decoding: bool = False) -> DataFrame:
+    """Adds ids (array<int>) and parity (the sentencepiece library gives the same ids) to docs;
+    with check_decoding also decodes: whether the ids decode to the text.
 
     A null text has null ids and null parity; an empty one has no ids. Columns of docs named
     ids or parity are replaced. The model is a file of bounded size and goes to the executors with the code.
     """
-    docs = docs.drop("ids", "parity")
+    docs = docs.drop("ids", "parity", "decodes")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +201,7 @@ def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_row
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         coder = Encoder(Model(model_data))
+        decoder = Decoder(coder.model)
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
@@ -198,32 +211,28 @@ def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_row
                 lists = _lists(ids)
                 if missing.any():
                     lists = pa.array([None if m else x for m, x in zip(missing, lists.to_pylist())], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists, pa.array([None if m else s for m, s in zip(missing, same)], pa.bool_())], [*names, "ids", "parity"])
+                columns = [*(part[c] for c in names), lists, pa.array([None if m else s for m, s in zip(missing, same)], pa.bool_())]
+                if check_decoding:
+                    columns.append(pa.array([None if t is None else decoder.text(np.frombuffer(i, np.int32).tolist()) == t for t, i in zip(texts, ids)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "parity", "decodes"][: len(columns)])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>, parity boolean"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>, parity boolean" + ", decodes boolean" * check_decoding))
 
 
-def decode(coded: DataFrame, model_data: bytes, ids_col: str = "ids", out_col: str = "decoded", drop: tuple[str, ...] = (), compare: str | None = None) -> DataFrame:
-    """Adds the text of an id array; null for null ids. With `compare`, adds instead whether it equals that column."""
-    names = [c for c in coded.columns if c not in (*drop, out_col)]
+def decode(coded: DataFrame, model_data: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds the text of an id array; null for null ids. A column of that name is replaced."""
+    coded = coded.drop(out_col)
+    names = coded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_data)
-        of = model.piece_bytes().__getitem__
+        decoder = Decoder(Model(model_data))
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for ids in part[ids_col].to_pylist():
-                    text = None if ids is None else b"".join(map(of, ids))
-                    if text is not None and model.dummy_prefix:
-                        text = text.removeprefix(b" ")
-                    out.append(None if text is None else text.decode("utf-8", "replace"))
-            made = pa.array(out, pa.string()) if compare is None else pa.array([a is not None and a == b for a, b in zip(out, batch[compare].to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), made], [*names, out_col])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = pa.array([None if ids is None else decoder.text(ids) for ids in part[ids_col].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), made], [*names, out_col])
 
-    schema = with_fields(coded.select(*names).schema, f"`{out_col}` {'string' if compare is None else 'boolean'}")
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(run, with_fields(coded.schema, f"`{out_col}` string"))
 
 
 def model_bytes(path: str = MODEL) -> bytes:
@@ -232,9 +241,9 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 
 def coded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    data = model_bytes(path)
-    out = decode(encode(docs.select("doc_id", "text"), data), data, out_col="decodes", drop=("text",), compare="text")
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "parity", "decodes")
+    """doc_id, n_tokens, ids, parity, decodes of every row; a null text has 0 tokens and nulls."""
+    out = encode(docs.select("doc_id", "text"), model_bytes(path), check_decoding=True)
+    return out.select("doc_id", F.greatest(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "parity", "decodes")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
