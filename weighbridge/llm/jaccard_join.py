@@ -92,7 +92,11 @@ class Shingler:
         return first, mixed(out + (after - first).astype(np.uint64) * np.uint64(BASE))
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The sorted distinct shingle digests of each text; empty for null and for no word."""
+        """The sorted distinct shingle digests of each text; empty for null and for no word. Few texts at a time bound the memory."""
+        for at in range(0, len(texts), 256):
+            yield from self._sets(texts.slice(at, 256))
+
+    def _sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         texts = texts.fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
