@@ -21,7 +21,7 @@ def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weighbridge-")
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: one file or a folder of files
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/lattice")
