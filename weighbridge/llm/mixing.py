@@ -33,7 +33,10 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
-    """One row per source: source, source_size, documents, target, rank. Ordered by code point, null last."""
+    """One row per source: source, source_size, documents, target, rank. Ordered by code point, null last.
+
+    Only this table, a row for each source, is ranked in one task; documents never are.
+    """
     per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
     per = per.withColumn("rank", rank)
