@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +132,7 @@ class Encoder:
         self.plain.normalizer = normalizers.Sequence([])
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.data)
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation before: what is met again moves on, the rest is forgotten
         self.unequal: set[str] = set()
 
     def stretches(self, text: str) -> list[str]:
@@ -149,7 +151,7 @@ class Encoder:
         given = [s.replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :] for s in new]
         for s, e, r in zip(new, got, self.reference.encode(given, num_threads=1)):
             ids = e.ids
-            self.ids[s] = np.array(ids, np.int32).tobytes()
+            self.ids[s] = array("i", ids).tobytes()
             if ids != (r if s != MARK else [self.reference.piece_to_id(MARK)]):  # a text cannot be the marker alone
                 self.unequal.add(s)
 
@@ -161,9 +163,15 @@ class Encoder:
             return [np.array(g, np.int32).tobytes() for g in got], same
         parts = [self.stretches(t) for t in texts]
         if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.unequal.clear()
-        new = list({s for p in parts for s in p if s not in self.ids})
+            self.before, self.ids = self.ids, {}
+        known, before, new = self.ids, self.before, []
+        for s in set().union(*parts):
+            if s not in known:
+                ids = before.get(s)
+                if ids is None:
+                    new.append(s)
+                else:
+                    known[s] = ids
         for at in range(0, len(new), LEARN):
             self.learn(new[at : at + LEARN])
         get = self.ids.__getitem__
@@ -200,6 +208,7 @@ def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_row
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a task's own threads; more would only contend with other tasks
         coder = Encoder(Model(model_data))
         decoder = Decoder(coder.model)
         for batch in batches:
