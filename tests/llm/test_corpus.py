@@ -254,17 +254,38 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, rows):
 
 
 def test_whole_text_path_equals_stretches():
+    import dataclasses
+
+    import pyarrow as pa
+    import sentencepiece
+
     from weighbridge.llm import sentencepiece_codec as P
 
     m = P.Model(P.model_bytes())
-    a, b = P.Encoder(m), P.Encoder(m)
-    assert m.kind == 2 and m.byte_fallback and m.separable
-    texts = ["Hello  world", " lead", "trail ", "", "a\u2581b", "\n\t x", "emoji \U0001f600", "   "]
-    fast = a.encode(texts)
-    m2 = P.Model(P.model_bytes())
-    m2.separable = False
-    b.model = m2
-    assert fast == b.encode(texts)
+    plan = P.Plan.of(m)
+    assert m.kind == 2 and m.byte_fallback and plan.separable and plan.verbatim and plan.by_line
+    texts = ["Hello  world", " lead", "trail ", "", "a\u2581b", "\n\t x", "emoji \U0001f600", "   ", "one two.\nThree four\n\nfive", "\n", "a \nb", "x\n", "\x00 y", "Hello world"]
+    ref = sentencepiece.SentencePieceProcessor(model_proto=m.data)
+    want = [ref.encode(t) for t in texts]
+    for p in (plan, dataclasses.replace(plan, separable=False), dataclasses.replace(plan, by_line=False)):
+        for given in (texts, texts[8:10], []):
+            ids, same = P.Encoder(p).encode(pa.array(given, pa.string()))
+            assert ids.to_pylist() == [w for t, w in zip(texts, want) if t in given] and same.all() and len(same) == len(given)
+            decoder, batch = P.Decoder(p), pa.array(given, pa.string())
+            assert decoder.texts(ids) == [t.replace(P.MARK, " ") for t in given]
+            assert decoder.gives(ids, batch).tolist() == [P.MARK not in t for t in given]
+
+
+def test_batches_are_cut_by_bytes_without_losing_rows(monkeypatch):
+    import pyarrow as pa
+
+    from weighbridge.llm import sentencepiece_codec as P
+
+    monkeypatch.setattr(P, "SLICE", 10)
+    texts = ["a" * 4, None, "b" * 7, "c" * 50, "", None, "d"]
+    parts = list(P.slices(pa.RecordBatch.from_pydict({"text": pa.array(texts)}), "text"))
+    assert [x for p in parts for x in p["text"].to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [2, 1, 1, 3] and not list(P.slices(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), "text"))
 
 
 # --- 6 licences -------------------------------------------------------------------------

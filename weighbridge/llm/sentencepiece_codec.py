@@ -2,9 +2,10 @@
 
 The model protobuf is parsed here and rebuilt as a tokenizers pipeline:
 normaliser, metaspace marker, unigram scores or BPE merges, byte fallback.
-Where no piece of the vocabulary runs across a marker, a text's ids are those
-of its marker-separated stretches; each distinct stretch is then encoded once
-per task (in multithreaded batches) and compared with the sentencepiece library.
+Where no piece of the vocabulary runs across a marker (or holds a line feed), a
+text's ids are those of its stretches between them; Arrow numbers the stretches,
+each distinct one is encoded once (in multithreaded batches) and compared with
+the sentencepiece library, and ids and decoded bytes are gathered by number.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE, LEARN = 150_000, 4096
+CACHE, LEARN, RUN, SLICE = 250_000, 16_384, 128, 8 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -119,111 +122,213 @@ class Model:
         return out
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What a task needs of a model: the rebuilt tokenizer, the file for the reference library, and its rules."""
+
+    data: bytes
+    tokenizer: str
+    pieces: tuple[bytes, ...]
+    #: which pieces start with a marker or are a line feed
+    starts: tuple[bool, ...]
+    mark_id: int | None
+    dummy_prefix: bool
+    separable: bool
+    #: texts can be stretched as they are, without the normaliser
+    verbatim: bool
+    #: no piece holds a line feed, so a stretch may also start at one
+    by_line: bool
+
+    @classmethod
+    def of(cls, m: Model) -> Plan:
+        pieces = [p for p, _, t in m.pieces if t in (NORMAL, USER_DEFINED, UNUSED)]
+        verbatim = not m.charsmap and not m.trim and m.dummy_prefix and m.escape
+        mark = next((i for i, p in enumerate(m.pieces) if p[0] == MARK), None)
+        return cls(m.data, m.tokenizer().to_str(), tuple(m.piece_bytes()), tuple(p.startswith(MARK) or t == BYTE and int(p[3:5], 16) == 10 for p, _, t in m.pieces), mark, m.dummy_prefix, m.separable and mark is not None, verbatim, m.byte_fallback and not any("\n" in p for p in pieces))
+
+
 class Encoder:
     """Batches of texts to ids, with the stretches met so far remembered (a bounded number)."""
 
-    def __init__(self, model: Model):
+    def __init__(self, plan: Plan):
         import sentencepiece
+        from tokenizers import Tokenizer, normalizers
 
-        self.model, self.whole = model, model.tokenizer()
-        self.plain = model.tokenizer()
-        from tokenizers import normalizers
-
+        self.plan, self.whole = plan, Tokenizer.from_str(plan.tokenizer)
+        self.plain = Tokenizer(self.whole.model)
         self.plain.normalizer = normalizers.Sequence([])
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.data)
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=plan.data)
         self.ids: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the generation before: what is met again moves on, the rest is forgotten
         self.unequal: set[str] = set()
-
-    def stretches(self, text: str) -> list[str]:
-        m = self.model
-        if m.charsmap or m.trim:
-            return STRETCH.findall(self.whole.normalizer.normalize_str(text))
-        if not text:
-            return []
-        if m.dummy_prefix and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
-            return [MARK + w for w in text.split(" ")]
-        return STRETCH.findall((MARK if m.dummy_prefix else "") + text.replace(" ", MARK))
-
-    def learn(self, new: list[str]) -> None:
-        got = self.plain.encode_batch_fast(new, add_special_tokens=False)
-        # the reference adds the marker of its dummy prefix itself
-        given = [s.replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :] for s in new]
-        for s, e, r in zip(new, got, self.reference.encode(given, num_threads=1)):
-            ids = e.ids
-            self.ids[s] = array("i", ids).tobytes()
-            if ids != (r if s != MARK else [self.reference.piece_to_id(MARK)]):  # a text cannot be the marker alone
+        self.starts = np.array(plan.starts, bool)
+
+    def both(self, texts: list[str], lead: int) -> list[tuple[list[int], list[int]]]:
+        """ids by the tokenizer and by the reference, of texts that start with a marker
+        (lead 0) or, after the marker that the reference sets itself, without one (lead 1)."""
+        skip = 1 if self.plan.dummy_prefix and not lead else 0
+        got = [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        said = self.reference.encode([t[skip:].replace(MARK, " ") for t in texts], num_threads=1)
+        return [(g, r[lead:]) for g, r in zip(got, said)]
+
+    def learn(self, new: list[str], lead: int) -> None:
+        for s, (got, said) in zip(new, self.both(new, lead)):
+            self.ids[s] = array("i", got).tobytes()
+            if got != (said if s != MARK else [self.plan.mark_id]):  # a text cannot be the marker alone
                 self.unequal.add(s)
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """int32 ids of each text as bytes, and whether sentencepiece gives the same."""
-        if not self.model.separable:
-            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(got, self.reference.encode(texts, num_threads=1))]
-            return [np.array(g, np.int32).tobytes() for g in got], same
-        parts = [self.stretches(t) for t in texts]
+    def learn_joined(self, new: list[str], lead: int) -> None:
+        """Stretches that start with their only marker or line feed: encoded in runs,
+        which the pieces with a marker or line feed part again."""
+        runs = [new[k : k + RUN] for k in range(0, len(new), RUN)]
+        for run, (got, said) in zip(runs, self.both(["".join(r) for r in runs], lead)):
+            ids = np.array(got, np.int32)
+            starts = np.flatnonzero(self.starts[ids]) * 4
+            if got != said or len(starts) != len(run):
+                self.learn(run, lead)
+                continue
+            data, at = ids.tobytes(), starts.tolist()
+            self.ids.update(zip(run, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+
+    def known(self, stretches: list[str]) -> list[bytes]:
+        """ids of distinct stretches."""
         if len(self.ids) > CACHE:
             self.before, self.ids = self.ids, {}
-        known, before, new = self.ids, self.before, []
-        for s in set().union(*parts):
-            if s not in known:
-                ids = before.get(s)
-                if ids is None:
-                    new.append(s)
+        ids, before = self.ids, self.before
+        marked, by_line, odd, odd_bare = [], [], [], []
+        for s in stretches:
+            if s not in ids:
+                if (old := before.get(s)) is not None:
+                    ids[s] = old
+                elif s[0] == MARK:
+                    (marked if len(s) > 1 and MARK not in s[1:] and "\n" not in s else odd).append(s)
+                elif s[0] == "\n" and self.plan.by_line and MARK not in s and "\n" not in s[1:]:
+                    by_line.append(s)
                 else:
-                    known[s] = ids
-        for at in range(0, len(new), LEARN):
-            self.learn(new[at : at + LEARN])
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) for p in parts], [not self.unequal or self.unequal.isdisjoint(p) for p in parts]
+                    (odd_bare if self.plan.dummy_prefix else odd).append(s)
+        for new, learn, lead in ((marked, self.learn_joined, 0), (by_line, self.learn_joined, 1), (odd, self.learn, 0), (odd_bare, self.learn, 1)):
+            for at in range(0, len(new), LEARN):
+                learn(new[at : at + LEARN], lead)
+        return list(map(ids.__getitem__, stretches))
+
+    def joined(self, distinct: list[str], codes: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Texts as runs of stretch codes that stop at ends, to lists of ids and to whether all stretches agree."""
+        blobs = self.known(distinct)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.frombuffer(b"".join(blobs), np.int32)[np.repeat(starts - stops[:-1], sizes) + np.arange(stops[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(stops[ends].astype(np.int32)), pa.array(flat))
+        if not self.unequal:
+            return lists, np.ones(len(ends) - 1, bool)
+        bad = np.array([s in self.unequal for s in distinct], bool)[codes]
+        return lists, np.diff(np.concatenate([[0], np.cumsum(bad)])[ends]) == 0
+
+    def spaced(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Texts whose markers are single spaces between words: split, numbered and joined by Arrow."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if self.plan.by_line else texts, " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = [w if self.plan.by_line and w[:1] == "\n" else MARK + w for w in coded.dictionary.to_pylist()]
+        ends = words.offsets.to_numpy()
+        return self.joined(distinct, coded.indices.to_numpy(), ends - ends[0])
+
+    def stretched(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Any other texts."""
+        if not self.plan.verbatim:
+            parts = [STRETCH.findall(self.whole.normalizer.normalize_str(t)) for t in texts]
+        else:
+            parts = [STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        code: dict[str, int] = {}
+        codes = np.array([code.setdefault(s, len(code)) for p in parts for s in p], np.int64)
+        return self.joined(list(code), codes, np.cumsum([0, *map(len, parts)]))
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lists of ids of texts without nulls, and whether sentencepiece gives the same."""
+        if not self.plan.separable:
+            given = texts.to_pylist()
+            got = [e.ids for e in self.whole.encode_batch_fast(given, add_special_tokens=False)]
+            said = self.reference.encode(given, num_threads=1)
+            return pa.array(got, pa.list_(pa.int32())), np.array([a == b for a, b in zip(got, said)], bool)
+        if not self.plan.verbatim:
+            return self.stretched(texts.to_pylist())
+        odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        for text in ("  ", MARK, *[" \n"] * self.plan.by_line):
+            odd = pc.or_(odd, pc.match_substring(texts, text))
+        odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.spaced(texts)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        parts = [self.spaced(texts.filter(pa.array(~odd))), self.stretched(texts.filter(pa.array(odd)).to_pylist())]
+        back = np.argsort(order)
+        return pa.concat_arrays([x for x, _ in parts]).take(pa.array(back)), np.concatenate([x for _, x in parts])[back]
 
 
 class Decoder:
     """Ids back to text: piece bytes joined, markers as spaces, byte pieces as their bytes."""
 
-    def __init__(self, model: Model):
-        self.piece, self.prefix = model.piece_bytes().__getitem__, model.dummy_prefix
+    def __init__(self, plan: Plan):
+        self.pieces, self.prefix = pa.array(plan.pieces, pa.binary()), plan.dummy_prefix
+
+    def data(self, lists: pa.Array) -> pa.Array:
+        """The bytes of each list of ids."""
+        found, ends = self.pieces.take(lists.flatten()), lists.offsets.to_numpy()
+        _, at, data = found.buffers()
+        at = np.frombuffer(at, np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at[ends - ends[0]])), data])
 
-    def text(self, ids: list[int]) -> str:
-        data = b"".join(map(self.piece, ids))
+    def text(self, data: bytes) -> str:
         return (data.removeprefix(b" ") if self.prefix else data).decode("utf-8", "replace")
 
+    def texts(self, lists: pa.Array) -> list[str]:
+        return list(map(self.text, self.data(lists).to_pylist()))
+
+    def gives(self, lists: pa.Array, texts: pa.Array) -> np.ndarray:
+        """Whether each list decodes to its text: equal bytes, or else (stray bytes, other prefixes) equal text."""
+        data, wanted = self.data(lists), texts.cast(pa.binary())
+        if self.prefix:
+            wanted = pc.binary_join_element_wise(b"", wanted, b" ")
+        same = pc.equal(data, wanted).to_numpy(zero_copy_only=False).copy()
+        for k in np.flatnonzero(~same):
+            same[k] = self.text(data[k].as_py()) == texts[k].as_py()
+        return same
 
-def _lists(data: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(d) // 4 for d in data])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int32)))
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE bytes of a column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_rows: int = 64, check_decoding: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", check_decoding: bool = False) -> DataFrame:
     """Adds ids (array<int>) and parity (the sentencepiece library gives the same ids) to docs;
     with check_decoding also decodes: whether the ids decode to the text.
 
     A null text has null ids and null parity; an empty one has no ids. Columns of docs named
-    ids or parity are replaced. The model is a file of bounded size and goes to the executors with the code.
+    ids or parity are replaced. The model is a file of bounded size; the driver rebuilds it once
+    and it goes to the executors with the code.
     """
     docs = docs.drop("ids", "parity", "decodes")
-    names = docs.columns
+    names, plan = docs.columns, Plan.of(Model(model_data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a task's own threads; more would only contend with other tasks
-        coder = Encoder(Model(model_data))
-        decoder = Decoder(coder.model)
+        coder, decoder = Encoder(plan), Decoder(plan)
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                texts = part[text_col].to_pylist()
-                ids, same = coder.encode([t or "" for t in texts])
-                missing = np.array([t is None for t in texts])
-                lists = _lists(ids)
-                if missing.any():
-                    lists = pa.array([None if m else x for m, x in zip(missing, lists.to_pylist())], pa.list_(pa.int32()))
-                columns = [*(part[c] for c in names), lists, pa.array([None if m else s for m, s in zip(missing, same)], pa.bool_())]
-                if check_decoding:
-                    columns.append(pa.array([None if t is None else decoder.text(np.frombuffer(i, np.int32).tolist()) == t for t, i in zip(texts, ids)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "parity", "decodes"][: len(columns)])
+            for part in slices(batch, text_col):
+                missing = pc.is_null(part[text_col])
+                texts = pc.fill_null(part[text_col], "")
+                ids, same = coder.encode(texts)
+                added = [ids, pa.array(same)] + ([pa.array(decoder.gives(ids, texts))] if check_decoding else [])
+                if missing.true_count:
+                    added = [pc.if_else(missing, pa.scalar(None, x.type), x) for x in added]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *added], [*names, "ids", "parity", "decodes"][: len(names) + len(added)])
 
     return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>, parity boolean" + ", decodes boolean" * check_decoding))
 
@@ -231,14 +336,15 @@ def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", slice_row
 def decode(coded: DataFrame, model_data: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text of an id array; null for null ids. A column of that name is replaced."""
     coded = coded.drop(out_col)
-    names = coded.columns
+    names, plan = coded.columns, Plan.of(Model(model_data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Model(model_data))
+        decoder = Decoder(plan)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                made = pa.array([None if ids is None else decoder.text(ids) for ids in part[ids_col].to_pylist()], pa.string())
+                ids = part[ids_col]
+                made = pc.if_else(pc.is_null(ids), None, pa.array(decoder.texts(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), made], [*names, out_col])
 
     return coded.mapInArrow(run, with_fields(coded.schema, f"`{out_col}` string"))
