@@ -426,6 +426,59 @@ def test_tree_probabilities_sum_to_one():
         assert s + t.p(ctx, "never") == pytest.approx(1)
 
 
+def test_suffix_tree_equals_plain_model(spark, docs):
+    """Contexts run across words, a fixed count keeps them, and the joins give the plain tree's probabilities; held-out stretches too."""
+    from weighbridge.llm import suffix_tree_lm as S
+
+    d = docs.select("doc_id", "text").limit(60).withColumn("held_out", F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)))
+    rows, depth = [(r.text, r.held_out) for r in d.collect()], 3
+    grams = S.stretch_counts(d, depth)
+    counts = S.context_counts(grams, depth)
+    kept = {r.ctx for r in S.kept_contexts(counts, 8).collect()}
+    streams = [(S.START * depth + "".join(w + S.WORD_END for w in words(low(t or ""))) + S.TEXT_END, h) for t, h in rows]
+    want = collections.Counter((x[i - k : i], x[i]) for x, h in streams if not h for i in range(depth, len(x)) for k in range(depth + 1))
+    assert {(r.ctx, r.next): r.c for r in counts.filter("c > 0").collect()} == want
+    plain = S.Tree([(c, n, v) for (c, n), v in want.items() if c in kept], depth)
+    assert any(S.WORD_END in c[:-1] for c in kept)
+    got = {r.gram: r.pst for r in S.stretch_scores(counts, S.kept_contexts(counts, 8), depth).collect()}
+    assert set(got) == {x[i - depth : i + 1] for x, _ in streams for i in range(depth, len(x))}
+    for g, v in got.items():
+        assert v == pytest.approx(math.log10(plain.p(g[:-1], g[-1])), abs=1e-9)
+    scores = sorted(r.score for r in S.score_texts(d, depth=depth, common=50).collect())
+    assert scores == pytest.approx(sorted(sum(got[x[i - depth : i + 1]] for i in range(depth, len(x))) for x, _ in streams))
+
+
+def test_suffix_tree_sees_word_order(spark):
+    from weighbridge.llm import suffix_tree_lm as S
+
+    d = spark.createDataFrame([(i, "the cat sat on the mat and the dog ran off", False) for i in range(50)] + [(90, "the cat sat on the mat", True), (91, "mat the on sat cat the", True)], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in S.score_texts(d).filter("held_out").collect()}
+    assert got[90] > got[91] + 1
+
+
+def test_contexts_are_kept_whatever_the_size(spark):
+    """A context met often enough stays when the table is many times larger."""
+    from weighbridge.llm import suffix_tree_lm as S
+
+    for more in (1, 10**9):
+        counts = spark.createDataFrame([(0, "", "a", 100 * more, 0), (0, "", "b", 100 * more, 0), (1, "a", "b", 50, 0), (1, "b", "a", 40 * more, 0), (1, "b", "b", 60 * more, 0)], "k int, ctx string, next string, c long, c_all long")
+        assert "a" in {r.ctx for r in S.kept_contexts(counts, 8).collect()}
+
+
+def test_stretches_of_many_symbols_and_cut_texts(monkeypatch):
+    from weighbridge.llm import suffix_tree_lm as S
+
+    monkeypatch.setattr(S, "PIECE", 500)
+    text = S.symbols(["".join(chr(0x4E00 + i * 7 % 20000) for i in range(3000)).encode(), b"ab"], 5)
+    got = collections.Counter()
+    for _, slices in S.pieces([(0, text), (1, text[:5] + "xyz" * 9)], 5):
+        grams, c, _ = S.stretches(slices, 5, False)
+        again, place, _ = S.stretches(slices, 5, True)
+        assert (grams == again).all() and (collections.Counter(place.tolist()) == collections.Counter(dict(enumerate(c.tolist()))))
+        got.update(dict(zip(grams.tolist(), c.tolist())))
+    assert got == collections.Counter(x[i : i + 6] for x in (text, text[:5] + "xyz" * 9) for i in range(len(x) - 5))
+
+
 # --- 9 n-gram Jaccard ------------------------------------------------------------------------
 
 

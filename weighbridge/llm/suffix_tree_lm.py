@@ -1,23 +1,27 @@
 """LM scoring with a probabilistic suffix tree.
 
-The symbols are characters; a word is its characters and a word end, a text its
-words and a text end. The tree's contexts are suffixes of what precedes inside
-the word (with a start mark). A context is kept when it is met often enough and
-its next-symbol distribution diverges from that of its own suffix; the kept
-distributions are smoothed towards that suffix (Witten-Bell). Scoring uses the
-longest kept suffix at every symbol.
-
-All statistics come from a table of distinct words with their training counts,
-so each pass over the texts only counts words. Common words (a bounded number)
-are scored where the text is read; all others through a join on the word.
+The symbols are characters; a text is a start mark, its words with a word end
+after each, and a text end. The tree's contexts are suffixes of what precedes in
+the text, so they run across words and word order counts. A context is kept when
+it is met least_count times, whatever the size of the table, and its next-symbol
+distribution diverges from that of its own suffix; the kept distributions are
+smoothed towards that suffix (Witten-Bell). Scoring uses the longest kept suffix
+at every symbol.
+
+All statistics come from a table of distinct stretches of depth + 1 symbols with
+their counts. The contexts stay a table too: the probability of each distinct
+stretch comes from joins on context, one for each length, and goes back to the
+texts by a join on the stretch. The commonest stretches and words (a bounded
+number) are scored where the text is read, which changes no result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,8 @@ from .common import is_held_out, table, written
 
 START, WORD_END, TEXT_END = "\t", "\n", "\r"  # space characters never occur in words
 FLUSH = 300_000
+PIECE = 4_000_000  # symbols taken at once; longer texts are cut with depth symbols of overlap
+ROWS = 2000
 
 
 def words(column: pa.Array) -> Iterator[list[bytes]]:
@@ -55,54 +61,151 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def context_counts(word_table: DataFrame, depth: int) -> DataFrame:
-    """ctx, next, c over the training words: contexts of up to depth symbols."""
+def symbols(ws: list[bytes], depth: int) -> str:
+    """A text's symbols after depth start marks. A zero character, which numpy's strings lose, counts as U+0001."""
+    return START * depth + b"".join(w + b"\n" for w in ws).decode().replace("\0", "\1") + TEXT_END
 
-    def batch(n: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[:-1] for k in n]), pa.array([k[-1] for k in n]), pa.array(list(n.values()), pa.int64())], ["ctx", "next", "c"])
+
+def pieces(texts: Iterable[tuple[int, str]], depth: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Owners and slices of the texts, about PIECE symbols at a time; every slice begins with the depth symbols before it."""
+    owners, slices, n = [], [], 0
+    for owner, x in texts:
+        for at in range(depth, len(x), PIECE):
+            owners.append(owner)
+            slices.append(x[at - depth : at + PIECE])
+            n += len(slices[-1])
+            if n >= PIECE:
+                yield owners, slices
+                owners, slices, n = [], [], 0
+    if slices:
+        yield owners, slices
+
+
+def stretches(slices: list[str], depth: int, places: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct stretches of depth + 1 symbols inside the slices, and their counts.
+
+    With places, instead of the counts the number of each place's stretch, and each place's slice.
+    """
+    codes = np.frombuffer("".join(slices).encode("utf-32-le"), np.uint32)
+    lens = np.fromiter(map(len, slices), np.int64, len(slices))
+    ok = np.ones(len(codes) - depth, bool)  # stretches by their first symbol
+    for k in range(depth):  # none may reach into the next slice
+        ok[lens.cumsum()[:-1] - 1 - k] = False
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    ids, n = number[codes], len(codes) - depth
+    key, kinds = ids[:n], len(alphabet)
+    for k in range(1, depth + 1):
+        if kinds * len(alphabet) >= 1 << 63:  # many symbols: number the beginnings met
+            key = np.unique(key, return_inverse=True)[1]
+            kinds = n
+        key = key * len(alphabet) + ids[k : k + n]
+        kinds *= len(alphabet)
+    if kinds == len(alphabet) ** (depth + 1):
+        u, more = np.unique(key[ok], return_inverse=places, return_counts=not places)
+        cells = np.empty((len(u), depth + 1), np.uint32)
+        rest = u
+        for k in range(depth, -1, -1):
+            rest, last = np.divmod(rest, len(alphabet))
+            cells[:, k] = alphabet[last]
+    else:
+        u, first, more = np.unique(key[ok], return_index=True, return_inverse=places, return_counts=not places)
+        cells = codes[np.flatnonzero(ok)[first][:, None] + np.arange(depth + 1)]
+    grams = np.ascontiguousarray(cells).view(f"<U{depth + 1}").ravel()
+    return grams, more, np.repeat(np.arange(len(slices)), lens - depth) if places else None
+
+
+def stretch_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """docs: text, held_out. gram (depth + 1 symbols), c (in training rows), c_all."""
+
+    def batch(n: dict, held: bool) -> pa.RecordBatch:
+        c = pa.array(list(n.values()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([0] * len(n), pa.int64()) if held else c, c], ["gram", "c", "c_all"])
 
     def run(batches):
-        n: dict[str, int] = {}
+        n: dict[bool, dict[str, int]] = {False: {}, True: {}}
         for b in batches:
-            for word, c in zip(b["word"].to_pylist(), b["c"].to_pylist()):
-                x = START + word.decode() + WORD_END
-                for end in range(2, len(x) + 1):
-                    for start in range(max(0, end - 1 - depth), end):
-                        k = x[start:end]
-                        n[k] = n.get(k, 0) + c
-                if len(n) > FLUSH:
-                    yield batch(n)
-                    n = {}
-        if n:
-            yield batch(n)
-
-    return word_table.filter("c > 0").select("word", "c").mapInArrow(run, "ctx string, next string, c long").groupBy("ctx", "next").agg(F.sum("c").alias("c"))
-
-
-def kept_contexts(counts: DataFrame, least_share: float, least_count: int) -> DataFrame:
-    """The divergence test: ctx, next, c of the contexts that stay, with all their suffixes.
-
-    A context stays when it holds least_share of all symbols (at most
-    1 / least_share contexts of one length do) and the log-likelihood that its
-    own distribution gains over its suffix's exceeds half log(t) for each next symbol.
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                texts = [(h, symbols(ws, depth)) for h, ws in zip(part["held_out"].to_pylist(), words(part["text"]))]
+                for held, into in n.items():
+                    for _, slices in pieces((x for x in texts if x[0] == held), depth):
+                        grams, counts, _ = stretches(slices, depth, False)
+                        for g, c in zip(grams.tolist(), counts.tolist()):
+                            into[g] = into.get(g, 0) + c
+                        if len(into) > 2 * FLUSH:
+                            yield batch(into, held)
+                            into.clear()
+        for held, into in n.items():
+            yield batch(into, held)
+
+    return docs.select("held_out", "text").mapInArrow(run, "gram string, c long, c_all long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+
+
+def context_counts(grams: DataFrame, depth: int) -> DataFrame:
+    """k, ctx, next, c, c_all: contexts of k = 0 to depth symbols."""
+    at = grams.select("gram", "c", "c_all", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
+    g = at.select("k", F.expr(f"substring(gram, {depth + 1} - k, k)").alias("ctx"), F.expr(f"substring(gram, {depth + 1}, 1)").alias("next"), "c", "c_all")
+    return g.groupBy("k", "ctx", "next").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+
+
+def kept_contexts(counts: DataFrame, least_count: int) -> DataFrame:
+    """The divergence test: ctx, t, kinds of the contexts that stay, with all their suffixes.
+
+    A context stays when it is met least_count times in training and the
+    log-likelihood that its own distribution gains over its suffix's exceeds
+    half log(t) for each next symbol. Nothing else limits their number.
     """
+    counts = counts.filter("c > 0")
     totals = counts.groupBy("ctx").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("kinds"))
-    all_symbols = totals.filter("ctx = ''").select("t").first()
-    enough = max(least_count, least_share * (all_symbols[0] if all_symbols else 0))
-    often = written(counts.join(totals.filter(F.col("t") >= enough), "ctx"), "pst-often")
+    often = written(counts.select("ctx", "next", "c").join(totals.filter(F.col("t") >= least_count), "ctx"), "pst-often")
     parent = often.select(F.col("ctx").alias("suffix"), "next", (F.col("c") / F.col("t")).alias("q"))
     tested = often.filter("ctx != ''").withColumn("suffix", F.expr("substring(ctx, 2)")).join(parent, ["suffix", "next"])
     gain = tested.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("t") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds"), F.first("t").alias("t"))
     passed = gain.filter("gain > 0.5 * kinds * ln(t)").select("ctx")
     suffixes = passed.select(F.explode(F.expr("transform(sequence(1, length(ctx)), i -> substring(ctx, i))")).alias("ctx")).distinct()
-    return often.join(suffixes.unionByName(suffixes.sparkSession.createDataFrame([("",)], "ctx string")), "ctx", "left_semi").select("ctx", "next", "c")
+    return totals.filter("ctx = ''").unionByName(often.select("ctx", "t", "kinds").distinct().filter("ctx != ''").join(suffixes, "ctx", "left_semi"))
+
+
+def stretch_scores(counts: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
+    """gram, c_all, pst: log10 probability of the last symbol of every stretch, by its longest kept suffix.
+
+    The probabilities of each length of context come from those of the length
+    before by a join on (suffix, next symbol).
+    """
+    p = None
+    for k in range(depth + 1):
+        level = counts.filter(F.col("k") == k).select("ctx", "next", "c", "c_all").join(kept.filter(F.length("ctx") == k), "ctx", "left")
+        if p is None:
+            t, kinds = F.coalesce("t", F.lit(0)), F.coalesce("kinds", F.lit(0))
+            p = level.withColumn("p", (F.col("c") + 0.5) / (t + 0.5 * (kinds + 1)))
+        else:
+            own = (F.col("c") + F.col("kinds") * F.col("q")) / (F.col("t") + F.col("kinds"))
+            before = p.select(F.col("ctx").alias("suffix"), "next", F.col("p").alias("q"))
+            p = level.withColumn("suffix", F.expr("substring(ctx, 2)")).join(before, ["suffix", "next"]).withColumn("p", F.when(F.col("t").isNotNull(), own).otherwise(F.col("q")))
+    return p.select(F.concat("ctx", "next").alias("gram"), "c_all", F.log10("p").alias("pst"))
+
+
+def commonest(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of at most n of the largest c_all, and all others."""
+    bin_ = F.floor(8 * F.log2("c_all")).cast("int")
+    least, some = 1 << 30, 0
+    for r in sorted(df.groupBy(bin_.alias("b")).count().collect(), reverse=True):
+        some += r["count"]
+        if some > n:
+            break
+        least = r["b"]
+    return df.filter(bin_ >= least), df.filter(bin_ < least)
 
 
 class Tree:
-    """Kept contexts with their counts; log10 probabilities of whole words."""
+    """The model in plain form, from ctx, next, c rows of the kept contexts: tests compare stretch_scores with it."""
 
-    def __init__(self, rows, depth: int, texts: int):
-        self.depth, self.next, self.total, self.memo = depth, {"": {}}, {}, {}
+    def __init__(self, rows, depth: int, texts: int = 0):
+        self.depth, self.next = depth, {"": {}}
         for ctx, nxt, c in rows:
             self.next.setdefault(ctx, {})[nxt] = c
         for ctx in {START, ""} & self.next.keys() if texts else ():
@@ -117,21 +220,8 @@ class Tree:
             return (own.get(nxt, 0) + 0.5) / (self.total[""] + 0.5 * (len(own) + 1))
         return (own.get(nxt, 0) + len(own) * self.p(ctx[1:], nxt)) / (self.total[ctx] + len(own))
 
-    def step(self, seen: str) -> float:
-        """log10 probability of the last symbol of seen after the others."""
-        got = self.memo.get(seen)
-        if got is None:
-            if len(self.memo) > FLUSH:
-                self.memo.clear()
-            got = self.memo[seen] = math.log10(self.p(seen[:-1], seen[-1]))
-        return got
 
-    def word(self, word: str) -> float:
-        x, k = START + word + WORD_END, self.depth
-        return sum(self.step(x[max(0, i - k) : i + 1]) for i in range(1, len(x)))
-
-
-def score_texts(docs: DataFrame, depth: int = 4, common: int = 500_000, least_share: float = 1e-6, least_count: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 5, common: int = 500_000, least_count: int = 8) -> DataFrame:
     """docs: doc_id, text, held_out. One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out; null texts are empty (one end).
@@ -142,50 +232,69 @@ def score_texts(docs: DataFrame, depth: int = 4, common: int = 500_000, least_sh
     n_texts = docs.filter("not held_out").count()
     sums = counted.agg(F.sum("c"), F.sum("c_all"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, n_all, kinds = (sums[0] or 0) + n_texts, sums[1] or 0, (sums[2] or 0) + (n_texts > 0)
-    model = Tree(kept_contexts(context_counts(counted, depth), least_share, least_count).toPandas().itertuples(index=False), depth, n_texts)
     floor = n + 0.1 * (kinds + 1)
-
-    def score(batches):
-        for b in batches:
-            pst = [model.word(w.decode()) for w in b["word"].to_pylist()]
-            base = [math.log10((c + 0.1) / floor) for c in b["c"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["word"], b["c"], b["c_all"], pa.array(base, pa.float64()), pa.array(pst, pa.float64())], ["word", "c", "c_all", "base", "pst"])
-
-    scored = written(counted.mapInArrow(score, "word binary, c long, c_all long, base double, pst double"), "pst-scored")
     often = F.col("c_all") * common >= n_all
-    top = {r["word"]: (int(r["c"] > 0), r["base"], r["pst"]) for r in scored.filter(often).collect()}
+    top = {r["word"]: (int(r["c"] > 0), math.log10((r["c"] + 0.1) / floor)) for r in counted.filter(often).collect()}
+
+    counts = written(context_counts(written(stretch_counts(docs, depth), "pst-stretches"), depth), "pst-contexts")
+    kept = written(kept_contexts(counts, least_count), "pst-kept")
+    scored = written(stretch_scores(counts, kept, depth), "pst-scored")
+    top_grams, rare_grams = commonest(scored, 2 * common)
+    first = top_grams.select("gram", "pst").toArrow()
+    known_grams = np.array(first["gram"].to_pylist(), f"<U{depth + 1}")
+    order = np.argsort(known_grams)
+    known_grams, known_pst = known_grams[order], first["pst"].to_numpy()[order]
 
     def read(batches):
-        for b in batches:
-            out = [[] for _ in range(6)]
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, len(x), ROWS)):
+            out, texts = [[] for _ in range(5)], []
             for ws in words(b["text"]):
-                known, base, pst, tail = 0, 0.0, 0.0, {}
+                known, base, tail = 0, 0.0, {}
                 for w, k in Counter(ws).items():
                     v = top.get(w)
                     if v is None:
                         tail[w] = k
                     else:
-                        known, base, pst = known + k * v[0], base + k * v[1], pst + k * v[2]
-                for into, x in zip(out, (len(ws) + 1, known, base, pst, list(tail), list(tail.values()))):
+                        known, base = known + k * v[0], base + k * v[1]
+                for into, x in zip(out, (len(ws) + 1, known, base, list(tail), list(tail.values()))):
+                    into.append(x)
+                texts.append(symbols(ws, depth))
+            pst, rare = np.zeros(len(b)), ([np.zeros(0, np.int64)], [np.zeros(0, f"<U{depth + 1}")], [np.zeros(0, np.int64)])
+            for owners, slices in pieces(enumerate(texts), depth):
+                grams, place, of = stretches(slices, depth, True)
+                at = np.minimum(np.searchsorted(known_grams, grams), len(known_grams) - 1) if len(known_grams) else np.zeros(len(grams), np.int64)
+                hit = known_grams[at] == grams if len(known_grams) else np.zeros(len(grams), bool)
+                owner = np.array(owners)[of]
+                value = np.where(hit, known_pst[at], 0.0) if len(known_grams) else np.zeros(len(grams))
+                pst += np.bincount(owner, value[place], len(b))
+                missed = ~hit[place]
+                pairs, k = np.unique(owner[missed] * len(grams) + place[missed], return_counts=True)
+                for into, x in zip(rare, (pairs // len(grams), grams[pairs % len(grams)], k)):
                     into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["held_out"], *map(pa.array, out, kinds)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "pst", "words", "counts"])
+            of, grams, k = map(np.concatenate, rare)
+            bounds = pa.array(np.searchsorted(of, np.arange(len(b) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(grams.tolist(), pa.string())), pa.ListArray.from_arrays(bounds, pa.array(k, pa.int32()))]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["held_out"], *map(pa.array, out, kinds), pa.array(pst), *lists], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "words", "counts", "pst", "grams", "gram_counts"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(rows.mapInArrow(read, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, pst double, words array<binary>, counts array<int>"), "pst-rows")
+    rows = written(rows.mapInArrow(read, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, words array<binary>, counts array<int>, pst double, grams array<string>, gram_counts array<int>"), "pst-rows")
     tail = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
-    got = tail.join(scored.filter(~often).select("word", "c", "base", "pst"), "word")
-    got = got.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_"), F.sum(F.col("k") * F.col("base")).alias("b_"), F.sum(F.col("k") * F.col("pst")).alias("p_"))
+    got = tail.join(counted.filter(~often).select("word", "c"), "word")
+    base = F.log10((F.col("c") + 0.1) / floor)
+    got = got.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k_"), F.sum(F.col("k") * base).alias("b_"))
+    tail = rows.select("row", F.explode(F.arrays_zip("grams", "gram_counts")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_counts").alias("k"))
+    ends = tail.join(rare_grams.select("gram", "pst"), "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("pst")).alias("p_"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("words", "counts").join(got, "row", "left").select(
+    return rows.drop("words", "counts", "grams", "gram_counts").join(got, "row", "left").join(ends, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + zero("k_") + int(n_texts > 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b_") + math.log10((n_texts + 0.1) / floor)).alias("base_score"),
-        (F.col("pst") + zero("p_") + model.step(START + TEXT_END)).alias("score"),
+        (F.col("pst") + zero("p_")).alias("score"),
     )
 
 
