@@ -144,3 +144,22 @@ def test_signatures_of_two_sites(spark):
 
 def test_digamma():
     assert abs(likelihood._digamma(1.0) + 0.5772156649) < 1e-8 and math.isfinite(likelihood._digamma(1e-3))
+
+
+def test_no_window_over_a_whole_group(spark):
+    """Ranks, splits, folds and permutations deal a group's rows over buckets (_b), null strata too."""
+    from weighbridge.operators import evidence, severity
+
+    rows = spark.range(3000).select(F.col("id").alias("g"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 - 1).alias("y"), (F.col("id") * 7 % 50).alias("s"), (F.col("id") * 7 % 50 + F.col("id") % 5).alias("t"))
+    split = resampling.grouped_split(rows, "g", "y", 0.75, 1)
+    folds = resampling.grouped_folds(split, "g", 5, 1)
+    moved = evidence.permuted(rows.filter("y is not null"), "g", "s", ["y"], 2)
+    agree = severity.agreement(rows, [("s", "t")])
+    for df in (split, folds, moved, agree):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window [" in plan and all("_b#" in line.split("windowspecdefinition", 1)[1] for line in plan.splitlines() if "Window [" in line)
+    assert {(r.stratum, r["split"]): r["count"] for r in split.groupBy("stratum", "split").count().collect()} == {(s, x): n for s in (None, 0, 1) for x, n in (("train", 750), ("test", 250))}
+    assert {r["count"] for r in folds.groupBy("stratum", "fold").count().collect()} == {200}
+    assert moved.count() == 2000 and moved.agg(F.sum("s")).first()[0] == rows.filter("y is not null").agg(F.sum("s")).first()[0]
+    a, b = (rows.toPandas()[c].rank() for c in "st")
+    assert abs(agree.first().spearman - a.corr(b)) < 1e-9

@@ -80,20 +80,29 @@ def midrank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: str, cols: list[str], buckets: int = 64) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: str | list[str], cols: list[str], buckets: int = 64, few: bool = False) -> DataFrame:
     """Adds before_<col>: the sum of col over rows of the group with a smaller order value.
 
     df has one row per (keys, order). A group's rows are dealt into buckets by
-    quantiles of its order values, so no task holds a whole group; bucket totals
-    give the offsets.
+    quantiles of its (first) order values, so no task holds a whole group; bucket
+    totals give the offsets. Null keys form a group. few: the groups are few, so
+    their quantiles and offsets are broadcast instead of dealing rows by group.
     """
+    order = [order] if isinstance(order, str) else order
+    small = F.broadcast if few else lambda x: x
+
+    def with_(left, right, on):
+        r = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+        same = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in on]
+        return left.join(small(r), same).drop(*[f"_r_{k}" for k in on])
+
     at = [(i + 1) / buckets for i in range(buckets - 1)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, at, 1000).alias("_cuts"))
-    d = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
-    d = d.withColumn("_b", F.expr(f"size(filter(_cuts, c -> c < {order}))")).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
+    d = with_(df, cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
+    d = d.withColumn("_b", F.expr(f"size(filter(_cuts, c -> c < {order[0]}))")).drop("_cuts")
     totals = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}).join(offsets, [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = with_(d.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}), offsets, [*keys, "_b"])
     return out.withColumns({f"before_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in cols}).drop("_b", *[f"_{k}_{c}" for k in "io" for c in cols])

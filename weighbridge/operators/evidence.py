@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
+from ..functions.scalars import prefix_sums, uniform
 
 
 def model_frame(rows: DataFrame, key: str, covariates: list[str]) -> DataFrame:
@@ -127,8 +127,9 @@ def dominant_atom(frame: DataFrame) -> DataFrame:
 
 def permuted(rows: DataFrame, key: str, value: str, within: list[str], seed: int) -> DataFrame:
     """Values shuffled among the rows of a class, by joining hash order to key order."""
-    a = rows.select(key, *within, F.row_number().over(Window.partitionBy(*within).orderBy(key)).alias("_i"))
-    b = rows.select(*within, F.col(value), F.row_number().over(Window.partitionBy(*within).orderBy(uniform(F.lit(seed), F.col(key)), key)).alias("_i"))
+    at = lambda df, order: prefix_sums(df.withColumn("_one", F.lit(1)), within, order, ["_one"], few=True).withColumnRenamed("before__one", "_i")
+    a = at(rows.select(key, *within), [key]).select(key, *within, "_i")
+    b = at(rows.select(key, *within, value).withColumn("_u", uniform(F.lit(seed), F.col(key))), ["_u", key]).select(*within, value, "_i")
     return a.join(b, [*within, "_i"]).drop("_i")
 
 

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import poisson_weight, uniform
+from ..functions.scalars import poisson_weight, prefix_sums, uniform
 
 
 def grouped_split(df: DataFrame, group: str, y: str, fraction: float, seed: int) -> DataFrame:
     """Whole groups, within outcome strata, in hash order until `fraction` of the stratum's rows are in 'train'."""
     g = df.groupBy(group).agg(F.max(y).alias("stratum"), F.count(F.lit(1)).alias("rows"))
     g = g.withColumn("u", uniform(F.lit(seed), F.col(group)))
-    w = Window.partitionBy("stratum").orderBy("u", group).rowsBetween(Window.unboundedPreceding, -1)
-    before, total = F.coalesce(F.sum("rows").over(w), F.lit(0)), F.sum("rows").over(Window.partitionBy("stratum"))
-    return g.withColumn("split", F.when(before < fraction * total, "train").otherwise("test")).select(group, "stratum", "rows", "split")
+    total = g.groupBy(F.col("stratum").alias("_s")).agg(F.sum("rows").alias("total"))
+    g = prefix_sums(g, ["stratum"], ["u", group], ["rows"], few=True).join(F.broadcast(total), F.col("stratum").eqNullSafe(F.col("_s")))
+    return g.withColumn("split", F.when(F.col("before_rows") < fraction * F.col("total"), "train").otherwise("test")).select(group, "stratum", "rows", "split")
 
 
 def grouped_folds(groups: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """Hashed round robin within stratum, balanced to one group (instead of a sequential greedy fill)."""
-    w = Window.partitionBy("stratum").orderBy(uniform(F.lit(seed), F.lit("fold"), F.col(group)), group)
-    return groups.withColumn("fold", ((F.row_number().over(w) - 1) % k + 1).cast("int"))
+    dealt = groups.withColumns({"_u": uniform(F.lit(seed), F.lit("fold"), F.col(group)), "_one": F.lit(1)})
+    dealt = prefix_sums(dealt, ["stratum"], ["_u", group], ["_one"], few=True)
+    return dealt.withColumn("fold", (F.col("before__one") % k + 1).cast("int")).drop("_u", "_one", "before__one")
 
 
 def fold_summary(df: DataFrame, group: str, y: str) -> DataFrame:

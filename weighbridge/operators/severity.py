@@ -128,16 +128,27 @@ def points_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def agreement(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """N, exact, within one, mean absolute difference, Pearson and Spearman of each pair of scores."""
-    from ..functions.scalars import midrank
+    """N, exact, within one, mean absolute difference, Pearson and Spearman of each pair of scores.
+
+    Mid-ranks come from prefix sums over distinct scores and stay with the
+    distinct (a, b) cells; their mean is (n + 1) / 2.
+    """
+    from ..functions.scalars import prefix_sums
 
     long = None
     for a, b in pairs:
         part = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(f"{a}~{b}").alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
         long = part if long is None else long.unionByName(part)
-    ranked = midrank(midrank(long, ["pair"], "a", "ra"), ["pair"], "b", "rb")
     d = F.abs(F.col("a") - F.col("b"))
-    return ranked.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d).alias("mad"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    plain = long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d).alias("mad"), F.corr("a", "b").alias("pearson"))
+    cells = long.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("m"))
+    for x in "ab":
+        ranks = prefix_sums(cells.groupBy("pair", x).agg(F.sum("m").alias("t")), ["pair"], x, ["t"], few=True)
+        cells = cells.join(ranks.select("pair", x, (F.col("before_t") + (F.col("t") + 1) / 2.0).alias(f"r{x}")), ["pair", x])
+    c = cells.join(F.broadcast(plain.select("pair", ((F.col("n") + 1) / 2.0).alias("mid"))), "pair")
+    s = lambda x, y: F.sum(F.col("m") * (F.col(x) - F.col("mid")) * (F.col(y) - F.col("mid")))
+    spearman = c.groupBy("pair").agg(F.try_divide(s("ra", "rb"), F.sqrt(s("ra", "ra")) * F.sqrt(s("rb", "rb"))).alias("spearman"))
+    return plain.join(spearman, "pair").select("pair", "n", "exact", "within_one", "mad", "pearson", "spearman")
 
 
 def recalibrated(df: DataFrame, score: str, y: str, fold: str, iterations: int = 8) -> DataFrame:
