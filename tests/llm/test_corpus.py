@@ -609,3 +609,19 @@ def test_pipeline_stages(spark, sf_odd, tmp_path):
             assert len(after) == len(before) and out.filter("not parity or not decodes").count() == 0
         docs = out
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    """Repeated and null ids: no clean text is lost with an id's other row, and every copy but one goes."""
+    from weighbridge.llm.exact_dedup import dedup_stage
+    from weighbridge.llm.jaccard_join import jaccard_stage
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b + " more"), (3, "twin of itself"), (3, "twin of itself"), (8, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("grp", "row")})
+    exact = dedup_stage(spark, d, "")
+    assert exact.columns == d.columns
+    got = collections.Counter((r.doc_id, r.text) for r in exact.collect())
+    assert got == collections.Counter([(5, a), (7, b), (None, c), (9, b + " more"), (3, "twin of itself"), (8, None)])
+    near = collections.Counter((r.doc_id, r.text) for r in jaccard_stage(spark, d, "").collect())
+    assert near == collections.Counter([(5, a), (7, b), (None, c), (3, "twin of itself"), (8, None), (None, "")])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import SPACE, first_of_groups, table, written
 
 ID_LAST = (1 << 63) - 1
 
@@ -98,6 +98,11 @@ FROM n
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops every row that is a later copy of another."""
-    gone = exact_dedup(docs).filter("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: one row of each group of equal texts, that of the smallest doc_id; null ids come last.
+
+    Rows are told apart by a row key written once, so repeated and null ids
+    neither lose another row nor keep a copy.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), *docs.columns), "dedup-rows")
+    groups = exact_dedup(keyed, id_col="__row").filter("group_size > 1").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("grp"))
+    return first_of_groups(keyed, groups).select(docs.columns)
