@@ -30,8 +30,8 @@ from .common import is_held_out, table, written
 
 START, WORD_END, TEXT_END = "\t", "\n", "\r"  # space characters never occur in words
 FLUSH = 300_000
-PIECE = 4_000_000  # symbols taken at once; longer texts are cut with depth symbols of overlap
-ROWS = 2000
+PIECE = 1_000_000  # symbols taken at once; longer texts are cut with depth symbols of overlap
+ROWS = 500
 
 
 def words(column: pa.Array) -> Iterator[list[bytes]]:
