@@ -253,6 +253,25 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, rows):
             assert r.ids == ref.encode(r.text) and r.parity and r.decoded == r.text.replace("\u2581", " ")
 
 
+def test_unigram_model_equals_library():
+    import io
+
+    import pyarrow as pa
+    import sentencepiece
+
+    from weighbridge.llm import sentencepiece_codec as P
+
+    made = io.BytesIO()
+    said = ["the cat sat on the mat", "a dog ran after the cat", "mats and cats and dogs", "running on and on"] * 20
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(said), model_writer=made, model_type="unigram", vocab_size=300, byte_fallback=True, hard_vocab_limit=False, normalization_rule_name="identity", minloglevel=2)
+    m = P.Model(made.getvalue())
+    assert m.kind == 1 and m.byte_fallback
+    texts = ["the cat sat", " dogs  ran on", "", "zebra \U0001f600 x", "running\nmats and", "cat" * 50]
+    ref = sentencepiece.SentencePieceProcessor(model_proto=m.data)
+    ids, same = P.Encoder(P.Plan.of(m)).encode(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [ref.encode(t) for t in texts] and same.all()
+
+
 def test_whole_text_path_equals_stretches():
     import dataclasses
 
