@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, first_of_groups, table, written
+from .common import broadcast_if_small, first_of_groups, mixed, table, written
 
 ID_LAST = (1 << 63) - 1
 MASK = (1 << 64) - 1
@@ -35,13 +35,6 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 STEP = 1 << 20
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (splitmix64 finaliser)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
     values[65:91] = values[97:123]  # A-Z count as a-z

@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_fields
+from .common import slices, table, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE, LEARN, RUN, SLICE = 250_000, 16_384, 128, 8 << 20
+CACHE, LEARN, RUN = 250_000, 16_384, 128
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -293,16 +293,6 @@ class Decoder:
         return same
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about SLICE bytes of a column, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", check_decoding: bool = False) -> DataFrame:
     """Adds ids (array<int>) and parity (the sentencepiece library gives the same ids) to docs;
     with check_decoding also decodes: whether the ids decode to the text.
