@@ -59,6 +59,11 @@ def is_held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def hashed_share(key: str, seed: int, share: float) -> Column:
+    """True for about that share of the rows, by a hash of the key; any positive share of a double's range counts."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 62)) < int(min(1.0, share) * (1 << 62))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Broadcast df only when its counted size is under limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

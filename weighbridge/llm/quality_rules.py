@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, table, written
+from .common import SPACE, WORD, hashed_share, table, written
 
 FEATURES = {
     "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
@@ -159,8 +159,7 @@ def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, n_cuts: in
 def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """Statistics of a bounded sample of labelled documents (by hash of the id); about sample_rows rows."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.lit(1) - F.min("quality")).alias("bad"))
-    share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.filter(hashed_share("doc_id", 11, sample_rows / max(1, known.count())))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     out = with_features(statistics(rows)).withColumn("grow", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3)) > 0).cast("int"))
     return written(out.select("bad", "grow", *FEATURES), "quality-train")

@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, hashed_share, table, written
 
 #: host/path prefix -> verdict; the longest fitting rule wins.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate", "suffix_rows", "section_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate", "suffix_rows"]
 _ENTROPY = """
 if(length(_u) = 0, 0D, aggregate(
   transform(array_distinct(split(_u, '')), c -> cast(length(_u) - length(replace(_u, c, '')) as double) / length(_u)),
@@ -62,7 +62,6 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
         "has_fragment": F.contains("_u", F.lit("#")).cast("double"),
         "last_segment_length": F.length(F.regexp_extract("path", "([^/]*)/?$", 1)).cast("double"),
         "suffix": F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1),
-        "section": F.concat_ws("/", F.regexp_extract("host", r"([^.]*)$", 1), F.regexp_extract("path", "^/([^/]*)", 1)),
     })
 
 
@@ -73,20 +72,14 @@ class Tree:
     split: dict[int, tuple[str, float]] = field(default_factory=dict)
     value: dict[int, float] = field(default_factory=dict)
 
-    def column(self, node: int = 1) -> Column:
-        if node in self.split:
-            f, cut = self.split[node]
-            return F.when(F.col(f) <= F.lit(cut), self.column(2 * node)).otherwise(self.column(2 * node + 1))
-        return F.lit(self.value.get(node, 0.0))
+    def column(self, at_leaf, left=lambda f, cut: F.col(f) <= F.lit(cut), node: int = 1) -> Column:
+        """at_leaf(leaf) of the leaf that a row falls into; left(feature, cut) says whether it goes left."""
+        if node not in self.split:
+            return F.lit(at_leaf(node))
+        return F.when(left(*self.split[node]), self.column(at_leaf, left, 2 * node)).otherwise(self.column(at_leaf, left, 2 * node + 1))
 
-    def node_column(self) -> Column:
-        def walk(node: int) -> Column:
-            if node in self.split:
-                f, cut = self.split[node]
-                return F.when(F.col(f) <= F.lit(cut), walk(2 * node)).otherwise(walk(2 * node + 1))
-            return F.lit(node)
-
-        return walk(1)
+    def value_column(self, *left) -> Column:
+        return self.column(lambda leaf: self.value.get(leaf, 0.0), *left)
 
 
 @dataclass
@@ -95,46 +88,56 @@ class Boosted:
     rate: float
     trees: list[Tree]
     suffixes: DataFrame | None = None
-    sections: DataFrame | None = None
     base_rate: float = 0.5
 
-    def probability(self) -> Column:
+    def probability(self, *left) -> Column:
         score: Column = F.lit(self.prior)
         for t in self.trees:
-            score = score + F.lit(self.rate) * t.column()
+            score = score + F.lit(self.rate) * t.value_column(*left)
         return 1 / (1 + F.exp(-score))
 
 
 def with_suffix(df: DataFrame, model: Boosted) -> DataFrame:
-    """Joins the suffix and section statistics; both tables are bounded by the training sample and broadcast."""
-    if model.suffixes is None:
-        return df.withColumns({"suffix_rate": F.lit(model.base_rate), "suffix_rows": F.lit(0.0), "section_rate": F.lit(model.base_rate)})
-    df = df.join(F.broadcast(model.suffixes), "suffix", "left").join(F.broadcast(model.sections), "section", "left")
-    return df.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(model.base_rate)), "suffix_rows": F.coalesce("suffix_rows", F.lit(0.0)), "section_rate": F.coalesce("section_rate", F.lit(model.base_rate))})
+    """Joins the suffix statistics; their table is bounded by the training sample and broadcast."""
+    rate, rows = F.lit(model.base_rate), F.lit(0.0)
+    if model.suffixes is not None:
+        df = df.join(F.broadcast(model.suffixes), "suffix", "left")
+        rate, rows = F.coalesce("suffix_rate", rate), F.coalesce("suffix_rows", rows)
+    return df.withColumns({"suffix_rate": rate, "suffix_rows": rows})
+
+
+def out_of_fold(rows: DataFrame, base: float, smooth: float, folds: int = 5) -> DataFrame:
+    """Adds to the training rows their suffix's share of blocked rows and its number of rows, both without the row's own hash fold."""
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("key", "url", F.lit(22)), F.lit(folds)))
+    by_fold = rows.groupBy("suffix", "_fold").agg(F.sum("label").alias("_s"), F.count("label").alias("_k"))
+    whole = by_fold.groupBy("suffix").agg(F.sum("_s").alias("_all_s"), F.sum("_k").alias("_all_k"))
+    rest = by_fold.join(whole, "suffix").select("suffix", "_fold", (F.col("_all_s") - F.col("_s")).alias("_s"), (F.col("_all_k") - F.col("_k")).cast("double").alias("suffix_rows"))
+    rest = rest.withColumn("suffix_rate", (F.col("_s") + smooth * base) / (F.col("suffix_rows") + smooth)).drop("_s")
+    return rows.join(rest, ["suffix", "_fold"]).drop("_fold")
 
 
-def boost(rows: DataFrame, n_trees: int = 10, depth: int = 2, rate: float = 0.4, n_bins: int = 16, ridge: float = 1.0, base_rate: float = 0.5) -> tuple[float, list[Tree]]:
+def boost(rows: DataFrame, n_trees: int = 10, depth: int = 3, rate: float = 0.4, n_bins: int = 16, ridge: float = 1.0, base_rate: float = 0.5) -> tuple[float, list[Tree]]:
     """Newton boosting of the log-loss; rows: FEATURES and label (0/1)."""
     at = [(i + 1) / n_bins for i in range(n_bins - 1)]
     got = rows.agg(*[F.percentile_approx(f, at, 1000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(got[f] or ())) for f in FEATURES}
-    stacked = ", ".join(f"'{f}', size(filter(array({', '.join(f'{x!r}D' for x in cs)}), c -> {f} > c))" for f, cs in cuts.items() if cs)
-    n_stacked = sum(bool(cs) for cs in cuts.values())
+    used = [f for f in FEATURES if cuts[f]]
+    bins = [F.expr(f"size(filter(array({', '.join(f'{x!r}D' for x in cuts[f])}), c -> {f} > c))") for f in used]
+    binned = written(rows.select("label", F.array(*bins).alias("bins")), "url-bins") if used else rows
+    left = lambda f, cut: F.col("bins")[used.index(f)] <= cuts[f].index(cut)
     prior = math.log(max(base_rate, 1e-6) / max(1 - base_rate, 1e-6))
     trees: list[Tree] = []
-    for _ in range(n_trees if n_stacked else 0):
-        p = Boosted(prior, rate, trees).probability()
+    for _ in range(n_trees if used else 0):
+        p = Boosted(prior, rate, trees).probability(left)
         tree = Tree()
         for level in range(depth):
             open_nodes = range(2**level, 2 ** (level + 1))
-            sums = (
-                rows.withColumn("_p", p)
-                .select((F.col("label") - F.col("_p")).alias("g"), (F.col("_p") * (1 - F.col("_p"))).alias("h"), tree.node_column().alias("node"), F.expr(f"stack({n_stacked}, {stacked}) as (feature, bin)"))
-                .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            )
+            g, h = (F.col("label") - F.col("p")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h")
+            at = binned.select("bins", "label", p.alias("p"), tree.column(int, left).alias("node")).select(g, h, "node", F.posexplode("bins").alias("feature", "bin"))
+            sums = at.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             by: dict = {}
             for r in sums:
-                by.setdefault(r["node"], {}).setdefault(r["feature"], {})[r["bin"]] = (r["g"], r["h"])
+                by.setdefault(r["node"], {}).setdefault(used[r["feature"]], {})[r["bin"]] = (r["g"], r["h"])
             for node in (n for n in open_nodes if n in by):
                 best, whole = None, None
                 for f in sorted(by[node]):
@@ -160,18 +163,14 @@ def boost(rows: DataFrame, n_trees: int = 10, depth: int = 2, rate: float = 0.4,
 
 
 def train(labelled: DataFrame, sample_rows: int = 20_000, rate: float = 0.4, smooth: float = 4.0) -> Boosted:
-    """labelled: host, path, lexical features, url key, label (1: block). Fits on about sample_rows of them, by hash."""
-    n = labelled.count()
-    rows = labelled.filter(F.pmod(F.xxhash64("key", F.lit(21)), F.lit(1_000_000)) < int(min(1.0, sample_rows / max(1, n)) * 1_000_000))
-    rows = written(rows, "url-train")
+    """labelled: host, path, lexical features, key, url, label (1: block). Fits on about sample_rows of them, by hash."""
+    rows = written(labelled.filter(hashed_share("key", 21, sample_rows / max(1, labelled.count()))), "url-train")
     base = rows.agg(F.avg("label")).first()[0]
     if base is None:
         return Boosted(0.0, rate, [])
-    smoothed = lambda: (F.sum("label") + smooth * base) / (F.count("label") + smooth)
     model = Boosted(0.0, rate, [], base_rate=base)
-    model.suffixes = rows.groupBy("suffix").agg(smoothed().alias("suffix_rate"), F.count("label").cast("double").alias("suffix_rows"))
-    model.sections = rows.groupBy("section").agg(smoothed().alias("section_rate"))
-    fit = written(with_suffix(rows, model).select("label", *FEATURES), "url-fit")
+    model.suffixes = rows.groupBy("suffix").agg(((F.sum("label") + smooth * base) / (F.count("label") + smooth)).alias("suffix_rate"), F.count("label").cast("double").alias("suffix_rows"))
+    fit = written(out_of_fold(rows, base, smooth).select("label", *FEATURES), "url-fit")
     model.prior, model.trees = boost(fit, rate=rate, base_rate=base)
     return model
 
@@ -196,4 +195,8 @@ def url_filter(urls: DataFrame, rules: dict[str, str], url_col: str = "url", key
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Judges every page's url by RULES, else by the trees fitted to the urls that a rule judges.
+
+    Long urls are taken whole; repeated pages are judged alike; an empty table gives no rows; other columns of pages are ignored.
+    """
     return url_filter(table(spark, sf_dir, "pages"), RULES)
