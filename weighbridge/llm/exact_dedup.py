@@ -85,6 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Exact dedup of all documents; exact_dedup says what nulls, repeated rows and empty tables give."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
@@ -101,8 +102,9 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts, that of the smallest doc_id; null ids come last.
 
     Rows are told apart by a row key written once, so repeated and null ids
-    neither lose another row nor keep a copy.
+    neither lose another row nor keep a copy. All columns come back, whatever
+    their names; a null text is an empty one; an empty table gives no rows.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), *docs.columns), "dedup-rows")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"), "doc_id", "text"), "dedup-rows")
     groups = exact_dedup(keyed, id_col="__row").filter("group_size > 1").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("grp"))
-    return first_of_groups(keyed, groups).select(docs.columns)
+    return first_of_groups(keyed, groups).select("__doc.*")

@@ -374,6 +374,7 @@ def _links(lists, weight, n_classes, texts, percent, size, rounds) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; jaccard_components says what nulls, repeated rows and empty tables give."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -399,9 +400,10 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group only the row with the smallest doc_id stays; null ids come last.
 
     Rows are told apart by a row key written once, so repeated and null ids
-    neither lose another row nor keep a copy. Wordless texts all stay.
+    neither lose another row nor keep a copy. Wordless and null texts all stay.
+    All columns come back, whatever their names; an empty table gives no rows.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), *docs.columns), "jj-rows")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"), "doc_id", "text"), "jj-rows")
     named = written(jaccard_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("grp")), "jj-named")
     several = named.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp")
-    return first_of_groups(keyed, named.join(several, "grp", "left_semi")).select(docs.columns)
+    return first_of_groups(keyed, named.join(several, "grp", "left_semi")).select("__doc.*")

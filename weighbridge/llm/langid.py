@@ -93,9 +93,14 @@ class Model:
         return self.langs[order[0]], float(share[order[0]]), bool(near)
 
 
-def train(labelled: DataFrame) -> Model:
-    """labelled: text, lang. The model is fitted to all of its rows; rows with a null in either are left out."""
+def train(labelled: DataFrame, most_langs: int = 1000) -> Model:
+    """labelled: text, lang. The model is fitted to all of its rows; rows with a null in either are left out.
+
+    The model holds a row for each language, so a column of more than most_langs values is an error.
+    """
     rows = labelled.select("lang", "text").filter("lang is not null and text is not null")
+    if (k := rows.select("lang").distinct().count()) > most_langs:
+        raise ValueError(f"{k} languages; at most {most_langs} can be told apart")
     sums = rows.mapInArrow(count_ngrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS))
@@ -105,8 +110,12 @@ def train(labelled: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and ambiguous; `und` and 0 for null texts and texts without a letter."""
-    keep = [c for c in docs.columns if c != text_col]
+    """Adds lang_pred, score and ambiguous in place of the text; `und` and 0 for null texts and texts without a letter.
+
+    Columns of docs that share a name with an added one are replaced. Repeated rows are judged alike, very long texts
+    whole (in pieces), and an empty table gives no rows; equal losses go to the language that comes first by code point.
+    """
+    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "ambiguous")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +127,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Predicts every document's language by the model of the documents not held out; see identify for odd rows."""
     docs = table(spark, sf_dir, "documents")
     held = is_held_out(F.col("doc_id"), 4, 2)
     model = train(docs.filter(~held))

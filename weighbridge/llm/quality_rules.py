@@ -185,12 +185,15 @@ def learned(docs: DataFrame, labels: DataFrame) -> list[Rule]:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Judges every document by the rules learned from the labelled ones. Null and empty texts fail the base rule; repeated rows
+    are judged alike; without labels there are no rules; an empty table gives no rows; other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     out = quality_rules(docs.select("doc_id", "text"), learned(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go, null and empty texts with them. All columns of docs come back, whatever
+    their names; repeated rows stay or go together; an empty table gives no rows."""
     rules = learned(docs, table(spark, sf_dir, "labels"))
-    return quality_rules(docs, rules).filter("kept").select(docs.columns)
+    return quality_rules(docs.select(F.struct("*").alias("__doc"), "text"), rules).filter("kept").select("__doc.*")
