@@ -6,7 +6,9 @@ size, the excess reshared). A document of the source is taken
 as an inclusion probability. The flight phase moves the probabilities through
 the null-space of two constraints (words and documents of the source) until
 at most two units of a block are undecided; blocks are merged level by level
-until one block of a source is left, and only its last two units are landed.
+until one block of a source is left, and only its last few units are landed,
+by trying all their subsets. Very long documents are decided first, and
+what they leave over is spread over the probabilities of the others.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, table, with_fields, written
+from .common import WORD, broadcast_if_small, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
+LAND = 12  # units of a source, spread over its sizes, that are decided together at the end
 
 
 def words_in_text() -> Column:
@@ -78,60 +82,84 @@ def flight(pi: list[float], a: list[float], b: list[float], draw) -> None:
         held = [x for x in held if EPS < pi[x] < 1 - EPS]
 
 
-def landing(pi: list[float], a: list[float], want: float) -> None:
-    """Decides the last (at most two) units so that the words come nearest to want, then evens out what is left.
-
-    A very long document may be among the last two, so whole units are
-    exchanged, the best fitting first, as long as that brings the words nearer.
-    """
+def landing(pi: list[float], a: list[float], b: list[float], words: float, documents: float) -> None:
+    """Decides the last few open units in place: of all their subsets, the one that brings the words nearest, then the documents."""
     last = [i for i, p in enumerate(pi) if EPS < p < 1 - EPS]
-    have = sum(x * p for x, p in zip(a, pi)) - sum(pi[i] * a[i] for i in last)
-    best = min(range(2 ** len(last)), key=lambda m: (abs(have + sum(a[i] for k, i in enumerate(last) if m >> k & 1) - want), m))
-    for k, i in enumerate(last):
-        pi[i] = float(best >> k & 1)
-    over = sum(x * p for x, p in zip(a, pi)) - want
-    while True:
-        flips = [i for i, p in enumerate(pi) if 0 < a[i] < 2 * abs(over) and (p == 1.0) == (over > 0)]
-        if not flips:
-            return
-        i = min(flips, key=lambda i: (abs(a[i] - abs(over)), i))
-        pi[i] = 1.0 - pi[i]
-        over += a[i] if over < 0 else -a[i]
+    rest = [i for i in range(len(pi)) if i not in set(last)]
+    subsets = np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1
+    off = [np.abs(subsets @ np.array([c[i] for i in last]) + sum(c[i] * pi[i] for i in rest) - want) for c, want in ((a, words), (b, documents))]
+    best = np.lexsort((off[1], np.round(off[0], 6)))[0]
+    for i, x in zip(last, subsets[best]):
+        pi[i] = float(x)
 
 
-def _fly(land: bool, seed: int):
+def _fly(seed: int):
+    """A block's flight, the largest units first. The only block of a source keeps LAND units of sizes
+    from its largest to its smallest out of the flight and lands them with what the flight leaves open."""
+
     def run(key, pdf):
         import random
 
-        pdf = pdf.sort_values(["order", "doc_id", "size", "n"], kind="stable")
-        pi, a, b = pdf["pi"].tolist(), (pdf["size"] * pdf["n"]).astype(float).tolist(), pdf["n"].astype(float).tolist()
-        want = sum(x * p for x, p in zip(a, pi))
-        flight(pi, a, b, random.Random(f"{seed}:{key}").random)
-        if land:
-            landing(pi, a, want)
-        return pdf.assign(pi=pi)
+        pdf = pdf.assign(_words=-pdf["size"] * pdf["n"]).sort_values(["_words", "order", "doc_id", "n"], kind="stable")
+        pi, a, b = pdf["pi"].tolist(), (-pdf["_words"]).astype(float).tolist(), pdf["n"].astype(float).tolist()
+        rank, block, blocks = map(int, key)
+        words, documents = (sum(x * p for x, p in zip(c, pi)) for c in (a, b))
+        kept_back = set(np.linspace(0, len(pi) - 1, min(LAND, len(pi))).round().astype(int).tolist()) if blocks == 1 else set()
+        fliers = [i for i in range(len(pi)) if i not in kept_back]
+        flying = [pi[i] for i in fliers]
+        flight(flying, [a[i] for i in fliers], [b[i] for i in fliers], random.Random(f"{seed}:{rank}:{block}").random)
+        for i, p in zip(fliers, flying):
+            pi[i] = p
+        if blocks == 1:
+            landing(pi, a, b, words, documents)
+        return pdf.drop(columns="_words").assign(pi=pi)
 
     return run
 
 
-def balanced(units: DataFrame, block_rows: int = 20_000, seed: int = 7) -> DataFrame:
-    """units: rank (of the source), doc_id, source, size, n, whole, pi. The same with pi 0 or 1."""
-    units = units.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
-    done = [units.filter(~F.col("pi").between(EPS, 1 - EPS)).withColumn("pi", F.when(F.col("pi") >= 0.5, 1.0).otherwise(0.0))]
-    open_ = units.filter(F.col("pi").between(EPS, 1 - EPS))
-    most = open_.groupBy("rank").count().agg(F.max("count")).first()[0] or 0
-    level = 0
+def flown(units: DataFrame, block_rows: int, seed: int) -> DataFrame:
+    """Decides units (rank, pi strictly between 0 and 1): blocks of a source fly, what they leave open forms the next level's blocks, one block lands."""
+    counts = written(units.groupBy("rank").agg(F.count(F.lit(1)).alias("k")), "mix-open")
+    n_sources, most = counts.agg(F.count(F.lit(1)), F.max("k")).first()
+    done, level = [], 0
     while most:
-        blocks = math.ceil(most / block_rows)
-        block = F.pmod(F.xxhash64("order", F.lit(level)), F.lit(blocks))
-        flown = written(open_.withColumn("block", block).groupBy("rank", "block").applyInPandas(_fly(blocks == 1, seed + level), with_fields(open_.schema, "block long")).drop("block"), "mix-flown")
-        done.append(flown.filter("pi in (0.0, 1.0)"))
-        open_, level = flown.filter("pi not in (0.0, 1.0)"), level + 1
-        most = 2 * blocks if blocks > 1 else 0
-    return reduce(DataFrame.unionByName, done)
+        blocks = counts.select("rank", F.ceil(F.col("k") / block_rows).alias("blocks")).filter("blocks > 0")
+        dealt = units.join(broadcast_if_small(blocks, n_sources, 64), "rank").withColumn("block", F.pmod(F.xxhash64("order", F.lit(level)), "blocks"))
+        got = written(dealt.groupBy("rank", "block", "blocks").applyInPandas(_fly(seed + level), dealt.schema).drop("block", "blocks"), "mix-flown")
+        done.append(got.filter("pi in (0.0, 1.0)"))
+        if most <= block_rows:
+            break
+        units, level = got.filter("pi not in (0.0, 1.0)"), level + 1
+        counts = counts.select("rank", F.when(F.col("k") > block_rows, 2 * F.ceil(F.col("k") / block_rows)).otherwise(0).alias("k"))
+        most = 2 * math.ceil(most / block_rows)
+    return reduce(DataFrame.unionByName, done) if done else units
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, block_rows: int = 20_000) -> DataFrame:
+def balanced(units: DataFrame, block_rows: int = 5_000, seed: int = 7, heavy: float = 16.0) -> DataFrame:
+    """units: rank (of the source), doc_id, source, size, n, whole, pi. The same with pi 0 or 1.
+
+    Units of more than `heavy` times their source's mean words are decided first. What their decision leaves over of the
+    words wanted is spread over the inclusion probabilities of the source's other units, which are decided on that.
+    """
+    units = units.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
+    is_open, words = F.col("pi").between(EPS, 1 - EPS), F.col("size") * F.col("n")
+    done = units.filter(~is_open).withColumn("pi", F.when(F.col("pi") >= 0.5, 1.0).otherwise(0.0))
+    mean = units.filter(is_open).groupBy("rank").agg((heavy * F.avg(words)).alias("most"))
+    n_sources = mean.count()
+    parted = written(units.filter(is_open).join(broadcast_if_small(mean, n_sources, 64), "rank").withColumn("heavy", words > F.col("most")).drop("most"), "mix-parted")
+    large = written(flown(parted.filter("heavy").withColumn("pi0", F.col("pi")), block_rows, seed), "mix-heavy")
+    left = large.groupBy("rank").agg(F.sum((F.col("pi0") - F.col("pi")) * words).alias("left"))
+    rest = parted.filter("not heavy")
+    room = rest.groupBy("rank").agg(F.sum(words).alias("room")).join(left, "rank")
+    shift = F.coalesce(F.when(F.col("room") > 0, F.col("left") / F.col("room")), F.lit(0.0))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("pi") + shift))
+    rest = written(rest.join(broadcast_if_small(room, n_sources, 64), "rank", "left").withColumn("pi", moved).drop("left", "room"), "mix-rest")
+    sure = rest.filter(~is_open).withColumn("pi", F.round("pi"))
+    small = flown(rest.filter(is_open), block_rows, seed + 100)
+    return reduce(DataFrame.unionByName, [done, *(x.select(done.columns) for x in (large, sure, small))])
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, block_rows: int = 5_000) -> DataFrame:
     """sized: doc_id, source, size. One row per distinct (doc_id, source, size) with n (rows that share it),
     source_size, target and times (how often each of these rows is taken).
 
@@ -149,13 +177,19 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
+    """Mixes all documents; one row per row. Null texts have no words; rows that repeat id, source and size are taken alike;
+    an empty table gives no rows; other columns are ignored."""
     out = mix(sizes(table(spark, sf_dir, "documents"))).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document appears as often as the mix takes it."""
+    """Pipeline stage: every document appears as often as the mix takes it, with all its columns, whatever their names.
+
+    Rows that repeat id, source and size are taken alike, each as a row of its own; null ids and sources match themselves.
+    An empty table gives no rows.
+    """
     taken = mix(sizes(docs)).filter("times > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "times")])
-    rows = docs.withColumn("_n", words_in_text())
-    same = rows["doc_id"].eqNullSafe(taken["_doc_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_n"] == taken["_size"])
-    return rows.join(taken, same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__doc"), "doc_id", "source", words_in_text().alias("n_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_words") == F.col("_size"))
+    return rows.join(taken, same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("__doc.*")
