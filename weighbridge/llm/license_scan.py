@@ -10,6 +10,7 @@ and are reported at every place where they stand whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,19 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import PHRASES, TEMPLATES
 
-# Phrases and opening texts of common licences.
-PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("mit", "Released under the MIT license"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-]
 #: Upper case to lower, all other ASCII characters but digits and letters to spaces; bytes of other characters stay.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -39,7 +29,7 @@ def tokens(data: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several token sequences; a state knows one end of its run in each template that has it."""
+    """Suffix automaton of several token sequences; a state knows every end of its run in each template that has it."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: list[tuple[str, str]]):
         self.labels = [label for label, _ in templates]
@@ -53,10 +43,10 @@ class Automaton:
             for at, token in enumerate(seq):
                 last = self._add(last, token)
                 if k < len(self.texts):
-                    self.ends[last].setdefault(k, at)
+                    self.ends[last].setdefault(k, set()).add(at)
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             for k, at in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(k, at)
+                self.ends[self.link[state]].setdefault(k, set()).update(at)
         self.closing: dict[bytes, list[int]] = {}
         for i, (p, _) in enumerate(self.phrases):
             self.closing.setdefault(p[-1], []).append(i)
@@ -117,28 +107,57 @@ class Automaton:
         return places, runs
 
     def spans(self, runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-        """Chains runs of one template that follow each other in text and template, at most gap tokens apart:
-        (template, first token, last token, template tokens covered)."""
-        open_: dict[int, list[int]] = {}
-        done = []
+        """Chains runs of one template that follow each other in text and template, at most gap tokens apart in the text:
+        (template, first token, last token, template tokens covered). Of a stretch of such runs the chain that covers most; then those after it."""
+        by_template: dict[int, list[tuple[int, int, set[int]]]] = {}
         for start, length, state in runs:
-            for k, at in self.ends[state].items():
-                c = open_.get(k)
-                if c and start <= c[1] + gap and at > c[3]:
-                    c[2] += min(length, at - c[3])
-                    c[1], c[3] = start + length - 1, at
-                else:
-                    if c:
-                        done.append((k, c[0], c[1], c[2]))
-                    open_[k] = [start, start + length - 1, length, at]
-        return done + [(k, c[0], c[1], c[2]) for k, c in open_.items()]
+            for k, ends in self.ends[state].items():
+                by_template.setdefault(k, []).append((start, start + length - 1, ends))
+        done = []
+        for k, own in by_template.items():
+            starts = [start for start, _, _ in own]
+            at = 0
+            while at < len(own):
+                stop = at + 1
+                while stop < len(own) and own[stop][0] <= own[stop - 1][1] + gap:
+                    stop += 1
+                covered, first, last = best_chain(own[at:stop], gap)
+                done.append((k, first, last, covered))
+                at = max(at + 1, bisect_left(starts, last + 1, at, stop))
+        return done
+
+
+def best_chain(runs: list[tuple[int, int, set[int]]], gap: int) -> tuple[int, int, int]:
+    """runs: (first, last token, ends in the template) by first token. Covered template tokens, first and last token of the best chain.
+
+    A run follows an earlier one that ends before it in text and template and at most gap tokens before it starts;
+    what two runs share in text or template counts once.
+    """
+    best: list[tuple[int, int, int]] = []
+    reached: list[list[tuple[int, int, int]]] = []  # of each run: (end in the template, covered, first token)
+    for i, (first, last, ends) in enumerate(runs):
+        mine = []
+        for end in sorted(ends):
+            top = (last - first + 1, first)
+            for j in range(i - 1, -1, -1):
+                if runs[j][1] + gap < first:
+                    break
+                for end_j, covered, first_j in reached[j]:
+                    if end_j < end:
+                        top = max(top, (covered + min(last - first + 1, end - end_j, last - runs[j][1]), first_j), key=lambda x: (x[0], -x[1]))
+            mine.append((end, *top))
+            best.append((top[0], top[1], last))
+        reached.append(mine)
+    return max(best, key=lambda x: (x[0], -x[1], -x[2]))
 
 
 def scan_licenses(docs: DataFrame, templates=None, phrases=None, least_run: int = 4, gap: int = 12, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, places (start, label) of phrases, spans (label, first, last, coverage) of templates covered far enough, score.
 
-    A null or empty text has no words and no finds. Texts of any length stream
-    through once; repeated rows are scanned alike.
+    A run counts for the templates that hold all of it, so a text that holds a longer template whole is not
+    labelled by a shorter one inside that. A null or empty text has no words and no finds. Texts of any length stream
+    through once; repeated rows are scanned alike; of chains that cover as much, the
+    first in the text is reported; an empty table gives no rows; other columns are ignored.
     """
     machine = Automaton(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases)
 
@@ -162,6 +181,7 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, least_run: int
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Scans every document for the phrases and templates of license_texts; scan_licenses says what odd rows give."""
     out = scan_licenses(table(spark, sf_dir, "documents"))
     joined = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), ",")
     base = F.col("places.label")
