@@ -77,8 +77,8 @@ class Model:
                 self.dummy_prefix, self.trim, self.escape = (bool(f.get(k, 1)) for k in (3, 4, 5))
         self.byte_fallback = any(t == BYTE for _, _, t in self.pieces)
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        #: no piece runs across a marker, so stretches can be encoded alone
-        self.separable = not any(MARK in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED)) and not any(t == USER_DEFINED for _, _, t in self.pieces)
+        #: no piece runs across a marker and no score is summed over the text, so stretches can be encoded alone
+        self.separable = self.kind == 2 and not any(MARK in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED)) and not any(t == USER_DEFINED for _, _, t in self.pieces)
 
     def normaliser(self):
         from tokenizers import Regex, normalizers as N
@@ -90,6 +90,8 @@ class Model:
             steps.append(N.Prepend(MARK if self.escape else " "))
         if self.escape:
             steps.append(N.Replace(" ", MARK))
+            if self.trim:  # a marker that the text holds at its end counts as a space
+                steps.append(N.Replace(Regex(f"{MARK}+$"), ""))
         return N.Sequence(steps)
 
     def merges(self) -> list[tuple[str, str]]:
@@ -122,6 +124,47 @@ class Model:
         return out
 
 
+class Unigram:
+    """The best segmentation with scores summed in single precision from the text's start, as the reference sums them:
+    where two segmentations tie, rounding decides. The tokenizers library sums in double precision; texts on which the
+    two differ are encoded again here."""
+
+    def __init__(self, m: Model):
+        usable = [(p, i, s) for i, (p, s, t) in enumerate(m.pieces) if t in (NORMAL, USER_DEFINED)]
+        self.ids, self.score = {p: i for p, i, _ in usable}, {p: np.float32(s) for p, _, s in usable}
+        self.longest = max((len(p) for p in self.ids), default=1)
+        normal = [s for p, s, t in m.pieces if t == NORMAL]
+        self.unknown, self.unknown_score = m.unknown, np.float32(min(normal, default=0.0)) - np.float32(10)
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(m.pieces) if t == BYTE}
+
+    def encode(self, text: str) -> list[int]:
+        """ids of a normalised text."""
+        best: list[tuple[np.float32, int] | None] = [(np.float32(0), 0), *[None] * len(text)]
+        for at in range(len(text)):
+            so_far = best[at][0]
+            for n in range(1, min(self.longest, len(text) - at) + 1):
+                score = self.score.get(text[at : at + n])
+                if score is None:
+                    if n > 1:
+                        continue
+                    score = self.unknown_score
+                if best[at + n] is None or score + so_far > best[at + n][0]:
+                    best[at + n] = score + so_far, at
+        pieces, end = [], len(text)
+        while end:
+            pieces.append(text[best[end][1] : end])
+            end = best[end][1]
+        out: list[int] = []
+        for p in reversed(pieces):
+            if p in self.ids:
+                out.append(self.ids[p])
+            elif self.bytes:
+                out += [self.bytes[b] for b in p.encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
+
 @dataclass(frozen=True)
 class Plan:
     """What a task needs of a model: the rebuilt tokenizer, the file for the reference library, and its rules."""
@@ -162,6 +205,7 @@ class Encoder:
         self.before: dict[str, bytes] = {}  # the generation before: what is met again moves on, the rest is forgotten
         self.unequal: set[str] = set()
         self.starts = np.array(plan.starts, bool)
+        self.unigram = None if plan.separable or (model := Model(plan.data)).kind != 1 else Unigram(model)
 
     def both(self, texts: list[str], lead: int) -> list[tuple[list[int], list[int]]]:
         """ids by the tokenizer and by the reference, of texts that start with a marker
@@ -248,6 +292,9 @@ class Encoder:
             given = texts.to_pylist()
             got = [e.ids for e in self.whole.encode_batch_fast(given, add_special_tokens=False)]
             said = self.reference.encode(given, num_threads=1)
+            for i, (a, b) in enumerate(zip(got, said)):
+                if a != b and self.unigram:
+                    got[i] = self.unigram.encode(self.whole.normalizer.normalize_str(given[i]))
             return pa.array(got, pa.list_(pa.int32())), np.array([a == b for a, b in zip(got, said)], bool)
         if not self.plan.verbatim:
             return self.stretched(texts.to_pylist())
@@ -352,9 +399,11 @@ def coded(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document with the supplied model. Repeated rows are encoded alike; an empty table gives no rows;
+    other columns are ignored; coded says what null texts give."""
     return coded(table(spark, sf_dir, "documents"))
 
 
 def sentencepiece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of every document that is left (repeats of the mix included)."""
+    """Pipeline stage: the ids of every document that is left (repeats of the mix included), a row for each row; see coded for null texts."""
     return coded(docs)
