@@ -101,7 +101,10 @@ def read_back(text: Column) -> Column:
 
 
 def chains(conversations: DataFrame) -> DataFrame:
-    """Linear conversations as reply trees: every turn answers the one before (ties by role, then text)."""
+    """Linear conversations as reply trees: every turn answers the one before (ties by role, then text).
+
+    Rows without a conv_id form one conversation; repeated rows are turns of their own.
+    """
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
     order = Window.partitionBy("tree").orderBy(F.col("turn"), F.col("role"), F.col("text"))
     rows = conversations.select(tree.alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
@@ -109,6 +112,11 @@ def chains(conversations: DataFrame) -> DataFrame:
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Formats all conversations and conversation -1, and returns digests of what is read back from the output.
+
+    chains says what ties, repeated rows and null ids give; null texts and roles are empty, long texts stay whole,
+    other columns are ignored; an empty table gives conversation -1 alone.
+    """
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], given.schema)
@@ -125,3 +133,25 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _escaped_sql(text: str) -> str:
+    """The same escapes by plain replacement: no control string overlaps another."""
+    text = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for x in CONTROL:
+        text = f"replace({text}, '{x}', '{x[0]}' || chr(92) || '{x[1:]}')"
+    return text
+
+
+OP1_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {_escaped_sql('text')} AS said, replace({_escaped_sql('role')}, chr(10), chr(92) || chr(10)) AS head FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len("<|im_start|>") + 1 + len("<|im_end|>") + 1} + length(head) + length(said)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

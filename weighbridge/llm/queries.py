@@ -27,7 +27,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .chat import OP1_SQL
     from .exact_dedup import OP4_SQL
     from .jaccard_join import OP9_SQL
 
-    return {"op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}
