@@ -396,8 +396,8 @@ def test_matching_statistics_equal_brute_force():
         maximal = {(i - k + 1, k) for i, k in enumerate(stat) if k and (i == 29 or stat[i + 1] <= k)}
         assert {(s, n) for s, n, _ in runs} == maximal
         for s, n, state in runs:
-            for k, at in m.ends[state].items():
-                assert m.texts[k][at - n + 1 : at + 1] == text[s : s + n]
+            for k, ends in m.ends[state].items():
+                assert ends == {at for at in range(len(m.texts[k])) if m.texts[k][at - n + 1 : at + 1] == text[s : s + n] and at >= n - 1}
 
 
 def test_best_chain_equals_brute_force():
@@ -558,7 +558,7 @@ class PlainTree:
                 if t < least or (k > 1 and ctx[1:] not in self.kept):
                     continue
                 gain = sum(v * (math.log(v / t) + min(255, max(0, round(-8 * math.log2(self.p(ctx[1:], w))))) * math.log(2) / 8) for w, v in c.items())
-                if gain > 0.5 * len(c) * math.log(t):
+                if gain > 0.5 * len(c) * math.log(t) + 1e-6:
                     self.kept.add(ctx)
 
     def p(self, ctx, w):
