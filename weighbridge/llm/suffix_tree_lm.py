@@ -168,8 +168,8 @@ class Setting:
 
 
 def diverges(gain, kinds, t):
-    """Whether sum c ln(c / q) of a context, kinds next symbols and t in all, is worth its parameters."""
-    return gain - t * np.log(t) > 0.5 * kinds * np.log(t)
+    """Whether sum c ln(c / q) of a context, kinds next symbols and t in all, is worth its parameters (equal within rounding: no)."""
+    return gain - (t + 0.5 * kinds) * np.log(t) > 1e-6
 
 
 class Walk:
@@ -304,7 +304,7 @@ def tested(known: Setting, level: int):
     return run
 
 
-def score_texts(docs: DataFrame, depth: int = 2, least_count: int = 2, chunk_words: int = 2_000_000, bucket_words: int = 2_000_000, hot_count: int = 500_000) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 2, least_count: int = 2, chunk_words: int = 1_000_000, bucket_words: int = 2_000_000, hot_count: int = 500_000) -> DataFrame:
     """docs: doc_id, text, held_out. One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out; null texts are empty (one end).
