@@ -241,7 +241,10 @@ def within_class(cells: DataFrame, key: str) -> DataFrame:
 
 
 def pattern_weights(patterns: DataFrame, covariance: DataFrame, difference: DataFrame) -> DataFrame:
-    """w = S^-1 d on the measured subset of each distinct missingness pattern (patterns: comma-joined signals)."""
+    """w = S^-1 d on the measured subset of each distinct missingness pattern (patterns: comma-joined signals).
+
+    Unknown covariances count as 0. Where a difference is unknown (one outcome class) or the system has no solution, w is null.
+    """
     S = {(r["a"], r["b"]): r["covariance"] for r in covariance.collect()}  # signals x signals
     d = {r["signal"]: r["d"] for r in difference.collect()}
 
@@ -251,8 +254,10 @@ def pattern_weights(patterns: DataFrame, covariance: DataFrame, difference: Data
             for p in pdf["pattern"]:
                 names = [s for s in p.split(",") if s in d]
                 if names:
-                    M = np.array([[S.get((min(a, b), max(a, b)), 0.0) for b in names] for a in names]) + 1e-9 * np.eye(len(names))
-                    out += [(p, s, float(w)) for s, w in zip(names, np.linalg.solve(M, [d[s] for s in names]))]
+                    M = np.array([[S.get((min(a, b), max(a, b))) or 0.0 for b in names] for a in names]) + 1e-9 * np.eye(len(names))
+                    known = all(d[s] is not None for s in names) and np.linalg.matrix_rank(M) == len(names)
+                    w = np.linalg.solve(M, [d[s] for s in names]).tolist() if known else [None] * len(names)
+                    out += list(zip([p] * len(names), names, w))
             yield type(pdf)(out, columns=["pattern", "signal", "w"])
 
     return patterns.select("pattern").distinct().mapInPandas(run, "pattern string, signal string, w double")
@@ -265,11 +270,16 @@ def patterns(cells: DataFrame, key: str) -> DataFrame:
 
 
 def stacked(design: DataFrame, features: list[str], y: str, non_negative: bool):
-    """Logistic stack of evidence columns, unconstrained or with non-negative weights; returns (weights rows, model)."""
+    """Logistic stack of evidence columns, unconstrained or with non-negative weights; returns (weights rows, model).
+
+    Without both outcome classes nothing can be fitted: all weights are null and there is no model.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.linalg import Matrices
 
+    if design.select(y).filter(F.col(y).isNotNull()).distinct().count() < 2:
+        return design.sparkSession.createDataFrame([(f, None) for f in (*features, "intercept")], "feature string, weight double"), None
     v = VectorAssembler(inputCols=features, outputCol="v").transform(design.select(*features, F.col(y).cast("double").alias("label")))
     lr = LogisticRegression(featuresCol="v", labelCol="label", maxIter=50, standardization=False)
     if non_negative:

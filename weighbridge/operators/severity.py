@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import band
+from ..functions.scalars import band, logit
 
 # Published bands of the acute physiology score and of the organ failure score.
 # variable -> (right-open breaks, points); the last points hold from the last break on.
@@ -156,20 +156,25 @@ def recalibrated(df: DataFrame, score: str, y: str, fold: str, iterations: int =
 
     Scores are few integers, so rows first become (fold, score) counts; fold
     totals are subtracted from overall ones and every Newton step is one small
-    grouped aggregate over those cells.
+    grouped aggregate over those cells. A step that has no solution (one score,
+    or one outcome class in the training rows) leaves the coefficients as they
+    are; without both classes the prior logit is unknown and l is null.
     """
-    df = df.persist()  # read by every step
     cells = df.groupBy(fold, score).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("d")).persist()
     folds = cells.select(F.col(fold).alias("out")).distinct()
     train = cells.crossJoin(F.broadcast(folds)).filter(F.col(fold) != F.col("out"))
-    b = train.groupBy("out").agg((F.sum("d") / F.sum("n")).alias("p")).select("out", F.log(F.col("p") / (1 - F.col("p"))).alias("b0"), F.lit(0.0).alias("b1"), F.log(F.col("p") / (1 - F.col("p"))).alias("prior"))
+    b = train.groupBy("out").agg((F.sum("d") / F.sum("n")).alias("p")).select("out", F.when(F.col("p").between(1e-12, 1 - 1e-12), logit(F.col("p"))).alias("prior"))
+    b = b.select("out", F.coalesce("prior", F.lit(0.0)).alias("b0"), F.lit(0.0).alias("b1"), "prior")
     for _ in range(iterations):
         t = train.join(F.broadcast(b), "out").withColumn("p", 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col(score)))))
         w, r, x = F.col("n") * F.col("p") * (1 - F.col("p")), F.col("d") - F.col("n") * F.col("p"), F.col(score)
         s = t.groupBy("out").agg(F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prior").alias("prior"))
         det = F.col("s0") * F.col("s2") - F.col("s1") ** 2
-        rows = s.select("out", (F.col("b0") + (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det).alias("b0"), (F.col("b1") + (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det).alias("b1"), "prior").collect()
-        b = df.sparkSession.createDataFrame(rows, b.schema)  # two numbers per fold
+        solvable = F.abs(det) > 1e-12 * F.greatest(F.abs(F.col("s0") * F.col("s2")), F.lit(1e-300))
+        step = lambda x, y, u, v: F.when(solvable, (F.col(x) * F.col(y) - F.col(u) * F.col(v)) / det).otherwise(0.0)
+        rows = s.select("out", (F.col("b0") + step("s2", "g0", "s1", "g1")).alias("b0"), (F.col("b1") + step("s0", "g1", "s1", "g0")).alias("b1"), "prior").collect()
+        b = df.sparkSession.createDataFrame(rows, ", ".join([f"out {cells.schema[fold].dataType.simpleString()}", "b0 double", "b1 double", "prior double"]))  # two numbers per fold
+    cells.unpersist()
     return df.join(F.broadcast(b), F.col(fold) == F.col("out")).withColumn("l", F.col("b0") + F.col("b1") * F.col(score) - F.col("prior")).drop("out", "b0", "b1", "prior")
 
 

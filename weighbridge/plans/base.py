@@ -31,18 +31,17 @@ def events(spark, d) -> DataFrame:
 
 def people(spark, d) -> DataFrame:
     """user_id, intime, landmark, last_ts, event_at, y, fold, site."""
-    e = events(spark, d)
-    c = cohort.landmark(e.groupBy("user_id").agg(F.min("ts").alias("intime"), F.max("ts").alias("last_ts")), BINS)
-    late = e.filter("event_type = 'error' and value > 100").join(c.select("user_id", "landmark"), "user_id").filter("ts >= landmark")
-    c = c.join(late.groupBy("user_id").agg(F.min("ts").alias("event_at")), "user_id", "left")
+    late = (F.col("signal") == "error") & (F.col("value") > 100) & (F.col("bin") >= BINS)  # at or after the landmark
+    c = raw(spark, d).groupBy("user_id").agg(F.first("intime").alias("intime"), F.max("ts").alias("last_ts"), F.min(F.when(late, F.col("ts"))).alias("event_at"))
+    c = cohort.landmark(c, BINS).select("user_id", "intime", "last_ts", "landmark", "event_at")
     fold = F.floor(uniform(F.lit(5), F.col("user_id")) * FOLDS).cast("int") + 1
     return c.withColumns({"y": F.col("event_at").isNotNull().cast("int"), "fold": fold, "site": F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")})
 
 
 def raw(spark, d) -> DataFrame:
     """user_id, signal, value, bin, ts of events with their bin."""
-    c = people(spark, d).select("user_id", "intime")
-    return events(spark, d).join(c, "user_id").select("user_id", F.col("event_type").alias("signal"), "value", lattice.bin_of(F.col("ts"), F.col("intime"), DAY).alias("bin"), "ts", "intime")
+    e = events(spark, d)
+    return e.join(e.groupBy("user_id").agg(F.min("ts").alias("intime")), "user_id").select("user_id", F.col("event_type").alias("signal"), "value", lattice.bin_of(F.col("ts"), F.col("intime"), DAY).alias("bin"), "ts", "intime")
 
 
 def bounds(spark) -> DataFrame:

@@ -27,13 +27,18 @@ def aggregates(spark, d):
     return S.scan(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"), r4(F.avg("l_quantity")).alias("mean_q"), r4(F.var_pop("l_quantity")).alias("var_q"), r4(F.covar_pop("l_quantity", "l_discount")).alias("covariance"), r4(F.corr("l_quantity", "l_extendedprice")).alias("correlation"), r4(F.expr("percentile_disc(0.5) within group (order by l_extendedprice)")).alias("median_price"))
 
 
-@query("windows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, row_number() OVER w AS rn, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS dr, round(lead(l_quantity) OVER w, 6) + 0.0 AS next_q, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2 AS mid FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+@query("windows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, row_number() OVER w AS rn, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS dr, round(lead(l_quantity) OVER w, 6) + 0.0 AS next_q, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2 AS mid FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag)")
 def windows(spark, d):
-    """Ranking, lead and mid-ranks."""
+    """Ranking, lead and mid-ranks; line numbers repeat inside an order, so rows are ordered by all that tells them apart."""
     w = Window.partitionBy("l_orderkey")
-    l = S.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    l = l.withColumns({"rn": F.row_number().over(w.orderBy("l_linenumber")), "dr": F.dense_rank().over(w.orderBy("l_returnflag")), "next_q": F.lead("l_quantity").over(w.orderBy("l_linenumber"))})
-    return B.rounded(midrank(l, ["l_orderkey"], "l_quantity", "mid").drop("l_quantity", "l_returnflag"))
+    total = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+    l = S.scan(spark, d, "lineitem").select("l_orderkey", *total)
+    l = l.withColumns({
+        "rn": F.row_number().over(w.orderBy(*total)),
+        "dr": F.dense_rank().over(w.orderBy("l_returnflag")),
+        "next_q": F.lead("l_quantity").over(w.orderBy(*total)),
+    })
+    return B.rounded(midrank(l, ["l_orderkey"], "l_quantity", "mid").drop("l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"))
 
 
 @query("arrays", "SELECT o_custkey, (max_by({'k': o_orderkey, 's': o_orderstatus}, o_totalprice)).k AS dearest, len(list(o_orderkey))::BIGINT AS orders, date_sub('hour', min(o_orderdate), max(o_orderdate)) AS hours FROM orders GROUP BY 1")
