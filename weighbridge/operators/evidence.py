@@ -38,10 +38,11 @@ def basis(rows: DataFrame, knot_table: DataFrame, covariates: list[str], n_knots
     return d.drop(*[f"knots_{c}" for c in covariates]), names
 
 
-def fit_additive(design: DataFrame, names: list[str], n_folds: int, ridge: float = 1.0, iterations: int = 8) -> DataFrame:
-    """Coefficients (array), edf, deviance and null deviance for every (signal, role_fold).
+def fit_additive(design: DataFrame, names: list[str], n_folds: int, ridge: float = 1.0, iterations: int = 8, roles: dict[int, list[int]] | None = None) -> DataFrame:
+    """Coefficients (array), edf, deviance and null deviance for every (signal, role_fold).
 
-    design: signal, fold, y, basis columns. role_fold 0 uses all rows, f leaves fold f out.
+    design: signal, fold, y, basis columns. role_fold 0 uses all rows, f leaves fold f out; roles names other sets
+    of folds to leave out (A9: pairs).
     Columns are scaled by their root mean square so that one ridge serves all.
     """
     spark, p = design.sparkSession, len(names)
@@ -49,7 +50,9 @@ def fit_additive(design: DataFrame, names: list[str], n_folds: int, ridge: float
     x = F.array(*[F.col(n) for n in names])
     d = design.join(F.broadcast(scale), "signal").select("signal", "fold", "y", F.zip_with(x, "scale", lambda a, s: F.when(s > 0, a / s).otherwise(0.0)).alias("x"))
     base = d.persist()  # every Newton step reads it; a lost block is computed again
-    d = base.withColumn("role_fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds)))).filter("fold != role_fold")
+    roles = {0: [], **{f: [f] for f in range(1, n_folds + 1)}} if roles is None else roles
+    of = F.array(*[F.struct(F.lit(r).alias("role_fold"), F.array(*map(F.lit, out)).cast("array<int>").alias("out")) for r, out in roles.items()])
+    d = base.withColumn("role", F.explode(of)).filter(~F.array_contains("role.out", F.col("fold"))).withColumn("role_fold", F.col("role.role_fold")).drop("role")
     jobs = [(r["signal"], r["role_fold"]) for r in d.select("signal", "role_fold").distinct().collect()]
     beta = {j: np.zeros(p) for j in jobs}
     schema = "signal string, role_fold int, b array<double>"
@@ -125,6 +128,26 @@ def dominant_atom(frame: DataFrame) -> DataFrame:
     return c.groupBy("signal", "covariate").agg(F.min(F.struct((-F.col("m")).alias("m"), "x")).alias("a"), F.sum("m").alias("n")).select("signal", "covariate", F.col("a.x").alias("atom"), (-F.col("a.m") / F.col("n")).alias("share"))
 
 
+def pair_fold_evidence(design: DataFrame, names: list[str], n_folds: int, key: str, **fit) -> DataFrame:
+    """Evidence of every row from the fits that leave out its own fold and one other: key, signal, fold, other, y, l.
+
+    A stack that is tested on fold `other` can be trained on these without having seen it.
+    """
+    pairs = {100 * a + b: [a, b] for a in range(1, n_folds + 1) for b in range(a + 1, n_folds + 1)}
+    fitted = fit_additive(design, names, n_folds, roles=pairs, **fit)
+    low, high = F.floor(F.col("role_fold") / 100).cast("int"), (F.col("role_fold") % 100).cast("int")
+    both = F.array(F.struct(low.alias("fold"), high.alias("other")), F.struct(high.alias("fold"), low.alias("other")))
+    f = fitted.select("signal", "b", "prior", F.explode(both).alias("p")).select("signal", "b", "prior", "p.*")
+    eta = F.aggregate(F.zip_with(F.array(*[F.col(n) for n in names]), "b", lambda a, c: a * c), F.lit(0.0), lambda a, c: a + c)
+    return design.join(F.broadcast(f), ["signal", "fold"]).select(key, "signal", "fold", "other", "y", (eta - F.col("prior")).alias("l"))
+
+
+def permuted_nonzero(rows: DataFrame, key: str, value: str, within: list[str], seed: int) -> DataFrame:
+    """Values other than 0 shuffled among the rows that have one, inside each group; zeros and unknown values stay where they are."""
+    moved = F.coalesce(F.col(value) != 0, F.lit(False))
+    return rows.filter(~moved).select(key, *within, value).unionByName(permuted(rows.filter(moved), key, value, within, seed).select(key, *within, value))
+
+
 def permuted(rows: DataFrame, key: str, value: str, within: list[str], seed: int) -> DataFrame:
     """Values shuffled among the rows of a class, by joining hash order to key order."""
     at = lambda df, order: prefix_sums(df.withColumn("_one", F.lit(1)), within, order, ["_one"], few=True).withColumnRenamed("before__one", "_i")

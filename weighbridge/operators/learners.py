@@ -37,6 +37,54 @@ def boosted(design: DataFrame, features: list[str], key: str, y: str, validation
     return scored.select(key, y, (F.log(F.col("p") / (1 - F.col("p"))) - F.log(F.lit(base) / (1 - F.lit(base)))).alias("l")), model
 
 
+def raw_design(features: DataFrame, key: str, name: str, values: list[str], names: list[str]) -> DataFrame:
+    """B1: one column name__value per declared name and value, null where unmeasured; columns that are null everywhere go (one aggregate)."""
+    wide = features.groupBy(key).agg(*[F.max(F.when(F.col(name) == n, F.col(v))).alias(f"{n}__{v}") for n in names for v in values])
+    columns = [c for c in wide.columns if c != key]
+    seen = wide.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first().asDict()
+    return wide.select(key, *[F.col(f"`{c}`") for c in columns if seen[c]])
+
+
+def constructed_design(covariates: DataFrame, interventions: DataFrame, key: str, names: list[str], covariate_names: list[str], intervention_names: list[str]) -> DataFrame:
+    """B2: the modelled covariates of every signal (long: key, signal, covariate, x) and each intervention's exposure once (key, intervention, x; absent: 0)."""
+    left = covariates.groupBy(key).agg(*[F.max(F.when((F.col("signal") == s) & (F.col("covariate") == c), F.col("x"))).alias(f"{s}__{c}") for s in names for c in covariate_names])
+    right = interventions.groupBy(key).agg(*[F.max(F.when(F.col("intervention") == i, F.col("x"))).alias(f"{i}__exposure") for i in intervention_names])
+    return left.join(right, key, "left").fillna(0.0, [f"{i}__exposure" for i in intervention_names])
+
+
+def cross_fitted(design: DataFrame, features: list[str], key: str, y: str, fold: str, n_folds: int, rounds: int = 10, depth: int = 3, held_share: float = 0.25) -> DataFrame:
+    """Every row scored by trees that never saw its fold: key, fold, y, rounds, l = logit p - logit of the training rate, p clipped.
+
+    For each fold a hashed share of the other folds' keys chooses the number of rounds (early stopping); the trees are then
+    fitted again to all rows of the other folds. A fold whose training rows hold one outcome class gives null l and 0 rounds.
+    """
+    from functools import reduce
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ..functions.scalars import uniform
+
+    v = VectorAssembler(inputCols=features, outputCol="v").transform(design.withColumn("label", F.col(y).cast("double")))
+    v = v.withColumn("held", uniform(F.lit("inner"), F.col(key)) < held_share).select(key, F.col(fold).alias("fold"), F.col(y).alias("y"), "label", "held", "v").persist()
+    out = []
+    for f in range(1, n_folds + 1):
+        train, test = v.filter(F.col("fold") != f), v.filter(F.col("fold") == f)
+        classes = {(r["held"], r["label"]) for r in train.select("held", "label").distinct().collect()}
+        if len({label for _, label in classes}) < 2:
+            out.append(test.select(key, "fold", "y", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("l")))
+            continue
+        gbt = GBTClassifier(featuresCol="v", labelCol="label", maxIter=rounds, maxDepth=depth, seed=1)
+        best = gbt.copy({gbt.validationIndicatorCol: "held"}).fit(train).getNumTrees if len(classes) == 4 else rounds
+        model = gbt.copy({gbt.maxIter: best}).fit(train)
+        base = train.agg(F.avg("label")).first()[0]
+        p = F.least(F.greatest(F.element_at(vector_to_array("probability"), 2), F.lit(1e-6)), F.lit(1 - 1e-6))
+        scored = model.transform(test).withColumn("p", p)
+        out.append(scored.select(key, "fold", "y", F.lit(best).alias("rounds"), (F.log(F.col("p") / (1 - F.col("p"))) - F.log(F.lit(base) / (1 - F.lit(base)))).alias("l")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def importances(model, features: list[str], spark) -> DataFrame:
     """Gain per feature, its group (the part before '__'), and the group's sum."""
     rows = spark.createDataFrame([(f, f.split("__")[0], float(w)) for f, w in zip(features, model.featureImportances.toArray())], "feature string, grp string, gain double")

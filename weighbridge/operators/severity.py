@@ -181,3 +181,45 @@ def recalibrated(df: DataFrame, score: str, y: str, fold: str, iterations: int =
 def by_domain(evidence: DataFrame, domains: DataFrame, key: str) -> DataFrame:
     """Sum of evidence within each declared domain; signals without a domain form 'uncovered'."""
     return evidence.join(F.broadcast(domains), "signal", "left").groupBy(key, F.coalesce("domain", F.lit("uncovered")).alias("domain")).agg(F.sum("l").alias("l"))
+
+
+def covered(df: DataFrame, least: dict[str, int]) -> DataFrame:
+    """A flag per presence count (count column -> fewest known inputs), and their joint mask; unknown counts are not covered."""
+    flags = {f"covers_{c}": F.coalesce(F.col(c) >= k, F.lit(False)).cast("int") for c, k in least.items()}
+    return df.withColumns(flags).withColumn("covered", F.least(*[F.col(f) for f in flags]) if len(flags) > 1 else F.col(next(iter(flags))))
+
+
+def severity_assembly(cohort: DataFrame, acute: DataFrame, organ: DataFrame, recorded: DataFrame, key: str, least_acute: int = 10, least_organs: int = 4) -> DataFrame:
+    """Both scores beside the cohort, the joint coverage mask, and whether the recorded number of known inputs is not the one scored."""
+    df = covered(assembled(cohort, [acute, organ, recorded], key), {"acute_present": least_acute, "organs_present": least_organs})
+    return df.withColumn("disagrees", (~F.col("recorded").eqNullSafe(F.col("acute_present"))).cast("int"))
+
+
+def comparison_arms(assembly: DataFrame, arms: dict[str, str], columns: list[str]) -> DataFrame:
+    """The rows on which every arm is known and coverage holds, once per arm: columns, arm, score."""
+    known = assembly.filter("covered = 1")
+    for c in arms.values():
+        known = known.filter(F.col(c).isNotNull())
+    return known.select(*columns, F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).cast("double").alias("score")) for a, c in arms.items()])).alias("s")).select(*columns, "s.*")
+
+
+def domains_against(sums: DataFrame, outcome: DataFrame, other: DataFrame, key: str, score: str) -> DataFrame:
+    """For each domain of (key, domain, l): AUROC, AUPRC and lift of the sum, and its Spearman correlation with another score of the key."""
+    from .metrics import discrimination
+
+    rows = sums.join(outcome, key).join(other, key).select("domain", F.col("l").alias("score"), "y", F.col(score).cast("double").alias("other"))
+    ranked = agreement_by(rows.filter("score is not null and other is not null"), "domain", "score", "other")
+    return discrimination(rows, ["domain"]).join(ranked, "domain", "left")
+
+
+def agreement_by(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """Spearman correlation of a and b within groups: mid-ranks by prefix sums over distinct values."""
+    from ..functions.scalars import prefix_sums
+
+    cells = rows.groupBy(by, a, b).agg(F.count(F.lit(1)).alias("m"))
+    for x in (a, b):
+        ranks = prefix_sums(cells.groupBy(by, x).agg(F.sum("m").alias("t")), [by], x, ["t"])
+        cells = cells.join(ranks.select(by, x, (F.col("before_t") + (F.col("t") + 1) / 2.0).alias(f"r_{x}")), [by, x])
+    c = cells.join(cells.groupBy(by).agg(((F.sum("m") + 1) / 2.0).alias("mid")), by)
+    s = lambda x, y: F.sum(F.col("m") * (F.col(f"r_{x}") - F.col("mid")) * (F.col(f"r_{y}") - F.col("mid")))
+    return c.groupBy(by).agg(F.try_divide(s(a, b), F.sqrt(s(a, a)) * F.sqrt(s(b, b))).alias("spearman"))

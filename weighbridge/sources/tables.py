@@ -13,9 +13,17 @@ def scan(spark: SparkSession, sf_dir: str, name: str, schema: StructType | None
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    """The logical tables of a site, registered as temporary views."""
-    out = {n: scan(spark, sf_dir, n) for n in names}
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may go without one; a cluster's machines do not share /tmp."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (root or "/tmp/checkpoints/weighbridge").rstrip("/")
+
+
+def load_tables(spark: SparkSession, sf_dir: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The logical tables of a site by declared schema, registered as temporary views."""
+    out = {n: scan(spark, sf_dir, n, StructType.fromDDL(ddl)) for n, ddl in schemas.items()}
     for n, df in out.items():
         df.createOrReplaceTempView(n)
     return out
@@ -65,6 +73,12 @@ def spec_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, ddl).coalesce(1))
 
 
+def resolved_spec(spark: SparkSession, names: list[str], fields: dict[str, tuple[str, object]], overrides: dict[str, dict]) -> DataFrame:
+    """One row per declared name with every field (type, default) resolved; an override that is None keeps the default."""
+    rows = [(n, *[default if (own := overrides.get(n, {}).get(f)) is None else own for f, (_, default) in fields.items()]) for n in names]
+    return spec_table(spark, rows, "signal string, " + ", ".join(f"{f} {kind}" for f, (kind, _) in fields.items()))
+
+
 def windowed_scan(source: DataFrame, cohort: DataFrame, key: str, at: str) -> DataFrame:
     """Source rows of cohort members inside [intime, landmark). Time bounds of the cohort prune the scan first."""
     span = cohort.agg(F.min("intime").alias("lo"), F.max("landmark").alias("hi")).first()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_root
+
 
 def binned_stream(stream: DataFrame, late: str = "2 days", width: str = "1 day") -> DataFrame:
     """signal, day_s, n_raw, bin_min, bin_max of a stream with ts, event_type, value; rows later than the watermark go."""
@@ -18,8 +19,7 @@ def binned_stream(stream: DataFrame, late: str = "2 days", width: str = "1 day")
 
 def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams the event files to their end and gives the lattice. Output and state lie in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weighbridge-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: one file or a folder of files
 
