@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,8 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else "/tmp/checkpoints/weighbridge"
-    return where.rstrip("/")
+        where = found.get() if found.isDefined() else None
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (where or "/tmp/checkpoints/weighbridge").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """__row (a number of its own for every row, the same in every run), __doc (all columns of docs), doc_id and text.
+
+    Rows of a Parquet scan are numbered by file and place; those of any other frame are written once.
+    """
+    whole = F.struct("*").alias("__doc")
+    try:
+        at = docs.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"), whole)
+    except AnalysisException:
+        keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), whole), "keyed-rows")
+    else:
+        files = at.select("__path").distinct().withColumn("__file", F.row_number().over(Window.orderBy("__path")))  # one row a file
+        files = written(files, "files")
+        numbered = at.join(broadcast_if_small(files, files.count(), 400), "__path")
+        keyed = numbered.select((F.shiftleft(F.col("__file").cast("long"), 40) + F.col("__at")).alias("__row"), "__doc")
+    return keyed.select("__row", "__doc", "__doc.doc_id", "__doc.text")
+
+
 def first_of_groups(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """keyed: __row, doc_id, ...; groups: __row, grp. keyed's rows less all of a group but the first: least doc_id, null last, then least row."""
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, first_of_groups, table, written
+from .common import SPACE, first_of_groups, keyed_rows, table, written
 
 ID_LAST = (1 << 63) - 1
 
@@ -101,10 +101,10 @@ FROM n
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts, that of the smallest doc_id; null ids come last.
 
-    Rows are told apart by a row key written once, so repeated and null ids
+    Rows are told apart by a row key, so repeated and null ids
     neither lose another row nor keep a copy. All columns come back, whatever
     their names; a null text is an empty one; an empty table gives no rows.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"), "doc_id", "text"), "dedup-rows")
+    keyed = keyed_rows(docs)
     groups = exact_dedup(keyed, id_col="__row").filter("group_size > 1").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("grp"))
     return first_of_groups(keyed, groups).select("__doc.*")

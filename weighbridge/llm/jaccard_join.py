@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, first_of_groups, mixed, table, written
+from .common import broadcast_if_small, first_of_groups, keyed_rows, mixed, table, written
 
 ID_LAST = (1 << 63) - 1
 MASK = (1 << 64) - 1
@@ -399,11 +399,11 @@ SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVE
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group only the row with the smallest doc_id stays; null ids come last.
 
-    Rows are told apart by a row key written once, so repeated and null ids
+    Rows are told apart by a row key, so repeated and null ids
     neither lose another row nor keep a copy. Wordless and null texts all stay.
     All columns come back, whatever their names; an empty table gives no rows.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"), "doc_id", "text"), "jj-rows")
+    keyed = keyed_rows(docs)
     named = written(jaccard_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("grp")), "jj-named")
     several = named.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp")
     return first_of_groups(keyed, named.join(several, "grp", "left_semi")).select("__doc.*")
