@@ -57,7 +57,8 @@ def _assembly(spark, d):
     oxygen = F.when(F.col("fio2") >= 50, F.col("gradient")).otherwise(F.col("pao2"))
     recorded = given.select("user_id", (F.lit(11) + oxygen.isNotNull().cast("long")).alias("recorded"))  # ten variables, consciousness, oxygenation
     acute = V.acute_score(given).select("user_id", "acute_score", "acute_present")
-    return V.severity_assembly(B.people(spark, d).select("user_id", "y", "fold", "site"), acute, organ_score(spark, d), recorded, "user_id")
+    out = V.severity_assembly(B.people(spark, d).select("user_id", "y", "fold", "site"), acute, organ_score(spark, d), recorded, "user_id")
+    return S.scan_once(out, _out(spark, "assembly"))  # every arm and site reads it
 
 
 @query("severity_assembly", ASSEMBLY)
@@ -97,7 +98,9 @@ SELECT m.*, r.spearman FROM ({lifted(auc_sql("dom", "domain"))}) m LEFT JOIN (
 def domain_against_organ(spark, d):
     """Evidence by domain, the uncovered one too, against the outcome and the organ score."""
     sums = V.by_domain(B.evidence(spark, d), B.domains(spark), "user_id").withColumn("l", F.round("l", 4) + F.lit(0.0))
-    return B.rounded(V.domains_against(sums, B.people(spark, d).select("user_id", "y"), organ_score(spark, d).select("user_id", "organ_score"), "user_id", "organ_score"))
+    sums = S.scan_once(sums.join(B.people(spark, d).select("user_id", "y"), "user_id"), _out(spark, "domains"))
+    organ = S.scan_once(organ_score(spark, d).select("user_id", "organ_score"), _out(spark, "organ"))
+    return B.rounded(V.domains_against(sums.drop("y"), sums.select("user_id", "y").distinct(), organ, "user_id", "organ_score"))
 
 
 _U = B.UNIFORM.format("concat_ws('|', 14, l_key)")
