@@ -203,10 +203,12 @@ def test_trees_use_lexical_features_and_judge_apart(spark):
     assert got.select("verdict").distinct().count() == 2 and got.select("probability").distinct().count() > 20
 
 
-def test_share_of_a_huge_table_is_not_empty():
+def test_share_of_a_huge_table_is_not_empty(spark):
     from weighbridge.llm.common import hashed_share
 
-    assert "< 0" not in str(hashed_share("key", 1, 20_000 / 10**13))
+    assert "< 0)" not in str(hashed_share("key", 1, 20_000 / 10**13))
+    shares = [spark.range(20_000).filter(hashed_share("id", 1, x)).count() for x in (0.0, 0.1, 1.0, 3.0)]
+    assert shares[0] == 0 and 1800 < shares[1] < 2200 and shares[2:] == [20_000, 20_000]
 
 
 def test_boosting_learns_and_generalises(spark):

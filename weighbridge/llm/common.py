@@ -65,8 +65,8 @@ def first_of_groups(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """keyed: __row, doc_id, ...; groups: __row, grp. keyed's rows less all of a group but the first: least doc_id, null last, then least row."""
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     at = written(groups.join(keyed.select("__row", "doc_id"), "__row").select("__row", "grp", last.alias("at")), "group-rows")
-    first = at.groupBy("grp").agg(F.min("at").alias("first"))
-    gone = at.join(first, "grp").filter("__row <> first.__row").select("__row")
+    first = written(at.groupBy("grp").agg(F.min("at").alias("first")), "group-firsts")
+    gone = at.join(broadcast_if_small(first, first.count(), 96), "grp").filter("__row <> first.__row").select("__row")
     return keyed.join(gone, "__row", "left_anti")
 
 
