@@ -163,3 +163,57 @@ def test_no_window_over_a_whole_group(spark):
     assert moved.count() == 2000 and moved.agg(F.sum("s")).first()[0] == rows.filter("y is not null").agg(F.sum("s")).first()[0]
     a, b = (rows.toPandas()[c].rank() for c in "st")
     assert abs(agree.first().spearman - a.corr(b)) < 1e-9
+
+
+def test_pair_fold_evidence_does_not_see_the_two_folds(spark):
+    from weighbridge.operators import evidence as E
+
+    rng = random.Random(3)
+    rows = [(i, "s", i % 3 + 1, int(rng.random() < 0.4), 1.0, rng.random()) for i in range(240)]
+    ddl = "id int, signal string, fold int, y int, z_0 double, z_x double"
+    flipped = [(i, s, f, 1 - y if f in (1, 2) else y, a, b) for i, s, f, y, a, b in rows]
+    a, b = ({(r.id, r.other): r.l for r in E.pair_fold_evidence(spark.createDataFrame(x, ddl), ["z_0", "z_x"], 3, "id", iterations=3).collect()} for x in (rows, flipped))
+    assert len(a) == 480
+    for (i, other), l in a.items():
+        same = {i % 3 + 1, other} == {1, 2}
+        assert (abs(l - b[i, other]) < 1e-9) == same
+
+
+def test_cross_fitted_trees_do_not_see_the_rows_they_score(spark):
+    from weighbridge.operators import learners
+
+    rng = random.Random(4)
+    rows = [(i, i % 3 + 1, rng.randint(0, 1), rng.random()) for i in range(300)]
+    noise = learners.cross_fitted(spark.createDataFrame(rows, "id int, fold int, y int, x double"), ["x"], "id", "y", "fold", 3, rounds=4).collect()
+    assert len(noise) == 300 and all(r.rounds >= 1 for r in noise)
+    right = sum((r.l > 0) == (r.y == 1) for r in noise) / 300
+    assert right < 0.62  # labels are noise: scores of rows that were trained on would do better
+    clear = [(i, f, int(x > 0.5), x) for i, f, _, x in rows]
+    got = learners.cross_fitted(spark.createDataFrame(clear, "id int, fold int, y int, x double"), ["x"], "id", "y", "fold", 3, rounds=4).collect()
+    assert sum((r.l > 0) == (r.y == 1) for r in got) / 300 > 0.95
+    one = learners.cross_fitted(spark.createDataFrame([(i, i % 3 + 1, 1, 0.5) for i in range(9)], "id int, fold int, y int, x double"), ["x"], "id", "y", "fold", 3)
+    assert {(r.rounds, r.l) for r in one.collect()} == {(0, None)}
+
+
+def test_zero_preserving_shuffle(spark):
+    from weighbridge.operators import evidence as E
+
+    rows = [(i, "ab"[i % 2], float(i % 5)) for i in range(100)] + [(200, "a", None)]
+    got = E.permuted_nonzero(spark.createDataFrame(rows, "id int, g string, v double"), "id", "v", ["g"], 3).collect()
+    old, new = {i: (g, v) for i, g, v in rows}, {r.id: (r.g, r.v) for r in got}
+    assert old.keys() == new.keys() and old != new
+    assert all(new[i] == x for i, x in old.items() if not x[1])
+    assert all(sorted(v for g, v in old.values() if g == k and v) == sorted(v for g, v in new.values() if g == k and v) for k in "ab")
+
+
+def test_one_class_inputs_have_defined_results(spark):
+    from weighbridge.operators import evidence as E
+    from weighbridge.operators import severity as V
+
+    df = spark.createDataFrame([(i, i % 3 + 1, 1, i % 4, float(i)) for i in range(12)], "id int, fold int, y int, score int, s double")
+    assert {r.l for r in V.recalibrated(df, "score", "y", "fold").collect()} == {None}
+    weights, model = E.stacked(df, ["s"], "y", True)
+    assert model is None and {r.weight for r in weights.collect()} == {None}
+    cov = spark.createDataFrame([("a", "a", 1.0)], "a string, b string, covariance double")
+    got = E.pattern_weights(spark.createDataFrame([("a",), ("a,b",)], "pattern string"), cov, spark.createDataFrame([("a", 2.0), ("b", None)], "signal string, d double")).collect()
+    assert {(r.pattern, r.signal, None if r.w is None else round(r.w, 3)) for r in got} == {("a", "a", 2.0), ("a,b", "a", None), ("a,b", "b", None)}

@@ -219,7 +219,11 @@ def contrasts(spark, d):
     return A.contrasts(_manifest(spark, d))
 
 
-@query("shape_check")
+SHAPES = REPS + """,
+shp AS (SELECT replicate, count(*) AS cells, count_if(a IS NULL OR isnan(a)) AS not_finite, list(vec_id || '|' || signal ORDER BY vec_id, signal) AS members FROM reps GROUP BY 1)"""
+
+
+@query("shape_check", B.sql(SHAPES, "SELECT replicate, cells, not_finite, (members = (SELECT members FROM shp ORDER BY replicate LIMIT 1) AND not_finite = 0)::BIGINT AS ok FROM shp"))
 def shape_check(spark, d):
     """D25."""
     return B.rounded(A.shape_check(_replicates(spark, d), "vec_id"))

@@ -135,7 +135,19 @@ def organ_score(spark, d):
     return V.organ_score(g).select("user_id", "organ_score", "organs_present")
 
 
-@query("points_table")
+_POINTS = {
+    **{f"pts_{v}": f"{s} * 2" if v == "creatinine" else s for v, s in _A.items()},
+    "pts_oxygen": f"CASE WHEN fio2 >= 50 THEN {_case('gradient', *V.GRADIENT_BAND)} ELSE {_case('pao2', *V.PAO2_BAND)} END",
+    "pts_gcs": "CASE WHEN gcs BETWEEN 3 AND 15 THEN 15 - gcs END",
+}
+POINTS = B.sql(B.RAW + f""",
+given AS (SELECT user_id, min(bin_min) AS lo, max(bin_max) AS hi, (count(*) % 16)::INT AS gcs, min(bin_med) FILTER (signal = 'view') AS fio2, max(bin_med) FILTER (signal = 'click') AS gradient,
+  min(bin_max) FILTER (signal = 'error') AS pao2 FROM hourly GROUP BY 1),
+pts AS (SELECT {', '.join(f'({s})::DOUBLE AS {n}' for n, s in _POINTS.items())} FROM given)""",
+    f"SELECT item, avg((points IS NOT NULL)::INT) AS present, avg(points) AS mean_points, avg((points > 0)::INT) AS above_zero FROM (SELECT * FROM pts UNPIVOT INCLUDE NULLS (points FOR item IN ({', '.join(_POINTS)}))) GROUP BY 1", "present mean_points above_zero")
+
+
+@query("points_table", POINTS)
 def points_table(spark, d):
     """Presence and points of every item."""
     s = V.acute_score(_inputs(spark, d))
@@ -299,7 +311,13 @@ def fold_summary(spark, d):
     return B.rounded(resampling.fold_summary(_folds(spark, d), "user_id", "y"))
 
 
-@query("fold_checks")
+FOLD_CHECKS = B.sql(SPLIT + """,
+fr AS (SELECT e.user_id, p.y, f.fold FROM events e JOIN people p ON p.user_id = e.user_id JOIN fd f ON f.user_id = e.user_id),
+per AS (SELECT fold, avg(y) AS r FROM fr GROUP BY 1)""", """SELECT (SELECT count_if(f > 1)::BIGINT FROM (SELECT user_id, count(DISTINCT fold) AS f FROM fr GROUP BY 1)) AS straddling,
+  (SELECT count(*) FROM per) AS folds, (SELECT count_if(abs(r - (SELECT avg(y) FROM fr)) > 0.02)::BIGINT FROM per) AS off_rate""")
+
+
+@query("fold_checks", FOLD_CHECKS)
 def fold_checks(spark, d):
     """P4."""
     return B.rounded(resampling.fold_checks(_folds(spark, d), "user_id", "y", 0.02))
