@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weighbridge.functions.scalars import band, capped_age, first_match, poisson_weight, prefix_sums
+from weighbridge.functions.scalars import band, capped_age, first_match, percentiles, poisson_weight, prefix_sums, spearman
 from weighbridge.operators import attribution as A
 from weighbridge.operators import checks, lattice, likelihood, metrics, resampling, severity
 from weighbridge.sources import tables
@@ -217,3 +219,22 @@ def test_one_class_inputs_have_defined_results(spark):
     cov = spark.createDataFrame([("a", "a", 1.0)], "a string, b string, covariance double")
     got = E.pattern_weights(spark.createDataFrame([("a",), ("a,b",)], "pattern string"), cov, spark.createDataFrame([("a", 2.0), ("b", None)], "signal string, d double")).collect()
     assert {(r.pattern, r.signal, None if r.w is None else round(r.w, 3)) for r in got} == {("a", "a", 2.0), ("a,b", "a", None), ("a,b", "b", None)}
+
+
+def test_percentiles_and_rank_correlation_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    d = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 900, p=[0.8, 0.19, 0.01]), "x": rng.integers(0, 40, 900) / 4, "y": rng.normal(size=900)})
+    rows = [(None if g == "b" else g, x, None if i % 50 == 0 else y) for i, (g, x, y) in enumerate(zip(d.g, d.x, d.y))]
+    df = spark.createDataFrame([*rows, ("none", 1.0, None)], "g string, x double, y double")
+    at = [0.0, 0.1, 0.5, 0.95, 1.0]
+    p = pd.DataFrame(rows, columns=["g", "x", "y"]).fillna({"g": "null"})
+    for few in (True, False):
+        got = {r.g or "null": r.q for r in percentiles(df, ["g"], "y", at, few=few).collect()}
+        want = {g: s.y.dropna().quantile(at).tolist() for g, s in p.groupby("g")}
+        assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+        got = {r.g or "null": r.spearman for r in spearman(df, ["g"], "x", "y", few=few).collect()}
+        for g, s in p.dropna(subset=["y"]).groupby("g"):
+            assert got[g] == pytest.approx(s.x.rank().corr(s.y.rank()))
+    assert np.allclose(percentiles(df, [], "x", at).first().q, p.x.quantile(at).tolist())
+    assert percentiles(df.limit(0), [], "x", [0.5]).first().q == [None]
+    assert percentiles(df.limit(0), ["g"], "x", [0.5]).count() == 0

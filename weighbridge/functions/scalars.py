@@ -80,6 +80,15 @@ def midrank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str], few: bool = False, how: str = "inner") -> DataFrame:
+    """left with the columns of right's row of the same keys, null being a key like any other; few: right is small and broadcast."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(F.broadcast(r) if few else r, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str | list[str], cols: list[str], buckets: int = 64, few: bool = False) -> DataFrame:
     """Adds before_<col>: the sum of col over rows of the group with a smaller order value.
 
@@ -89,20 +98,47 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str | list[str], cols: li
     their quantiles and offsets are broadcast instead of dealing rows by group.
     """
     order = [order] if isinstance(order, str) else order
-    small = F.broadcast if few else lambda x: x
-
-    def with_(left, right, on):
-        r = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
-        same = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in on]
-        return left.join(small(r), same).drop(*[f"_r_{k}" for k in on])
-
     at = [(i + 1) / buckets for i in range(buckets - 1)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
-    d = with_(df, cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
+    d = beside(df, cuts, keys, few)
     d = d.withColumn("_b", F.expr(f"size(filter(_cuts, c -> c < {order[0]}))")).drop("_cuts")
     totals = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = with_(d.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}), offsets, [*keys, "_b"])
+    out = beside(d.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}), offsets, [*keys, "_b"], few)
     return out.withColumns({f"before_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in cols}).drop("_b", *[f"_{k}_{c}" for k in "io" for c in cols])
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], out: str = "q", few: bool = True) -> DataFrame:
+    """keys and out: exact percentiles (interpolated between neighbours) of the known values of each group, as an array.
+
+    Rows become counts of distinct values, whose prefix sums say which value
+    stands at a place, so no task holds a group. A group without a known value
+    has no row; without keys there is always one. Values are read several
+    times: sums of doubles, which may differ in their last bits from run to run, are to be written first.
+    """
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    n = cells.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    r = beside(prefix_sums(cells, keys, "_v", ["_m"], few=few), n, keys, few)
+    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in at]
+    here = lambda i: F.max(F.when((F.col("before__m") <= i) & (i < F.col("before__m") + F.col("_m")), F.col("_v")))
+    ends = [here(F.floor(x)).alias(f"_l{i}") for i, x in enumerate(place)] + [here(F.ceil(x)).alias(f"_h{i}") for i, x in enumerate(place)]
+    g = r.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    mix = lambda i, x: (F.ceil(x) - x) * F.col(f"_l{i}") + (x - F.floor(x)) * F.col(f"_h{i}")
+    return g.select(*keys, F.array(*[F.when(F.ceil(x) == F.floor(x), F.col(f"_l{i}")).otherwise(mix(i, x)) for i, x in enumerate(place)]).alias(out))
+
+
+def spearman(df: DataFrame, keys: list[str], a: str, b: str, few: bool = False) -> DataFrame:
+    """keys and spearman: the rank correlation of a and b within groups, over rows where both are known; null when either is constant.
+
+    Mid-ranks come from prefix sums over distinct values and stay with the distinct (a, b) cells; their mean is (n + 1) / 2.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b_")).agg(F.count(F.lit(1)).alias("_m"))
+    n = cells.groupBy(*keys).agg(((F.sum("_m") + 1) / 2.0).alias("_mid"))
+    for x in ("_a", "_b_"):
+        ranks = prefix_sums(cells.groupBy(*keys, x).agg(F.sum("_m").alias("_t")), keys, x, ["_t"], few=few)
+        cells = beside(cells, ranks.select(*keys, x, (F.col("before__t") + (F.col("_t") + 1) / 2.0).alias(f"_r{x}")), [*keys, x])
+    c = beside(cells, n, keys, few)
+    s = lambda x, y: F.sum(F.col("_m") * (F.col(x) - F.col("_mid")) * (F.col(y) - F.col("_mid")))
+    return c.groupBy(*keys).agg(F.try_divide(s("_r_a", "_r_b_"), F.sqrt(s("_r_a", "_r_a")) * F.sqrt(s("_r_b_", "_r_b_"))).alias("spearman"))

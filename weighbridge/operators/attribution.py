@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import beside, percentiles, prefix_sums, spearman
+
 
 def attribution_set(parts: dict[str, DataFrame], key: str) -> DataFrame:
     """All methods in one long table."""
@@ -42,10 +44,10 @@ def _ranked(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFram
 
 
 def cell_agreement(cells: DataFrame, by: list[str], floor: float) -> DataFrame:
-    """Pearson, Spearman and sign agreement where either value exceeds the floor."""
-    r = _ranked(_ranked(cells, by, F.col("a"), "ra"), by, F.col("b"), "rb")
+    """Pearson, Spearman and sign agreement where either value exceeds the floor; groups are few, cells many."""
     big = F.greatest(F.abs("a"), F.abs("b")) > floor
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.avg(F.when(big, (F.signum("a") == F.signum("b")).cast("double"))).alias("same_sign"))
+    plain = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson"), F.avg(F.when(big, (F.signum("a") == F.signum("b")).cast("double"))).alias("same_sign"))
+    return beside(plain, spearman(cells, by, "a", "b", few=True), by, few=True, how="left").select(*by, "n", "pearson", "spearman", "same_sign")
 
 
 def rank_agreement(cells: DataFrame, key: str) -> DataFrame:
@@ -55,9 +57,12 @@ def rank_agreement(cells: DataFrame, key: str) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """N, tails, quartiles, mean, sd, IQR and skew of a metric."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), q(0.05).alias("q05"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), q(0.95).alias("q95"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (q(0.75) - q(0.25)).alias("iqr"), F.skewness(value).alias("skew"))
+    """N, tails, quartiles, mean, sd, IQR and skew of a metric (written first if it is a sum of doubles: see percentiles)."""
+    known = df.filter(F.col(value).isNotNull())
+    plain = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.skewness(value).alias("skew"))
+    j = beside(plain, percentiles(known, keys, value, [0.05, 0.25, 0.5, 0.75, 0.95]), keys, few=True)
+    q = {n: F.col("q")[i].alias(n) for i, n in enumerate(["q05", "q25", "q50", "q75", "q95"])}
+    return j.select(*keys, "n", "least", *q.values(), "mean", "sd", (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "skew")
 
 
 def domain_share(cells: DataFrame, domains: DataFrame, bins: DataFrame, key: str) -> DataFrame:
@@ -138,8 +143,10 @@ def budget(cells: DataFrame, key: str) -> DataFrame:
 
 def displacements(cells: DataFrame, by: list[str]) -> DataFrame:
     """Quantiles of |a - b| over replicate pairs; the median is the noise-calibrated tolerance."""
-    d = F.abs(F.col("a") - F.col("b"))
-    return cells.withColumn("d", d).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("d", F.lit(0.5)).alias("delta"), F.percentile("d", F.lit(0.9)).alias("q90"), F.max("d").alias("largest"))
+    d = cells.withColumn("d", F.abs(F.col("a") - F.col("b")))
+    plain = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("largest"))
+    j = beside(plain, percentiles(d, by, "d", [0.5, 0.9]), by, few=True, how="left")
+    return j.select(*by, "n", F.col("q")[0].alias("delta"), F.col("q")[1].alias("q90"), "largest")
 
 
 def leaders(cells: DataFrame, key: str) -> DataFrame:
@@ -164,11 +171,20 @@ def oriented(metrics: DataFrame, agreement_prefix: str = "share_") -> DataFrame:
 
 
 def dominance(values: DataFrame, keys: list[str], side: str, value: str, x: str, y: str) -> DataFrame:
-    """P(X > Y) + P(X = Y) / 2 by ranks, with the gaps of medians and 95th percentiles."""
-    r = _ranked(values, keys, F.col(value), "rk")
+    """P(X > Y) + P(X = Y) / 2 by ranks, with the gaps of medians and 95th percentiles; unknown values are left out.
+
+    Ranks are prefix sums over counts of distinct values. Rows of other sides count in the ranks and as not x.
+    """
+    known = values.filter(F.col(value).isNotNull())
     is_x = F.col(side) == x
-    g = r.groupBy(*keys).agg(F.sum(F.when(is_x, F.col("rk"))).alias("rs"), F.count_if(is_x).alias("nx"), F.count_if(F.col(side) == y).alias("ny"), *[(F.percentile(F.when(is_x, F.col(value)), F.lit(p)) - F.percentile(F.when(~is_x, F.col(value)), F.lit(p))).alias(n) for p, n in ((0.5, "median_gap"), (0.95, "q95_gap"))])
-    return g.select(*keys, "nx", "ny", F.try_divide(F.col("rs") - F.col("nx") * (F.col("nx") + 1) / 2, (F.col("nx") * F.col("ny")).cast("double")).alias("dominance"), "median_gap", "q95_gap")
+    cells = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("m"), F.count_if(is_x).alias("mx"), F.count_if(F.col(side) == y).alias("my"))
+    r = prefix_sums(cells, keys, "_v", ["m"], few=True)
+    g = r.groupBy(*keys).agg(F.sum(F.col("mx") * (F.col("before_m") + (F.col("m") + 1) / 2.0)).alias("rs"), F.sum("mx").alias("nx"), F.sum("my").alias("ny"))
+    for name, part in (("qx", known.filter(is_x)), ("qy", known.filter(~is_x))):
+        g = beside(g, percentiles(part, keys, value, [0.5, 0.95], name), keys, few=True, how="left")
+    u = F.try_divide(F.col("rs") - F.col("nx") * (F.col("nx") + 1) / 2, (F.col("nx") * F.col("ny")).cast("double"))
+    gap = lambda i: F.col("qx")[i] - F.col("qy")[i]
+    return g.select(*keys, "nx", "ny", u.alias("dominance"), gap(0).alias("median_gap"), gap(1).alias("q95_gap"))
 
 
 def paired_over_bags(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -250,16 +266,25 @@ def margin_bins(cells: DataFrame, key: str, breaks: list[float]) -> DataFrame:
     return p.filter("m2 is not null").withColumn("margin_bin", b).groupBy("margin_bin").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("la") == F.col("lb")).cast("double")).alias("agree"), F.avg(F.col("m1") - F.col("m2")).alias("mean_margin"))
 
 
-def metric_sweep(replicates: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Per pair of replicates and key, several metrics in one keyed job, as distributions over keys.
+def metric_values(replicates: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Level, metric, value: per pair of replicates and key, several metrics in one keyed job.
     replicates: replicate, key, signal, ord, a; pairs: a few replicate pairs (broadcast)."""
     p = F.broadcast(pairs.select("id_a", "id_b", "level"))
     x = replicates.select(F.col("replicate").alias("id_a"), key, "signal", "a").join(p, "id_a")
     y = replicates.select(F.col("replicate").alias("id_b"), key, "signal", F.col("a").alias("b"))
-    j = x.join(y, ["id_b", key, "signal"])
-    m = j.groupBy("level", "id_a", "id_b", key).agg((1 - F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2)))).alias("cosine_gap"), F.percentile(F.abs(F.col("a") - F.col("b")), F.lit(0.5)).alias("displacement"), F.avg((F.col("a") * F.col("b") < 0).cast("double")).alias("flips"))
-    long = m.unpivot(["level", "id_a", "id_b", key], ["cosine_gap", "displacement", "flips"], "metric", "value")
-    return long.groupBy("level", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("q50"), F.percentile("value", F.lit(0.95)).alias("q95"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    cosine = 1 - F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2)))
+    m = x.join(y, ["id_b", key, "signal"]).groupBy("level", "id_a", "id_b", key)
+    m = m.agg(cosine.alias("cosine_gap"), F.percentile(gap, F.lit(0.5)).alias("displacement"), F.avg((F.col("a") * F.col("b") < 0).cast("double")).alias("flips"))
+    return m.unpivot(["level", "id_a", "id_b", key], ["cosine_gap", "displacement", "flips"], "metric", "value").select("level", "metric", "value")
+
+
+def metric_sweep(values: DataFrame) -> DataFrame:
+    """metric_values, written first, as distributions over keys."""
+    by = ["level", "metric"]
+    plain = values.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    j = beside(plain, percentiles(values, by, "value", [0.5, 0.95]), by, few=True, how="left")
+    return j.select(*by, "n", "mean", F.col("q")[0].alias("q50"), F.col("q")[1].alias("q95"))
 
 
 def common_bags(replicates: DataFrame, n_methods: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import prefix_sums, uniform
+from ..functions.scalars import beside, percentiles, prefix_sums, uniform
 
 
 def model_frame(rows: DataFrame, key: str, covariates: list[str]) -> DataFrame:
@@ -21,8 +21,11 @@ def model_frame(rows: DataFrame, key: str, covariates: list[str]) -> DataFrame:
 
 def knots(rows: DataFrame, covariates: list[str], n_knots: int) -> DataFrame:
     """Quantile knots of every covariate by signal (a parameter table)."""
-    at = F.array(*[F.lit((i + 1) / (n_knots + 1)) for i in range(n_knots)])
-    return rows.groupBy("signal").agg(*[F.percentile(c, at).alias(f"knots_{c}") for c in covariates])
+    at = [(i + 1) / (n_knots + 1) for i in range(n_knots)]
+    out = rows.select("signal").distinct()
+    for c in covariates:
+        out = beside(out, percentiles(rows, ["signal"], c, at, f"knots_{c}"), ["signal"], few=True, how="left")
+    return out
 
 
 def basis(rows: DataFrame, knot_table: DataFrame, covariates: list[str], n_knots: int) -> tuple[DataFrame, list[str]]:
@@ -111,8 +114,9 @@ def terms(design: DataFrame, names: list[str], fitted: DataFrame, key: str, grou
 
 def coverage(evidence: DataFrame) -> DataFrame:
     """Rows scored, zeros, mean, sd, tails and extremes of l per signal."""
-    q = lambda p: F.percentile("l", F.lit(p))
-    return evidence.groupBy("signal").agg(F.count("l").alias("n"), F.count_if(F.col("l") == 0).alias("zeros"), F.avg("l").alias("mean"), F.stddev_samp("l").alias("sd"), q(0.05).alias("q05"), q(0.95).alias("q95"), F.min("l").alias("least"), F.max("l").alias("largest"))
+    plain = evidence.groupBy("signal").agg(F.count("l").alias("n"), F.count_if(F.col("l") == 0).alias("zeros"), F.avg("l").alias("mean"), F.stddev_samp("l").alias("sd"), F.min("l").alias("least"), F.max("l").alias("largest"))
+    j = beside(plain, percentiles(evidence, ["signal"], "l", [0.05, 0.95]), ["signal"], few=True, how="left")
+    return j.select("signal", "n", "zeros", "mean", "sd", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q95"), "least", "largest")
 
 
 def triage(fits: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def permuted(rows: DataFrame, key: str, value: str, within: list[str], seed: int
 
 def support(values: DataFrame, keys: list[str], x: str, y: str, n_grid: int, reach: int, least: int) -> DataFrame:
     """Rows and events in a moving window of grid cells, and whether a cell is supported."""
-    limits = values.groupBy(*keys).agg(F.percentile(x, F.lit(0.01)).alias("lo"), F.percentile(x, F.lit(0.99)).alias("hi"))
+    limits = percentiles(values, keys, x, [0.01, 0.99]).select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     v = values.join(F.broadcast(limits), keys).filter(F.col(x).between(F.col("lo"), F.col("hi")) & (F.col("hi") > F.col("lo")))
     cell = F.least(F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_grid), F.lit(n_grid - 1)).cast("int")
     g = v.withColumn("cell", cell).groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percentiles
+
 
 def wide_design(long: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:
     """One column per declared name, null when absent; the names are declared, so no pass collects them."""
@@ -13,7 +15,8 @@ def wide_design(long: DataFrame, key: str, name: str, value: str, names: list[st
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """B1: an indicator per column and its median where unknown; columns that are null everywhere go."""
-    med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict()
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "v")
+    med = dict.fromkeys(columns) | {r["name"]: r["q"][0] for r in percentiles(long, ["name"], "v", [0.5]).collect()}  # one row a declared column
     live = [c for c in columns if med[c] is not None]
     return df.drop(*[c for c in columns if c not in live]).withColumns({f"{c}_known": F.col(c).isNotNull().cast("double") for c in live}).fillna({c: float(med[c]) for c in live})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import prefix_sums
+from ..functions.scalars import percentiles, prefix_sums
 
 
 def discrimination(scores: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
@@ -63,9 +63,11 @@ def delong(scores: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 def cut_points(scores: DataFrame, n_bins: int, discrete: bool = False, strict: bool = True) -> DataFrame:
     """Inner cut-points (type 7, or observed values); strict raises on repeated ones, else they are merged."""
-    at = ", ".join(repr((i + 1) / n_bins) for i in range(n_bins - 1))
-    cuts = F.array(*[F.expr(f"percentile_disc({p}) within group (order by score)") for p in at.split(", ")]) if discrete else F.expr(f"percentile(score, array({at}))")
-    out = scores.agg(cuts.alias("cuts"))
+    at = [(i + 1) / n_bins for i in range(n_bins - 1)]
+    if discrete:
+        out = scores.agg(F.array(*[F.expr(f"percentile_disc({p!r}) within group (order by score)") for p in at]).alias("cuts"))
+    else:
+        out = percentiles(scores, [], "score", at, "cuts")
     if strict:
         ok = F.size(F.array_distinct("cuts")) == F.size("cuts")
         return out.select(F.when(F.assert_true(ok, F.lit("repeated cut-points")).isNull(), F.col("cuts")).alias("cuts"))

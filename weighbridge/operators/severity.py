@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import band, logit
+from ..functions.scalars import band, logit, spearman
 
 # Published bands of the acute physiology score and of the organ failure score.
 # variable -> (right-open breaks, points); the last points hold from the last break on.
@@ -128,27 +128,15 @@ def points_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def agreement(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """N, exact, within one, mean absolute difference, Pearson and Spearman of each pair of scores.
-
-    Mid-ranks come from prefix sums over distinct scores and stay with the
-    distinct (a, b) cells; their mean is (n + 1) / 2.
-    """
-    from ..functions.scalars import prefix_sums
-
+    """N, exact, within one, mean absolute difference, Pearson and Spearman of each pair of scores."""
     long = None
     for a, b in pairs:
         part = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(f"{a}~{b}").alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
         long = part if long is None else long.unionByName(part)
     d = F.abs(F.col("a") - F.col("b"))
     plain = long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d).alias("mad"), F.corr("a", "b").alias("pearson"))
-    cells = long.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("m"))
-    for x in "ab":
-        ranks = prefix_sums(cells.groupBy("pair", x).agg(F.sum("m").alias("t")), ["pair"], x, ["t"], few=True)
-        cells = cells.join(ranks.select("pair", x, (F.col("before_t") + (F.col("t") + 1) / 2.0).alias(f"r{x}")), ["pair", x])
-    c = cells.join(F.broadcast(plain.select("pair", ((F.col("n") + 1) / 2.0).alias("mid"))), "pair")
-    s = lambda x, y: F.sum(F.col("m") * (F.col(x) - F.col("mid")) * (F.col(y) - F.col("mid")))
-    spearman = c.groupBy("pair").agg(F.try_divide(s("ra", "rb"), F.sqrt(s("ra", "ra")) * F.sqrt(s("rb", "rb"))).alias("spearman"))
-    return plain.join(spearman, "pair").select("pair", "n", "exact", "within_one", "mad", "pearson", "spearman")
+    ranked = spearman(long, ["pair"], "a", "b", few=True)
+    return plain.join(ranked, "pair").select("pair", "n", "exact", "within_one", "mad", "pearson", "spearman")
 
 
 def recalibrated(df: DataFrame, score: str, y: str, fold: str, iterations: int = 8) -> DataFrame:
@@ -208,18 +196,5 @@ def domains_against(sums: DataFrame, outcome: DataFrame, other: DataFrame, key:
     from .metrics import discrimination
 
     rows = sums.join(outcome, key).join(other, key).select("domain", F.col("l").alias("score"), "y", F.col(score).cast("double").alias("other"))
-    ranked = agreement_by(rows.filter("score is not null and other is not null"), "domain", "score", "other")
+    ranked = spearman(rows, ["domain"], "score", "other")
     return discrimination(rows, ["domain"]).join(ranked, "domain", "left")
-
-
-def agreement_by(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Spearman correlation of a and b within groups: mid-ranks by prefix sums over distinct values."""
-    from ..functions.scalars import prefix_sums
-
-    cells = rows.groupBy(by, a, b).agg(F.count(F.lit(1)).alias("m"))
-    for x in (a, b):
-        ranks = prefix_sums(cells.groupBy(by, x).agg(F.sum("m").alias("t")), [by], x, ["t"])
-        cells = cells.join(ranks.select(by, x, (F.col("before_t") + (F.col("t") + 1) / 2.0).alias(f"r_{x}")), [by, x])
-    c = cells.join(cells.groupBy(by).agg(((F.sum("m") + 1) / 2.0).alias("mid")), by)
-    s = lambda x, y: F.sum(F.col("m") * (F.col(f"r_{x}") - F.col("mid")) * (F.col(f"r_{y}") - F.col("mid")))
-    return c.groupBy(by).agg(F.try_divide(s(a, b), F.sqrt(s(a, a)) * F.sqrt(s(b, b))).alias("spearman"))

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percentiles
 from ..operators import attribution as A
 from ..operators import resampling
+from ..sources import tables as S
 from . import base as B
 from .registry import query
 
 V = B.VECTORS
-DOMAIN_ROWS = [(f"s{i:02d}", f"d{i % 4}") for i in range(19)]
+DOMAIN_ROWS = [(f"s{i:02d}", f"d{i % 4}") for i in range(32)]
 VD = V + f", doms(signal, domain) AS (VALUES {B._values(DOMAIN_ROWS)})"
 
 
@@ -49,7 +51,8 @@ SPREAD = "SELECT count(x) AS n, min(x) AS least, quantile_cont(x, 0.05) AS q05,
 @query("cosine_spread", B.sql(V, SPREAD + "(SELECT 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS x FROM cells GROUP BY vec_id)", "least q05 q25 q50 q75 q95 mean sd iqr"))
 def cosine_spread(spark, d):
     """Cosine dissimilarity and its distribution (skew left out of the compared columns)."""
-    return B.rounded(A.spread(A.cosine_gap(_cells(spark, d), "vec_id"), [], "cosine_gap").drop("skew"))
+    gaps = S.scan_once(A.cosine_gap(_cells(spark, d), "vec_id"), B.out(spark, "gaps"))
+    return B.rounded(A.spread(gaps, [], "cosine_gap").drop("skew"))
 
 
 CONTRIB = """SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'click__x' WHEN 'N' THEN 'view__y' ELSE 'other__z' END AS feature, l_discount - 0.05 AS v FROM lineitem"""
@@ -87,8 +90,7 @@ cv AS (SELECT signal, bin, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b FRO
 
 def _curve(spark, d):
     c = _cells(spark, d).withColumn("x", F.col("a"))
-    cuts = c.groupBy("signal").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
-    return A.evidence_curve(c, cuts)
+    return A.evidence_curve(c, percentiles(c, ["signal"], "x", [0.25, 0.5, 0.75], "cuts"))
 
 
 @query("evidence_curve", B.sql(CURVE, "SELECT signal, bin::BIGINT AS bin, n, mean_a, mean_b FROM cv", "mean_a mean_b"))
@@ -154,8 +156,8 @@ def displacements(spark, d):
     return B.rounded(A.displacements(_cells(spark, d), ["signal"]))
 
 
-LEAD = V + """, ld AS (SELECT vec_id, signal AS leader, a AS value_a, b AS value_b, pos_b, 19::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, ord) AS rn, sum(greatest(b, 0)) OVER (PARTITION BY vec_id) AS pos_b FROM cells) WHERE rn = 1),
-led AS (SELECT l.*, (SELECT count(*) FROM cells c WHERE c.vec_id = l.vec_id AND c.b > l.value_b) AS above, (SELECT count(*) FROM cells c WHERE c.vec_id = l.vec_id AND c.b > l.value_b) / 18 AS displacement, value_b / nullif(pos_b, 0) AS share_b FROM ld l)"""
+LEAD = V + """, ld AS (SELECT vec_id, signal AS leader, a AS value_a, b AS value_b, pos_b, n FROM (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, ord) AS rn, sum(greatest(b, 0)) OVER (PARTITION BY vec_id) AS pos_b FROM cells) WHERE rn = 1),
+led AS (SELECT l.*, (SELECT count(*) FROM cells c WHERE c.vec_id = l.vec_id AND c.b > l.value_b) AS above, (SELECT count(*) FROM cells c WHERE c.vec_id = l.vec_id AND c.b > l.value_b) / (n - 1) AS displacement, value_b / nullif(pos_b, 0) AS share_b FROM ld l)"""
 
 
 @query("leaders", B.sql(LEAD, "SELECT vec_id, leader, value_a, value_b, pos_b, n, above, displacement, share_b FROM led", "value_a value_b pos_b displacement share_b"))
@@ -237,7 +239,8 @@ FROM prs JOIN reps x ON x.replicate = id_a JOIN reps y ON y.replicate = id_b AND
 def metric_sweep(spark, d):
     """Every metric of every allowed contrast in one keyed job."""
     pairs = A.contrasts(_manifest(spark, d)).filter("level <> 'refused'")
-    return B.rounded(A.metric_sweep(_replicates(spark, d), pairs, "vec_id"))
+    values = S.scan_once(A.metric_values(_replicates(spark, d), pairs, "vec_id"), B.out(spark, "metric-values"))
+    return B.rounded(A.metric_sweep(values))
 
 
 @query("bands", B.sql(REPS, "SELECT vec_id, signal, avg(a) + 1e-7 AS mean, quantile_cont(a, 0.025) + 1e-7 AS low, quantile_cont(a, 0.975) + 1e-7 AS high, quantile_cont(a, 0.975) - quantile_cont(a, 0.025) + 1e-7 AS width FROM reps WHERE method = 'a' GROUP BY ALL", "mean low high width", 4))
@@ -269,12 +272,17 @@ def group_disagreement(spark, d):
     return B.rounded(A.by_group(A.cosine_gap(_cells(spark, d), "vec_id"), groups, "vec_id", "label", "cosine_gap", 20))
 
 
-@query("transport_join", B.sql(V, "SELECT 'mean' AS \"table\", signal, x, y, y - x AS difference FROM (SELECT signal, avg(a) AS x FROM va WHERE vec_id % 2 = 0 GROUP BY 1) FULL JOIN (SELECT signal, avg(a) AS y FROM va WHERE vec_id % 2 = 1 AND ord > 2 GROUP BY 1) USING (signal)", "x y difference"))
+LENGTHS = """
+s AS (SELECT grp, lang, y, count(*) AS n, sum(score) AS total FROM ds GROUP BY ALL),
+t AS (SELECT grp, lang, x, y FROM (SELECT grp, lang, total / n AS x FROM s WHERE y = 0) FULL JOIN (SELECT grp, lang, total / n AS y FROM s WHERE y = 1) USING (grp, lang))"""
+
+
+@query("transport_join", B.sql(B.DOCS + "," + LENGTHS, "SELECT 'mean' AS \"table\", grp, lang, x, y, y - x AS difference FROM t", "x y difference"))
 def transport_join(spark, d):
-    """Metric tables of two sites, one-sided rows kept."""
-    a, _ = B.vectors(spark, d)
-    m = lambda df: df.groupBy("signal").agg(F.avg("a").alias("value"))
-    return B.rounded(A.transport_join({"mean": (m(a.filter("vec_id % 2 = 0")), m(a.filter("vec_id % 2 = 1 and ord > 2")))}, ["signal"]))
+    """Mean length by source and language of all labelled documents, those of low and of high quality as the two sites; one-sided rows kept."""
+    s = B.doc_scores(spark, d)
+    m = lambda y: s.filter(F.col("y") == y).groupBy("grp", "lang").agg(F.avg("score").alias("value"))
+    return B.rounded(A.transport_join({"mean": (m(0), m(1))}, ["grp", "lang"]))
 
 
 @query("margin_bins", B.sql(V, "SELECT (m1 - m2 > 0.05)::INT + (m1 - m2 > 0.1)::BIGINT AS margin_bin, count(*) AS n, avg((la = lb)::INT) AS agree, avg(m1 - m2) AS mean_margin FROM (SELECT vec_id, max(a) FILTER (ra = 1) AS m1, max(a) FILTER (ra = 2) AS m2, max(ord) FILTER (ra = 1) AS la, max(ord) FILTER (rb = 1) AS lb FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, ord) AS ra, row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, ord) AS rb FROM cells) GROUP BY 1) GROUP BY 1", "agree mean_margin"))

@@ -9,12 +9,14 @@ state's onset, click values while it is active.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, uniform
 from ..operators import cohort, features, lattice, signals
-from ..sources.tables import scan, spec_table
+from ..sources.tables import scan, shared_root, spec_table
 
 DAY, BINS, HALF, SPAN = 86_400, 24, 12, 6
 SIGNALS = ["click", "error", "purchase", "signup", "view"]
@@ -84,11 +86,9 @@ def feature_grid(spark, d) -> DataFrame:
     return grid.withColumn("within_ss", F.round("within_ss", 1) + F.lit(0.0))  # large sums: fewer places are the same everywhere
 
 
-def evidence(spark, d, parity: int | None = None) -> DataFrame:
+def evidence(spark, d) -> DataFrame:
     """A fixed additive evidence table: user_id, signal, ord, l (rounded so that rank ties are the same everywhere)."""
     g = feature_grid(spark, d).filter("n_obs > 0")
-    if parity is not None:
-        g = g.filter(F.col("user_id") % 2 == parity)
     ordinal = F.expr("array_position(array(" + ", ".join(f"'{s}'" for s in SIGNALS) + "), signal)").cast("long")
     l = F.round((F.col("k_high") - F.col("k_low")) / F.col("n_obs") + F.col("trend") / 100.0, 4)
     return g.select("user_id", "signal", ordinal.alias("ord"), (l + F.lit(0.0)).alias("l"))
@@ -107,11 +107,16 @@ def doc_scores(spark, d) -> DataFrame:
 
 
 def vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two attribution sets: embedding places 1-19 and 20-38, by vec_id."""
+    """Two attribution sets: the halves of all 64 embedding places, by vec_id."""
     e = scan(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
     e = e.withColumn("a", F.round(F.col("v").cast("double"), 4) + F.lit(0.0))
-    cut = lambda lo: e.filter(F.col("pos").between(lo, lo + 18)).select("vec_id", "label", F.format_string("s%02d", F.col("pos") - lo).alias("signal"), (F.col("pos") - lo).cast("long").alias("ord"), "a")
-    return cut(0), cut(19)
+    cut = lambda lo: e.filter(F.col("pos").between(lo, lo + 31)).select("vec_id", "label", F.format_string("s%02d", F.col("pos") - lo).alias("signal"), (F.col("pos") - lo).cast("long").alias("ord"), "a")
+    return cut(0), cut(32)
+
+
+def out(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -173,8 +178,8 @@ DOCS = """
 ds AS (SELECT l.doc_id, n_chars::DOUBLE AS score, (n_chars % 97)::DOUBLE AS score2, quality::INT AS y, source AS grp, lang FROM labels l JOIN documents d USING (doc_id))"""
 VECTORS = """
 vec AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(embedding) AS v FROM embeddings),
-va AS (SELECT vec_id, label, printf('s%02d', pos) AS signal, pos::BIGINT AS ord, round(v::DOUBLE, 4) + 0.0 AS a FROM vec WHERE pos < 19),
-vb AS (SELECT vec_id, label, printf('s%02d', pos - 19) AS signal, (pos - 19)::BIGINT AS ord, round(v::DOUBLE, 4) + 0.0 AS b FROM vec WHERE pos BETWEEN 19 AND 37),
+va AS (SELECT vec_id, label, printf('s%02d', pos) AS signal, pos::BIGINT AS ord, round(v::DOUBLE, 4) + 0.0 AS a FROM vec WHERE pos < 32),
+vb AS (SELECT vec_id, label, printf('s%02d', pos - 32) AS signal, (pos - 32)::BIGINT AS ord, round(v::DOUBLE, 4) + 0.0 AS b FROM vec WHERE pos >= 32),
 cells AS (SELECT va.*, b FROM va JOIN vb USING (vec_id, signal))"""
 
 

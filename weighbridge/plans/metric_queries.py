@@ -171,13 +171,13 @@ ct AS (SELECT list_distinct(quantile_cont(score, [0.25, 0.5, 0.75])) AS cuts FRO
 rf AS (SELECT len(list_filter(cuts, lambda c: c < score)) + 1 AS bin, avg(y) AS reference_rate FROM scores, ct WHERE site = 'even' GROUP BY 1)"""
 
 
-@query("reference_stratum", B.sql(FROZEN, "SELECT user_id, s.bin::BIGINT AS bin, reference_rate FROM (SELECT user_id, len(list_filter(cuts, lambda c: c < score)) + 1 AS bin FROM scores, ct WHERE site = 'odd') s LEFT JOIN rf USING (bin)", "reference_rate"))
+@query("reference_stratum", B.sql(FROZEN, "SELECT user_id, site, s.bin::BIGINT AS bin, reference_rate FROM (SELECT user_id, site, len(list_filter(cuts, lambda c: c < score)) + 1 AS bin FROM scores, ct) s LEFT JOIN rf USING (bin)", "reference_rate"))
 def reference_stratum(spark, d):
-    """Frozen cut-points and reference bins applied to the other site."""
+    """One site's frozen cut-points and reference bins applied to every row of both."""
     s = B.scores(spark, d)
     train = s.filter("site = 'even'")
     cuts = M.cut_points(train, 4, strict=False)
-    return B.rounded(transport.reference_stratum(s.filter("site = 'odd'"), cuts, M.risk_bins(train, cuts)).select("user_id", "bin", "reference_rate"))
+    return B.rounded(transport.reference_stratum(s, cuts, M.risk_bins(train, cuts)).select("user_id", "site", "bin", "reference_rate"))
 
 
 @query("merged_bins", B.sql(CUTS, "SELECT (floor((bin - 1) / 2) + 1)::BIGINT AS stratum, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events, sum(events) / sum(n) AS rate FROM bins GROUP BY 1", "rate"))
@@ -186,11 +186,11 @@ def merged_bins(spark, d):
     return B.rounded(transport.merged_bins(_bins(spark, d), 2))
 
 
-@query("percentile_against", B.sql(B.EVIDENCE, "SELECT s.user_id, avg((r.score <= s.score)::INT) AS percentile FROM (SELECT * FROM scores WHERE site = 'odd') s, (SELECT score FROM scores WHERE site = 'even') r GROUP BY 1", "percentile"))
+@query("percentile_against", B.sql(B.EVIDENCE, "SELECT s.user_id, s.site, avg((r.score <= s.score)::INT) AS percentile FROM scores s, (SELECT score FROM scores WHERE site = 'even') r GROUP BY ALL", "percentile"))
 def percentile_against(spark, d):
-    """K2: percentile against a reference distribution."""
+    """K2: percentile of every row against one site's distribution."""
     s = B.scores(spark, d)
-    return B.rounded(K.percentile_against(s.filter("site = 'odd'").select("user_id", "score"), s.filter("site = 'even'").select("score"), "score").select("user_id", "percentile"))
+    return B.rounded(K.percentile_against(s.select("user_id", "site", "score"), s.filter("site = 'even'").select("score"), "score").select("user_id", "site", "percentile"))
 
 
 @query("profiles", B.sql(B.EVIDENCE, f"SELECT fold::BIGINT AS fold, user_id, round(score, 6) + 0.0 AS score FROM scores QUALIFY row_number() OVER (PARTITION BY fold ORDER BY {B.UNIFORM.format(chr(39).join(['concat_ws(', '|', ', 8, user_id)']))}, user_id) = 1"))

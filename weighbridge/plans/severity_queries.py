@@ -1,7 +1,5 @@
 """Queries: severity assembly and its comparison, permutations, comparator designs, cross-fitting, sources and sinks."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
@@ -58,7 +56,7 @@ def _assembly(spark, d):
     recorded = given.select("user_id", (F.lit(11) + oxygen.isNotNull().cast("long")).alias("recorded"))  # ten variables, consciousness, oxygenation
     acute = V.acute_score(given).select("user_id", "acute_score", "acute_present")
     out = V.severity_assembly(B.people(spark, d).select("user_id", "y", "fold", "site"), acute, organ_score(spark, d), recorded, "user_id")
-    return S.scan_once(out, _out(spark, "assembly"))  # every arm and site reads it
+    return S.scan_once(out, B.out(spark, "assembly"))  # every arm and site reads it
 
 
 @query("severity_assembly", ASSEMBLY)
@@ -98,8 +96,8 @@ SELECT m.*, r.spearman FROM ({lifted(auc_sql("dom", "domain"))}) m LEFT JOIN (
 def domain_against_organ(spark, d):
     """Evidence by domain, the uncovered one too, against the outcome and the organ score."""
     sums = V.by_domain(B.evidence(spark, d), B.domains(spark), "user_id").withColumn("l", F.round("l", 4) + F.lit(0.0))
-    sums = S.scan_once(sums.join(B.people(spark, d).select("user_id", "y"), "user_id"), _out(spark, "domains"))
-    organ = S.scan_once(organ_score(spark, d).select("user_id", "organ_score"), _out(spark, "organ"))
+    sums = S.scan_once(sums.join(B.people(spark, d).select("user_id", "y"), "user_id"), B.out(spark, "domains"))
+    organ = S.scan_once(organ_score(spark, d).select("user_id", "organ_score"), B.out(spark, "organ"))
     return B.rounded(V.domains_against(sums.drop("y"), sums.select("user_id", "y").distinct(), organ, "user_id", "organ_score"))
 
 
@@ -157,11 +155,6 @@ def cross_fitted_boosting(spark, d):
     return B.rounded(learners.cross_fitted(w.join(B.people(spark, d).select("user_id", "y", "fold"), "user_id"), features, "user_id", "y", "fold", B.FOLDS))
 
 
-def _out(spark, name):
-    root = S.shared_root(spark)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 LINES = "l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_returnflag"
 
 
@@ -175,7 +168,7 @@ def declared_scan(spark, d):
 @query("clustered_table", f"SELECT {LINES} FROM lineitem")
 def clustered_table(spark, d):
     """Partitioned by a small key and sorted inside, read back."""
-    path = _out(spark, "clustered")
+    path = B.out(spark, "clustered")
     S.write_clustered(S.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), path, "l_returnflag", ["l_orderkey", "l_linenumber"])
     return B.rounded(spark.read.parquet(path))
 
@@ -183,7 +176,7 @@ def clustered_table(spark, d):
 @query("shared_slice", "SELECT o_orderpriority, n, round(total, 2) + 0.0 AS total FROM (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) JOIN (SELECT o_orderpriority, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (o_orderpriority)")
 def shared_slice(spark, d):
     """A filtered slice written once, read by two consumers."""
-    part = S.scan_once(S.scan(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderpriority", "o_totalprice"), _out(spark, "slice"))
+    part = S.scan_once(S.scan(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderpriority", "o_totalprice"), B.out(spark, "slice"))
     a = part.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return a.join(part.groupBy("o_orderpriority").agg((F.round(F.sum("o_totalprice"), 2) + F.lit(0.0)).alias("total")), "o_orderpriority")
 
@@ -191,7 +184,7 @@ def shared_slice(spark, d):
 @query("csv_round_trip", "SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN p_size::BIGINT END AS p_size FROM part")
 def csv_round_trip(spark, d):
     """A result saved as parquet and CSV with nulls empty, the CSV converted by declared schema."""
-    path = _out(spark, "result")
+    path = B.out(spark, "result")
     S.save_result(S.scan(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, F.col("p_size")).alias("p_size")), path)
     return B.rounded(S.csv_to_parquet(spark, f"{path}.csv", "p_partkey bigint, p_name string, p_size int", f"{path}-csv.parquet"))
 
