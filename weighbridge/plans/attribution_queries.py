@@ -180,7 +180,8 @@ def dominance(spark, d):
     """Oriented metrics, dominance by ranks."""
     c = _cells(spark, d)
     m = c.select("signal", F.lit("share_a").alias("metric"), F.abs("a").alias("value")).unionByName(c.select("signal", F.lit("b").alias("metric"), F.abs("b").alias("value")))
-    return B.rounded(A.dominance(A.oriented(m), ["signal"], "metric", "value", "share_a", "b"))
+    m = S.scan_once(A.oriented(m), B.out(spark, "sides"))
+    return B.rounded(A.dominance(m, ["signal"], "metric", "value", "share_a", "b"))
 
 
 BAGVAL = """x AS (SELECT l_linenumber AS bag_a, (l_linenumber * 3) % 7 + 1 AS bag_b, avg(l_discount) AS value, avg(l_tax) AS value2 FROM lineitem WHERE l_linenumber < (l_linenumber * 3) % 7 + 1 GROUP BY ALL)"""
