@@ -16,6 +16,7 @@ WHERE = {
     "op8_suffix_tree_score": "suffix_tree_lm",
     "op9_ngram_jaccard": "jaccard_join",
     "op10_language_id": "langid",
+    "op13_token_alignment": "token_alignment",
 }
 
 
