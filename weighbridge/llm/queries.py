@@ -16,6 +16,7 @@ WHERE = {
     "op8_suffix_tree_score": "suffix_tree_lm",
     "op9_ngram_jaccard": "jaccard_join",
     "op10_language_id": "langid",
+    "op12_hard_negatives": "hard_negatives",
     "op13_token_alignment": "token_alignment",
 }
 
@@ -30,6 +31,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .chat import OP1_SQL
     from .exact_dedup import OP4_SQL
+    from .hard_negatives import OP12_SQL
     from .jaccard_join import OP9_SQL
 
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_hard_negatives": OP12_SQL}
