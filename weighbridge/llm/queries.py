@@ -16,6 +16,7 @@ WHERE = {
     "op8_suffix_tree_score": "suffix_tree_lm",
     "op9_ngram_jaccard": "jaccard_join",
     "op10_language_id": "langid",
+    "op11_edit_fingerprint": "edit_embedding",
     "op12_hard_negatives": "hard_negatives",
     "op13_token_alignment": "token_alignment",
 }
