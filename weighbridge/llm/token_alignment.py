@@ -35,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ends that a piece of the merge takes.
 PIECE = 128
 #: Bytes of text that are encoded and merged at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def byte_of_sign() -> dict[str, int]:
