@@ -812,3 +812,35 @@ def test_stages_keep_columns_of_any_name(spark, docs, sf_odd):
         assert collections.Counter((str(r.doc_id), r.text) for r in rows) == want, name
     last = corpus_pipeline.STAGES[4][1](spark, d, sf_odd)
     assert last.count() == d.count()
+
+
+# --- keys of rows ---------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def three(spark, tmp_path_factory):
+    """Three rows as a scan of a written table: doc_id, text."""
+    path = str(tmp_path_factory.mktemp("three") / "documents.parquet")
+    spark.createDataFrame([(1, "a b|a b"), (2, "c d|c d"), (3, "only3|e f")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("kind", ["scan", "filtered", "exploded", "joined", "united"])
+def test_row_keys_are_unique_on_any_frame(spark, three, kind):
+    from weighbridge.llm import common
+
+    lines = three.select("doc_id", F.explode(F.split("text", "[|]")).alias("text"))
+    many = three.join(spark.createDataFrame([(1,), (1,), (2,), (3,)], "doc_id long"), "doc_id")
+    df = {"scan": three, "filtered": three.filter("doc_id > 1").withColumn("more", F.lit(1)), "exploded": lines, "joined": many, "united": three.union(three)}[kind]
+    assert common.is_plain_scan(df) == (kind in ("scan", "filtered"))
+    keyed = common.keyed_rows(df)
+    n = df.count()
+    assert keyed.count() == n == keyed.select("__row").distinct().count()
+    if kind in ("exploded", "joined", "united"):
+        from weighbridge.llm.exact_dedup import dedup_stage
+        from weighbridge.llm.jaccard_join import jaccard_stage
+
+        texts = {r.text for r in df.collect()}
+        for stage in (dedup_stage, jaccard_stage):
+            kept = [r.text for r in stage(spark, df, "").collect()]
+            assert set(kept) == texts and (stage is jaccard_stage or len(kept) == len(texts))

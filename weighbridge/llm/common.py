@@ -43,13 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """df is one table's scan, with columns chosen and rows filtered at most: each of its rows is a row of a file."""
+    try:
+        node = df._jdf.queryExecution().analyzed()
+    except (AttributeError, TypeError):  # a session that does not show its plans
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation") and not node.children().size()
+
+
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """__row (a number of its own for every row, the same in every run), __doc (all columns of docs), doc_id and text.
 
-    Rows of a Parquet scan are numbered by file and place; those of any other frame are written once.
+    Rows of a plain Parquet scan are numbered by file and place; those of any other frame (joined, exploded, united:
+    several of its rows may stem from one row of a file) are written once.
     """
     whole = F.struct("*").alias("__doc")
     try:
+        if not is_plain_scan(docs):
+            raise AnalysisException("not a plain scan")
         at = docs.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"), whole)
     except AnalysisException:
         keyed = written(docs.select(F.monotonically_increasing_id().alias("__row"), whole), "keyed-rows")
