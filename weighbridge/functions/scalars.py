@@ -125,7 +125,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], out
     here = lambda i: F.max(F.when((F.col("before__m") <= i) & (i < F.col("before__m") + F.col("_m")), F.col("_v")))
     ends = [here(F.floor(x)).alias(f"_l{i}") for i, x in enumerate(place)] + [here(F.ceil(x)).alias(f"_h{i}") for i, x in enumerate(place)]
     g = r.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
-    mix = lambda i, x: (F.ceil(x) - x) * F.col(f"_l{i}") + (x - F.floor(x)) * F.col(f"_h{i}")
+    mix = lambda i, x: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (x - F.floor(x))
     return g.select(*keys, F.array(*[F.when(F.ceil(x) == F.floor(x), F.col(f"_l{i}")).otherwise(mix(i, x)) for i, x in enumerate(place)]).alias(out))
 
 

@@ -50,10 +50,11 @@ def cell_agreement(cells: DataFrame, by: list[str], floor: float) -> DataFrame:
     return beside(plain, spearman(cells, by, "a", "b", few=True), by, few=True, how="left").select(*by, "n", "pearson", "spearman", "same_sign")
 
 
-def rank_agreement(cells: DataFrame, key: str) -> DataFrame:
+def rank_agreement(cells: DataFrame, key: str | list[str]) -> DataFrame:
     """Spearman of |a| and |b| inside every key."""
-    r = _ranked(_ranked(cells, [key], F.abs("a"), "ra"), [key], F.abs("b"), "rb")
-    return r.groupBy(key).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    keys = [key] if isinstance(key, str) else key
+    r = _ranked(_ranked(cells, keys, F.abs("a"), "ra"), keys, F.abs("b"), "rb")
+    return r.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Additive evidence models and the evidence matrix.
 
 One model per (signal, fold left out): a penalised logistic regression on a
-piecewise-linear basis. All models take each Newton step together: Spark sums
-X'WX and X'Wz per job in one aggregate and a k x k system per job is solved.
+piecewise-linear basis, fitted by operators/additive.py.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import beside, percentiles, prefix_sums, uniform
+from ..sources.tables import scan_once, shared_path
+from .additive import fit_jobs, leaving_out
 
 
 def model_frame(rows: DataFrame, key: str, covariates: list[str]) -> DataFrame:
@@ -20,12 +21,12 @@ def model_frame(rows: DataFrame, key: str, covariates: list[str]) -> DataFrame:
 
 
 def knots(rows: DataFrame, covariates: list[str], n_knots: int) -> DataFrame:
-    """Quantile knots of every covariate by signal (a parameter table)."""
+    """Quantile knots of every covariate by signal (a parameter table, a row for each signal); all covariates in one keyed job."""
     at = [(i + 1) / (n_knots + 1) for i in range(n_knots)]
-    out = rows.select("signal").distinct()
-    for c in covariates:
-        out = beside(out, percentiles(rows, ["signal"], c, at, f"knots_{c}"), ["signal"], few=True, how="left")
-    return out
+    long = rows.select("signal", *[F.col(c).cast("double").alias(c) for c in covariates]).unpivot(["signal"], covariates, "covariate", "x")
+    q = percentiles(long, ["signal", "covariate"], "x", at)
+    wide = q.groupBy("signal").agg(*[F.max(F.when(F.col("covariate") == c, F.col("q"))).alias(f"knots_{c}") for c in covariates])
+    return scan_once(rows.select("signal").distinct().join(wide, "signal", "left"), shared_path(rows.sparkSession, "knots"))
 
 
 def basis(rows: DataFrame, knot_table: DataFrame, covariates: list[str], n_knots: int) -> tuple[DataFrame, list[str]]:
@@ -48,47 +49,9 @@ def fit_additive(design: DataFrame, names: list[str], n_folds: int, ridge: float
     of folds to leave out (A9: pairs).
     Columns are scaled by their root mean square so that one ridge serves all.
     """
-    spark, p = design.sparkSession, len(names)
-    scale = design.groupBy("signal").agg(F.array(*[F.sqrt(F.avg(F.col(n) ** 2)) for n in names]).alias("scale"))
-    x = F.array(*[F.col(n) for n in names])
-    d = design.join(F.broadcast(scale), "signal").select("signal", "fold", "y", F.zip_with(x, "scale", lambda a, s: F.when(s > 0, a / s).otherwise(0.0)).alias("x"))
-    base = d.persist()  # every Newton step reads it; a lost block is computed again
     roles = {0: [], **{f: [f] for f in range(1, n_folds + 1)}} if roles is None else roles
-    of = F.array(*[F.struct(F.lit(r).alias("role_fold"), F.array(*map(F.lit, out)).cast("array<int>").alias("out")) for r, out in roles.items()])
-    d = base.withColumn("role", F.explode(of)).filter(~F.array_contains("role.out", F.col("fold"))).withColumn("role_fold", F.col("role.role_fold")).drop("role")
-    jobs = [(r["signal"], r["role_fold"]) for r in d.select("signal", "role_fold").distinct().collect()]
-    beta = {j: np.zeros(p) for j in jobs}
-    schema = "signal string, role_fold int, b array<double>"
-    out = []
-    for step in range(iterations + 1):
-        b = spark.createDataFrame([(s, f, v.tolist()) for (s, f), v in beta.items()], schema)
-        t = d.join(F.broadcast(b), ["signal", "role_fold"])
-        eta = F.aggregate(F.zip_with("x", "b", lambda a, c: a * c), F.lit(0.0), lambda a, c: a + c)
-        t = t.withColumn("eta", eta).withColumn("mu", 1 / (1 + F.exp(-F.col("eta")))).withColumn("w", F.greatest(F.col("mu") * (1 - F.col("mu")), F.lit(1e-9)))
-        at = lambda i: F.element_at("x", i + 1)
-        sums = [F.sum(F.col("w") * at(i) * at(j)).alias(f"a_{i}_{j}") for i in range(p) for j in range(i, p)]
-        sums += [F.sum((F.col("y") - F.col("mu")) * at(i)).alias(f"g_{i}") for i in range(p)]
-        loss = F.sum(-2 * F.when(F.col("y") == 1, F.log(F.greatest("mu", F.lit(1e-12)))).otherwise(F.log(F.greatest(1 - F.col("mu"), F.lit(1e-12)))))
-        rows = t.groupBy("signal", "role_fold").agg(*sums, loss.alias("deviance"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("events")).collect()
-        for r in rows:
-            j = (r["signal"], r["role_fold"])
-            A = np.zeros((p, p))
-            for i in range(p):
-                for k in range(i, p):
-                    A[i, k] = A[k, i] = r[f"a_{i}_{k}"]
-            S = np.diag([1e-6] + [ridge] * (p - 1))
-            g = np.array([r[f"g_{i}"] for i in range(p)]) - S @ beta[j]
-            if step < iterations:
-                beta[j] = beta[j] + np.clip(np.linalg.solve(A + S, g), -5, 5)
-            else:
-                edf = float(np.trace(np.linalg.solve(A + S, A)))
-                q = min(max(r["events"] / r["n"], 1e-9), 1 - 1e-9)
-                null = -2 * (r["events"] * np.log(q) + (r["n"] - r["events"]) * np.log(1 - q))
-                out.append((*j, beta[j].tolist(), edf, r["deviance"], float(null), r["n"], r["events"], float(np.log(q / (1 - q)))))
-    base.unpersist()
-    fitted = spark.createDataFrame(out, "signal string, role_fold int, b array<double>, edf double, deviance double, null_deviance double, n long, events long, prior double")
-    unscaled = F.zip_with("b", "scale", lambda c, s: F.when(s > 0, c / s).otherwise(0.0))
-    return fitted.join(F.broadcast(scale), "signal").withColumn("b", unscaled).drop("scale")
+    fits = fit_jobs(design, ["signal"], names, leaving_out(roles), ridge, iterations)
+    return fits.withColumnRenamed("role", "role_fold").withColumns({c: F.col(c).cast("long") for c in ("n", "events")})
 
 
 def weight_of_evidence(design: DataFrame, names: list[str], fitted: DataFrame, key: str, out_of_fold: bool = True) -> DataFrame:
@@ -205,18 +168,6 @@ def generalisation(inside: DataFrame, outside: DataFrame, key: str) -> DataFrame
     return j.join(F.broadcast(base), "signal").groupBy("signal").agg(F.count(F.lit(1)).alias("n"), loss("a").alias("loss_in"), loss("b").alias("loss_out"), F.corr("a", "b").alias("correlation")).withColumn("optimism", F.col("loss_out") - F.col("loss_in"))
 
 
-def displacement(full: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFrame:
-    """Level and shape (sd of the centred difference) between two curves."""
-    j = full.select(*keys, "cell", F.col("f").alias("a")).join(reduced.select(*keys, "cell", F.col("f").alias("b")), [*keys, "cell"])
-    return j.groupBy(*keys).agg(F.avg(F.col("a") - F.col("b")).alias("level"), F.stddev_pop(F.col("a") - F.col("b")).alias("shape"))
-
-
-def curve_stability(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, sd and 2.5/97.5 % of each grid point over bags."""
-    q = lambda p: F.percentile("f", F.lit(p))
-    return curves.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("bags"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd"), q(0.025).alias("low"), q(0.975).alias("high"))
-
-
 def evidence_grid(keys: DataFrame, signals: DataFrame, evidence: DataFrame, key: str, fill: float | None = 0.0) -> DataFrame:
     """The dense key x signal table with 0 (or null) where unmeasured and a measured flag."""
     g = keys.select(key).distinct().crossJoin(F.broadcast(signals)).join(evidence.select(key, "signal", "l"), [key, "signal"], "left")

@@ -9,14 +9,12 @@ state's onset, click values while it is active.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, uniform
 from ..operators import cohort, features, lattice, signals
-from ..sources.tables import scan, shared_root, spec_table
+from ..sources.tables import scan, shared_path, spec_table
 
 DAY, BINS, HALF, SPAN = 86_400, 24, 12, 6
 SIGNALS = ["click", "error", "purchase", "signup", "view"]
@@ -116,7 +114,7 @@ def vectors(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def out(spark, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -111,8 +111,8 @@ def fold_stability(spark, d):
 
 
 def _design(spark, d):
-    r = _rows(spark, d)
-    return E.basis(r.select("user_id", "signal", "fold", "y", *COVARIATES), E.knots(r, COVARIATES, 1), COVARIATES, 1)
+    r = S.scan_once(_rows(spark, d).select("user_id", "signal", "fold", "y", *COVARIATES), B.out(spark, "covariates"))
+    return E.basis(r, E.knots(r, COVARIATES, 1), COVARIATES, 1)
 
 
 def _fits(spark, d):
@@ -221,20 +221,6 @@ def curve_summary(spark, d):
     return B.rounded(E.curve_summary(_curves(spark, d), ["signal"]))
 
 
-@query("curve_displacement")
-def curve_displacement(spark, d):
-    """Level and shape between two halves' curves, and their stability over bags."""
-    p = B.people(spark, d).select("user_id", "y")
-    ev = B.evidence(spark, d).join(p, "user_id")
-    per = lambda df: E.support(df, ["signal"], "l", "y", 6, 1, 5).select("signal", "cell", (F.col("events") / F.col("n")).alias("f"))
-    from ..operators import resampling
-
-    bags = resampling.bags(p, "user_id", 5, 21)
-    bagged = E.support(ev.join(bags, "user_id"), ["signal", "bag"], "l", "y", 6, 1, 5).select("signal", "bag", "cell", (F.col("events") / F.col("n")).alias("f"))
-    stable = E.curve_stability(bagged, ["signal"]).groupBy("signal").agg(F.avg("sd").alias("mean_sd"))
-    return B.rounded(E.displacement(per(ev.filter("user_id % 2 = 0")), per(ev.filter("user_id % 2 = 1")), ["signal"]).join(stable, "signal"))
-
-
 @query("evidence_grid", B.sql(B.EVIDENCE, "SELECT p.user_id, r.signal, coalesce(l, 0) AS l, (l IS NOT NULL)::BIGINT AS measured FROM (SELECT DISTINCT user_id FROM people) p CROSS JOIN (SELECT signal FROM ranges) r LEFT JOIN evidence e ON e.user_id = p.user_id AND e.signal = r.signal", "l"))
 def evidence_grid(spark, d):
     """Dense matrix with 0 where unmeasured."""

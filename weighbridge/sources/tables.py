@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +23,11 @@ def shared_root(spark: SparkSession) -> str:
     return (root or "/tmp/checkpoints/weighbridge").rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def load_tables(spark: SparkSession, sf_dir: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """The logical tables of a site by declared schema, registered as temporary views."""
     out = {n: scan(spark, sf_dir, n, StructType.fromDDL(ddl)) for n, ddl in schemas.items()}
