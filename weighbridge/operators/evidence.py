@@ -151,23 +151,6 @@ def curve_summary(curves: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg((F.max("f") - F.min("f")).alias("range"), F.sum("turn").alias("extrema"), F.when(F.min("d") >= 0, "up").when(F.max("d") <= 0, "down").otherwise("mixed").alias("direction"))
 
 
-def residual_qc(scored: DataFrame, n_bins: int) -> DataFrame:
-    """Calibration bins on rounded probabilities with the Hosmer-Lemeshow term. scored: signal, p, y."""
-    w = Window.partitionBy("signal").orderBy("pr")
-    cells = scored.withColumn("pr", F.round("p", 4)).groupBy("signal", "pr").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("d"), F.sum("p").alias("e"))
-    b = cells.withColumn("bin", F.least(F.floor((F.sum("m").over(w) - F.col("m")) * n_bins / F.sum("m").over(Window.partitionBy("signal"))), F.lit(n_bins - 1)).cast("int"))
-    g = b.groupBy("signal", "bin").agg(F.sum("m").alias("n"), F.sum("d").alias("events"), F.sum("e").alias("expected"))
-    return g.withColumn("term", F.try_divide((F.col("events") - F.col("expected")) ** 2, F.col("expected") * (1 - F.col("expected") / F.col("n"))))
-
-
-def generalisation(inside: DataFrame, outside: DataFrame, key: str) -> DataFrame:
-    """Log-loss in sample and out of fold, optimism and the correlation of the two. Both: key, signal, y, l, prior."""
-    j = inside.select(key, "signal", "y", F.col("l").alias("a")).join(outside.select(key, "signal", F.col("l").alias("b")), [key, "signal"])
-    base = j.groupBy("signal").agg(F.log(F.avg("y") / (1 - F.avg("y"))).alias("prior"))
-    loss = lambda c: F.avg(F.log1p(F.exp(F.when(F.col("y") == 1, -(F.col(c) + F.col("prior"))).otherwise(F.col(c) + F.col("prior")))))
-    return j.join(F.broadcast(base), "signal").groupBy("signal").agg(F.count(F.lit(1)).alias("n"), loss("a").alias("loss_in"), loss("b").alias("loss_out"), F.corr("a", "b").alias("correlation")).withColumn("optimism", F.col("loss_out") - F.col("loss_in"))
-
-
 def evidence_grid(keys: DataFrame, signals: DataFrame, evidence: DataFrame, key: str, fill: float | None = 0.0) -> DataFrame:
     """The dense key x signal table with 0 (or null) where unmeasured and a measured flag."""
     g = keys.select(key).distinct().crossJoin(F.broadcast(signals)).join(evidence.select(key, "signal", "l"), [key, "signal"], "left")

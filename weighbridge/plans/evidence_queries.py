@@ -97,7 +97,7 @@ def lognormal_intensity(spark, d):
 
 @query("prior_diagnostics")
 def prior_diagnostics(spark, d):
-    """Shrinkage weights and posterior predictive check."""
+    """Shrinkage weights and posterior predictive check."""
     r = _rows(spark, d)
     p = L.prior_table(r, B.FOLDS)
     w = L.shrinkage_weights(r, p).groupBy("signal").agg(F.max(F.when(F.col("quartile") == 1, F.col("weight"))).alias("median_weight"))
@@ -141,18 +141,11 @@ def fit_triage(spark, d):
 
 @query("weight_of_evidence")
 def weight_of_evidence(spark, d):
-    """Out-of-fold evidence."""
+    """Out-of-fold evidence."""
     design, names, fits = _fits(spark, d)
     return B.rounded(E.weight_of_evidence(design, names, fits, "user_id").select("user_id", "signal", "l"))
 
 
-@query("generalisation")
-def generalisation(spark, d):
-    """In sample against out of fold."""
-    design, names, fits = _fits(spark, d)
-    return B.rounded(E.generalisation(E.weight_of_evidence(design, names, fits, "user_id", False), E.weight_of_evidence(design, names, fits, "user_id"), "user_id"))
-
-
 @query("term_contributions")
 def term_contributions(spark, d):
     """Anchored contributions of every term."""
@@ -160,14 +153,6 @@ def term_contributions(spark, d):
     return B.rounded(E.terms(design, names, fits, "user_id", {c: [n for n in names if n == f"z_{c}" or n.startswith(f"z_{c}_")] for c in COVARIATES}))
 
 
-@query("residual_qc")
-def residual_qc(spark, d):
-    """Calibration bins of fitted probabilities."""
-    design, names, fits = _fits(spark, d)
-    l = E.weight_of_evidence(design, names, fits, "user_id").join(F.broadcast(fits.select("signal", F.col("role_fold").alias("fold"), "prior")), ["signal", "fold"])
-    return B.rounded(E.residual_qc(l.withColumn("p", 1 / (1 + F.exp(-(F.col("l") + F.col("prior"))))), 5))
-
-
 @query("evidence_coverage", B.sql(B.EVIDENCE, "SELECT signal, count(l) AS n, count_if(l = 0) AS zeros, avg(l) AS mean, stddev_samp(l) AS sd, quantile_cont(l, 0.05) AS q05, quantile_cont(l, 0.95) AS q95, min(l) AS least, max(l) AS largest FROM evidence GROUP BY 1", "mean sd q05 q95 least largest"))
 def evidence_coverage(spark, d):
     """A10, E10."""
@@ -293,7 +278,7 @@ def wide_design(spark, d):
 
 @query("boosted_scores")
 def boosted_scores(spark, d):
-    """Cross-checked boosted comparator."""
+    """Scores of one boosted fit, in sample but for the rows held out for early stopping."""
     w = learners.median_filled(learners.wide_design(B.evidence(spark, d), "user_id", "signal", "l", B.SIGNALS), B.SIGNALS)
     w = w.join(B.people(spark, d).select("user_id", "y", "fold"), "user_id").withColumn("held", F.col("fold") == 1)
     return B.rounded(learners.boosted(w, [c for c in w.columns if c.split("_")[0] in B.SIGNALS], "user_id", "y", "held")[0])
