@@ -314,3 +314,77 @@ def tolerance_grid(noise: DataFrame, a: str, b: str, absolute: list[float]) -> D
 def additivity(contributions: DataFrame, margins: DataFrame, key: str) -> DataFrame:
     """Largest difference between the sum of contributions and the margin."""
     return contributions.groupBy(key).agg(F.sum("a").alias("s")).join(margins, key).agg(F.max(F.abs(F.col("s") - F.col("margin"))).alias("largest"), F.count(F.lit(1)).alias("n"))
+
+
+def collapsed_leaders(cells: DataFrame, key: str, share: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """b's leader of every key (largest |b|, ties by ord): its signal, whether it is measured, and whether its share of a's
+    positive evidence is below `share` (an a without positive evidence has a share of 0). cells: by, key, signal, ord, a, b, measured, with every signal of a key.
+    """
+    keys = [*by, key]
+    lead = F.min(F.struct((-F.abs("b")).alias("m"), "ord", "signal", "a", "measured"))
+    g = cells.groupBy(*keys).agg(lead.alias("l"), F.sum(F.greatest("a", F.lit(0.0))).alias("positive"), F.count_if(F.col("measured") == 0).alias("n_unmeasured"), F.sum(F.abs("b")).alias("total"))
+    collapsed = (F.coalesce(F.try_divide("l.a", "positive"), F.lit(0.0)) < share).cast("int")
+    return g.filter("total > 0").select(*keys, F.col("l.signal").alias("leader"), (1 - F.col("l.measured")).cast("int").alias("unmeasured"), collapsed.alias("collapsed"), "n_unmeasured")
+
+
+def collapse_decomposition(led: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group: leaders, share collapsed, share unmeasured, collapse given either, share unmeasured among the collapsed, mean number of unmeasured signals."""
+    u, c = F.col("unmeasured"), F.col("collapsed")
+    given = lambda x, when: F.avg(F.when(when, x.cast("double")))
+    return led.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("collapse"), F.avg(u).alias("leader_unmeasured"), given(c, u == 1).alias("collapse_given_unmeasured"), given(c, u == 0).alias("collapse_given_measured"),
+                                given(u, c == 1).alias("unmeasured_given_collapse"), F.avg("n_unmeasured").alias("n_unmeasured"))
+
+
+def unmeasured_channels(led: DataFrame, by: list[str]) -> DataFrame:
+    """Which signals lead where they are unmeasured: rows, share among such leaders, and how many collapse."""
+    g = led.filter("unmeasured = 1").groupBy(*by, F.col("leader").alias("signal")).agg(F.count(F.lit(1)).alias("n"), F.avg("collapsed").alias("collapse"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))))  # a row a signal
+
+
+def collapse_correlations(groups: DataFrame, least: int, by: list[str]) -> DataFrame:
+    """Over groups with at least `least` leaders, the rank correlations of collapse with the share of unmeasured leaders, with the
+    number of unmeasured signals, and of collapse among measured leaders with the share of unmeasured leaders."""
+    pairs = [("leader_unmeasured", "collapse"), ("n_unmeasured", "collapse"), ("leader_unmeasured", "collapse_given_measured")]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs]))
+    long = groups.filter(F.col("n") >= least).select(*by, each.alias("p")).select(*by, "p.*")
+    known = long.filter("u is not null and v is not null").groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("groups"))
+    return beside(known, spearman(long, [*by, "x", "y"], "u", "v", few=True), [*by, "x", "y"], few=True, how="left")
+
+
+def manifest_coverage(manifest: DataFrame, plan: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """A replicate plan against the manifest, by anti-joins on the coordinates: planned, present, missing, unplanned and repeated coordinates of each group."""
+    seen = manifest.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    p = plan.select(*keys).distinct()
+    count = lambda df, name: df.select(*by, F.lit(name).alias("state"))
+    states = count(p, "planned").unionByName(count(p.join(seen, same(p, seen), "left_semi"), "present")).unionByName(count(p.join(seen, same(p, seen), "left_anti"), "missing"))
+    states = states.unionByName(count(seen.join(p, same(seen, p), "left_anti"), "unplanned")).unionByName(count(seen.filter("copies > 1"), "repeated"))
+    return states.groupBy(*by).agg(*[F.count_if(F.col("state") == n).alias(n) for n in ("planned", "present", "missing", "unplanned", "repeated")])
+
+
+#: Replicates whose pairs are formed at most: a manifest is a table of dozens to hundreds of rows.
+MOST_REPLICATES = 5_000
+
+
+def contrast_levels(manifest: DataFrame, families: dict[str, str]) -> DataFrame:
+    """Pairs of replicates and the level of their contrast, or why they are refused.
+
+    manifest: id, method, route, boot, seed, draw; families: routes that were made alike (a bag refitted with other seeds belongs
+    to its bag's family). L1: one coordinate twice; L2: another seed; L3: another bag; L3T: another bag and seed; L3P: another
+    posterior draw; L4: another method at one coordinate. Refused: methods and coordinates both differ (confounded), a draw differs with
+    a bag or seed (draw_mixed), the full sample against a bag (full_sample), a fit against its own draw (centre). Pairs of different
+    families, or of a route without one, are not formed. More replicates than MOST_REPLICATES raise.
+    """
+    n = manifest.count()
+    if n > MOST_REPLICATES:
+        raise ValueError(f"{n} replicates; a manifest may hold {MOST_REPLICATES}")
+    family = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("route")]
+    m = manifest.withColumn("family", family)
+    cols = ["id", "method", "boot", "seed", "draw"]
+    a, b = (m.select("family", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
+    j = a.join(b, "family").filter("id_a < id_b")
+    dm, db, ds, dd = (~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in cols[1:])
+    zero = lambda c: F.least(f"{c}_a", f"{c}_b") == 0
+    refused = F.when(dm & (db | ds | dd), "confounded").when(dd & (db | ds), "draw_mixed").when(db & zero("boot"), "full_sample").when(dd & zero("draw"), "centre")
+    level = F.when(refused.isNotNull(), "refused").when(dm, "L4").when(dd, "L3P").when(db & ds, "L3T").when(db, "L3").when(ds, "L2").otherwise("L1")
+    return j.select("id_a", "id_b", "family", level.alias("level"), refused.alias("refused"))

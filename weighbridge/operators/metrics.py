@@ -141,3 +141,47 @@ def top_precision(scores: DataFrame, keys: list[str], key: str, fraction: float)
     part = scores.join(edge, [*keys, "score"]).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(key))).filter("_rn <= k - before_m").groupBy(*keys).agg(F.sum("y").alias("e"))
     out = n.join(whole, keys, "left").join(part, keys, "left")
     return out.select(*keys, F.col("k").cast("long").alias("k"), ((F.coalesce("d", F.lit(0)) + F.coalesce("e", F.lit(0))) / F.col("k")).alias("precision"))
+
+
+def normal_tail(z: str) -> str:
+    """Two-sided tail of the normal law as SQL text (a published approximation of the error function, error below 1.5e-7)."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1 / (1 + CAST(0.3275911 AS DOUBLE) * {x}))"
+    # The coefficients of that approximation.
+    poly = f"((((CAST(1.061405429 AS DOUBLE) * {t} - CAST(1.453152027 AS DOUBLE)) * {t} + CAST(1.421413741 AS DOUBLE)) * {t} - CAST(0.284496736 AS DOUBLE)) * {t} + CAST(0.254829592 AS DOUBLE)) * {t}"
+    return f"({poly} * exp(-{x} * {x}))"
+
+
+def delong_by(scores: DataFrame, keys: list[str], key: str, a: str, b: str) -> DataFrame:
+    """The paired AUROC difference of columns a and b inside every group, all groups in one job.
+
+    scores: keys, key, y, a, b. Placement values come from prefix sums over distinct scores of a group and arm. A group without
+    both classes has null areas; a difference without variance has a null z and p. Rows where a or b is unknown take no part.
+    """
+    arms = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).cast("double").alias("score")) for n, c in (("a", a), ("b", b))])).alias("s")
+    long = scores.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, key, "y", arms).select(*keys, key, "y", "s.*")
+    group = [*keys, "arm"]
+    cells = long.groupBy(*group, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    r = prefix_sums(cells, group, "score", ["pos", "neg"]).join(cells.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), group)
+    place = r.select(*group, "score", F.try_divide(F.col("before_neg") + F.col("neg") / 2.0, F.col("N")).alias("v_pos"), (1 - F.try_divide(F.col("before_pos") + F.col("pos") / 2.0, F.col("P"))).alias("v_neg"))
+    v = long.join(place, [*group, "score"]).withColumn("v", F.when(F.col("y") == 1, F.col("v_pos")).otherwise(F.col("v_neg")))
+    wide = v.groupBy(*keys, key, "y").agg(F.max(F.when(F.col("arm") == "a", F.col("v"))).alias("va"), F.max(F.when(F.col("arm") == "b", F.col("v"))).alias("vb"))
+    s = wide.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp(F.col("va") - F.col("vb")).alias("vd"))
+    pos = lambda c: F.max(F.when(F.col("y") == 1, F.col(c)))
+    one = s.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("events"), pos("ma").alias("auc_a"), pos("mb").alias("auc_b"), F.when(F.count("vd") == 2, F.sum(F.col("vd") / F.col("n"))).alias("variance"))
+    one = one.withColumns({"difference": F.col("auc_a") - F.col("auc_b"), "se": F.sqrt("variance")}).withColumn("z", F.when(F.col("variance") > 1e-18, F.col("difference") / F.col("se")))
+    return one.withColumn("p", F.expr(normal_tail("z"))).select(*keys, "n", "events", "auc_a", "auc_b", "difference", "se", "z", "p")
+
+
+def reported(table: DataFrame, least_rows: int, least_events: int) -> DataFrame:
+    """Whether a group has the rows, events and non-events to be read."""
+    enough = (F.col("n") >= least_rows) & (F.col("events") >= least_events) & (F.col("n") - F.col("events") >= least_events)
+    return table.withColumn("reported", enough.cast("int"))
+
+
+def constant_columns(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of each group how many of the columns hold one known value at most, and whether all do (a contrast is clean only there)."""
+    one = lambda c: (F.coalesce(F.min(c) == F.max(c), F.lit(True))).cast("int")
+    g = rows.groupBy(*keys).agg(*[one(c).alias(f"_{c}") for c in columns])
+    n = sum((F.col(f"_{c}") for c in columns), F.lit(0))
+    return g.select(*keys, n.alias("constant"), (n == len(columns)).cast("int").alias("clean"))

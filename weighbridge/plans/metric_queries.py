@@ -139,7 +139,7 @@ STRATA = B.sql(B.EVIDENCE, lifted(auc_sql("(SELECT CASE WHEN k > 2 THEN 'many' W
 
 @query("burden_strata", STRATA)
 def burden_strata(spark, d):
-    """Metrics within burden strata."""
+    """Metrics within strata of how many signals are high."""
     k = B.feature_grid(spark, d).groupBy("user_id").agg(F.count_if(F.col("k_high") > 0).alias("k"))
     s = B.scores(spark, d).join(k, "user_id").withColumn("stratum", F.when(F.col("k") > 2, "many").when(F.col("k") > 0, "few").otherwise("none"))
     return B.rounded(M.discrimination(s, ["stratum"]))
@@ -199,13 +199,6 @@ def profiles(spark, d):
     return B.rounded(K.profiles(B.scores(spark, d).select("fold", "user_id", "score"), "fold", "user_id", 8))
 
 
-@query("cards")
-def cards(spark, d):
-    """K1: cards of all entities in one job."""
-    c = K.cards(B.evidence(spark, d), "user_id", B.scores(spark, d))
-    return c.select("user_id", "score", "y", F.size("evidence").cast("bigint").alias("lines"), F.col("evidence")[0]["signal"].alias("strongest"))
-
-
 @query("redundancy", B.sql(B.GRID, "SELECT signal, count(*) AS n, avg((value_median = within_mean)::INT) AS equal, corr(value_median, within_mean) AS correlation FROM grid WHERE n_obs > 0 GROUP BY 1", "equal correlation"))
 def redundancy(spark, d):
     """K6."""

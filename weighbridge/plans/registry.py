@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import attribution_queries, cohort_queries, evidence_queries, feature_queries, frozen_queries, metric_queries, other_queries, refit_queries, residual_queries, severity_queries  # noqa: E402,F401
+from . import attribution_queries, card_queries, cohort_queries, evidence_queries, feature_queries, frozen_queries, metric_queries, other_queries, refit_queries, residual_queries, severity_queries  # noqa: E402,F401
