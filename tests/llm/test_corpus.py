@@ -198,7 +198,7 @@ def test_trees_use_lexical_features_and_judge_apart(spark):
     labelled = df.filter("rule is not null").withColumn("label", F.col("rule").isin("net/", "example.com/de/").cast("int"))
     model = U.train(labelled)
     used = {f for t in model.trees for f, _ in t.split.values()}
-    assert len(used - {"suffix_rate", "suffix_rows"}) >= 3
+    assert len(used - {"suffix_rate"}) >= 3
     got = U.op2_url_filter(spark, d).filter("rule is null")
     assert got.select("verdict").distinct().count() == 2 and got.select("probability").distinct().count() > 20
 
@@ -522,6 +522,31 @@ def test_landing_takes_the_best_subset():
         assert set(got) <= {0.0, 1.0} and got[7:] == [0.0, 1.0] and abs(sum(x * p for x, p in zip(a, got)) - want) == pytest.approx(best)
 
 
+def test_mix_meets_words_and_documents_of_every_source(spark):
+    from weighbridge.llm import mixing as M
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    wanted = F.sum(F.col("target") / F.col("source_size") * F.col("n")).alias("documents")
+    m = M.mix(M.sizes(docs)).groupBy("source").agg(F.sum(F.col("size") * F.col("times") * F.col("n")).alias("words"), F.first("target").alias("target"), F.sum(F.col("times") * F.col("n")).alias("k"), wanted).collect()
+    assert len(m) == 20 and all(abs(r.words - r.target) <= 0.001 * r.target and abs(r.k - r.documents) <= 2 for r in m)
+
+
+def test_landing_draws_by_likelihood_among_what_fits():
+    from weighbridge.llm.mixing import landing, reserve
+
+    rng = random.Random(3)
+    taken = [0] * 6
+    for _ in range(400):
+        pi = [0.9, 0.1, 0.5, 0.5, 0.5, 0.5]  # equal units: three documents of 10 words fit, whichever they are
+        landing(pi, [10.0] * 6, [1.0] * 6, 30.0, 3.0, rng.random)
+        assert 2 <= sum(pi) <= 4
+        taken = [t + p for t, p in zip(taken, pi)]
+    assert taken[0] > 300 > taken[2] > 100 > taken[1]
+    sizes = sorted((rng.randint(1, 3000) for _ in range(400)), reverse=True)
+    kept = reserve([float(x) for x in sizes])
+    assert len(kept) == 16 and 0 not in kept and sum(sizes[i] for i in kept) > sizes[0] and min(sizes[i] for i in kept) < 30
+
+
 # --- 8 language model ---------------------------------------------------------------------
 
 

@@ -6,9 +6,11 @@ size, the excess reshared). A document of the source is taken
 as an inclusion probability. The flight phase moves the probabilities through
 the null-space of two constraints (words and documents of the source) until
 at most two units of a block are undecided; blocks are merged level by level
-until one block of a source is left, and only its last few units are landed,
-by trying all their subsets. Very long documents are decided first, and
-what they leave over is spread over the probabilities of the others.
+until one block of a source is left. Its last two units and a reserve of small
+ones are landed together: of all their subsets that meet both totals, one is
+drawn by its likelihood under the probabilities. Very long documents are decided
+first; what they leave over of words and documents is spread over the
+probabilities of the others, linear in size, so that both totals stay.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import WORD, broadcast_if_small, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
-LAND = 12  # units of a source, spread over its sizes, that are decided together at the end
+LAND = 16  # units of a source that wait for the landing: their sizes halve from the largest unit's
 
 
 def words_in_text() -> Column:
@@ -82,20 +84,49 @@ def flight(pi: list[float], a: list[float], b: list[float], draw) -> None:
         held = [x for x in held if EPS < pi[x] < 1 - EPS]
 
 
-def landing(pi: list[float], a: list[float], b: list[float], words: float, documents: float) -> None:
-    """Decides the last few open units in place: of all their subsets, the one that brings the words nearest, then the documents."""
+def reserve(a: list[float]) -> set[int]:
+    """Units that wait for the landing: of every halving of the largest unit's words (a, falling) the nearest ones left, the largest never."""
+    chosen: set[int] = set()
+    size, falling = a[0] / 2 if a else 0.0, np.array(a)
+    order = np.arange(1, len(a))
+    while len(chosen) < min(LAND, len(order)):
+        near = [int(i) for i in order[np.argsort(np.abs(falling[1:] - size), kind="stable")][: 3 * LAND] if int(i) not in chosen]
+        if not near:
+            break
+        chosen |= set(near[:2])
+        size = size / 2 if size > 1 else a[0] / 3
+    return set(sorted(chosen)[-LAND:])
+
+
+def landing(pi: list[float], a: list[float], b: list[float], words: float, documents: float, draw=None) -> None:
+    """Decides the last few open units in place.
+
+    Of all their subsets those are in question that bring both totals within 0.05 % of the words and one document, or else nearest;
+    among them draw() picks one by its likelihood under pi. Without draw the nearest is taken, words before documents.
+    """
     last = [i for i, p in enumerate(pi) if EPS < p < 1 - EPS]
-    rest = [i for i in range(len(pi)) if i not in set(last)]
-    subsets = np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1
-    off = [np.abs(subsets @ np.array([c[i] for i in last]) + sum(c[i] * pi[i] for i in rest) - want) for c, want in ((a, words), (b, documents))]
-    best = np.lexsort((off[1], np.round(off[0], 6)))[0]
-    for i, x in zip(last, subsets[best]):
-        pi[i] = float(x)
+    open_ = set(last)
+    sums = [np.array([sum(c[i] * pi[i] for i in range(len(pi)) if i not in open_) - want]) for c, want in ((a, words), (b, documents))]
+    likely, subset = np.zeros(1), np.zeros(1, np.int64)
+    for k, i in enumerate(last):  # every subset, by doubling
+        sums = [np.concatenate([x, x + c[i]]) for x, c in zip(sums, (a, b))]
+        likely = np.concatenate([likely + math.log(1 - pi[i]), likely + math.log(pi[i])])
+        subset = np.concatenate([subset, subset | 1 << k])
+    off = [np.abs(x) for x in sums]
+    if draw is None:
+        best = subset[np.lexsort((off[1], np.round(off[0], 6)))[0]]
+    else:
+        cost = np.maximum(off[0] / max(5e-4 * words, 1.0), off[1])
+        good = np.flatnonzero(cost <= max(1.0, cost.min() + 1e-9))
+        weight = np.cumsum(np.exp(likely[good] - likely[good].max()))
+        best = subset[good[min(int(np.searchsorted(weight, draw() * weight[-1], "right")), len(good) - 1)]]
+    for k, i in enumerate(last):
+        pi[i] = float(best >> k & 1)
 
 
 def _fly(seed: int):
-    """A block's flight, the largest units first. The only block of a source keeps LAND units of sizes
-    from its largest to its smallest out of the flight and lands them with what the flight leaves open."""
+    """A block's flight, the largest units first. The only block of a source holds a reserve back and lands it with what the flight leaves
+    open; off_words and off_documents are what the totals wanted exceed the probabilities by."""
 
     def run(key, pdf):
         import random
@@ -103,15 +134,16 @@ def _fly(seed: int):
         pdf = pdf.assign(_words=-pdf["size"] * pdf["n"]).sort_values(["_words", "order", "doc_id", "n"], kind="stable")
         pi, a, b = pdf["pi"].tolist(), (-pdf["_words"]).astype(float).tolist(), pdf["n"].astype(float).tolist()
         rank, block, blocks = map(int, key)
-        words, documents = (sum(x * p for x, p in zip(c, pi)) for c in (a, b))
-        kept_back = set(np.linspace(0, len(pi) - 1, min(LAND, len(pi))).round().astype(int).tolist()) if blocks == 1 else set()
+        words, documents = (sum(x * p for x, p in zip(c, pi)) + float(pdf[off].iloc[0]) for c, off in ((a, "off_words"), (b, "off_documents")))
+        kept_back = reserve(a) if blocks == 1 else set()
         fliers = [i for i in range(len(pi)) if i not in kept_back]
         flying = [pi[i] for i in fliers]
-        flight(flying, [a[i] for i in fliers], [b[i] for i in fliers], random.Random(f"{seed}:{rank}:{block}").random)
+        draw = random.Random(f"{seed}:{rank}:{block}").random
+        flight(flying, [a[i] for i in fliers], [b[i] for i in fliers], draw)
         for i, p in zip(fliers, flying):
             pi[i] = p
         if blocks == 1:
-            landing(pi, a, b, words, documents)
+            landing(pi, a, b, words, documents, draw)
         return pdf.drop(columns="_words").assign(pi=pi)
 
     return run
@@ -139,24 +171,34 @@ def balanced(units: DataFrame, block_rows: int = 5_000, seed: int = 7, heavy: fl
     """units: rank (of the source), doc_id, source, size, n, whole, pi. The same with pi 0 or 1.
 
     Units of more than `heavy` times their source's mean words are decided first. What their decision leaves over of the
-    words wanted is spread over the inclusion probabilities of the source's other units, which are decided on that.
+    words and documents wanted is added to the inclusion probabilities of the source's other units, linear in their size, so that
+    both totals stay; what the bounds 0 and 1 cut off is left to the landing.
     """
     units = units.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
     is_open, words = F.col("pi").between(EPS, 1 - EPS), F.col("size") * F.col("n")
     done = units.filter(~is_open).withColumn("pi", F.when(F.col("pi") >= 0.5, 1.0).otherwise(0.0))
     mean = units.filter(is_open).groupBy("rank").agg((heavy * F.avg(words)).alias("most"))
     n_sources = mean.count()
-    parted = written(units.filter(is_open).join(broadcast_if_small(mean, n_sources, 64), "rank").withColumn("heavy", words > F.col("most")).drop("most"), "mix-parted")
+    parted = units.filter(is_open).join(broadcast_if_small(mean, n_sources, 64), "rank").withColumn("heavy", words > F.col("most")).drop("most")
+    parted = written(parted.withColumns({"off_words": F.lit(0.0), "off_documents": F.lit(0.0)}), "mix-parted")
     large = written(flown(parted.filter("heavy").withColumn("pi0", F.col("pi")), block_rows, seed), "mix-heavy")
-    left = large.groupBy("rank").agg(F.sum((F.col("pi0") - F.col("pi")) * words).alias("left"))
+    total = lambda c, n: F.sum(c).alias(n)
+    left = large.groupBy("rank").agg(total((F.col("pi0") - F.col("pi")) * words, "w"), total((F.col("pi0") - F.col("pi")) * F.col("n"), "d"))
     rest = parted.filter("not heavy")
-    room = rest.groupBy("rank").agg(F.sum(words).alias("room")).join(left, "rank")
-    shift = F.coalesce(F.when(F.col("room") > 0, F.col("left") / F.col("room")), F.lit(0.0))
-    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("pi") + shift))
-    rest = written(rest.join(broadcast_if_small(room, n_sources, 64), "rank", "left").withColumn("pi", moved).drop("left", "room"), "mix-rest")
-    sure = rest.filter(~is_open).withColumn("pi", F.round("pi"))
-    small = flown(rest.filter(is_open), block_rows, seed + 100)
-    return reduce(DataFrame.unionByName, [done, *(x.select(done.columns) for x in (large, sure, small))])
+    s0, s1, s2, w, d = (F.col(c) for c in ("s0", "s1", "s2", "w", "d"))
+    det = s0 * s2 - s1 * s1
+    slope = F.when(det > 1e-9 * s0 * s2, (s0 * w - s1 * d) / det).otherwise(0.0)
+    room = rest.groupBy("rank").agg(total(F.col("n").cast("double"), "s0"), total(words.cast("double"), "s1"), total((words * F.col("size")).cast("double"), "s2")).join(left, "rank", "left").fillna(0.0, ["w", "d"])
+    room = room.withColumn("slope", slope).select("rank", "w", "d", "slope", ((d - F.col("slope") * s1) / s0).alias("shift"))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("pi") + F.col("shift") + F.col("slope") * F.col("size")))
+    rest = written(rest.join(broadcast_if_small(room, n_sources, 64), "rank").withColumn("pi0", F.col("pi")).withColumn("pi", moved).drop("shift", "slope"), "mix-rest")
+    sure = F.col("pi").between(EPS, 1 - EPS)
+    settled = F.when(sure, F.col("pi")).otherwise(F.round("pi"))
+    short = lambda c: F.sum((F.col("pi0") - settled) * c)
+    off = rest.groupBy("rank").agg((F.first("w") + short(words)).alias("off_words"), (F.first("d") + short(F.col("n"))).alias("off_documents"))
+    rest = rest.drop("w", "d", "pi0", "off_words", "off_documents").join(broadcast_if_small(off, n_sources, 64), "rank")
+    small = flown(rest.filter(sure), block_rows, seed + 100)
+    return reduce(DataFrame.unionByName, [done, *(x.select(done.columns) for x in (large, rest.filter(~sure).withColumn("pi", F.round("pi")), small))])
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, block_rows: int = 5_000) -> DataFrame:
