@@ -98,11 +98,11 @@ def reserve(a: list[float]) -> set[int]:
     return set(sorted(chosen)[-LAND:])
 
 
-def landing(pi: list[float], a: list[float], b: list[float], words: float, documents: float, draw=None) -> None:
+def landing(pi: list[float], a: list[float], b: list[float], words: float, documents: float, draw=None, near: float = 1.0) -> None:
     """Decides the last few open units in place.
 
-    Of all their subsets those are in question that bring both totals within 0.05 % of the words and one document, or else nearest;
-    among them draw() picks one by its likelihood under pi. Without draw the nearest is taken, words before documents.
+    Of all their subsets those are in question that bring the totals within `near` words and one document, or else nearest (in
+    these units); among them draw() picks one by its likelihood under pi. Without draw the nearest is taken, words before documents.
     """
     last = [i for i, p in enumerate(pi) if EPS < p < 1 - EPS]
     open_ = set(last)
@@ -116,8 +116,10 @@ def landing(pi: list[float], a: list[float], b: list[float], words: float, docum
     if draw is None:
         best = subset[np.lexsort((off[1], np.round(off[0], 6)))[0]]
     else:
-        cost = np.maximum(off[0] / max(5e-4 * words, 1.0), off[1])
-        good = np.flatnonzero(cost <= max(1.0, cost.min() + 1e-9))
+        good = np.flatnonzero((off[0] <= near) & (off[1] <= 1))
+        if not len(good):
+            cost = off[0] / near + off[1]
+            good = np.flatnonzero(cost <= cost.min() + 1e-9)
         weight = np.cumsum(np.exp(likely[good] - likely[good].max()))
         best = subset[good[min(int(np.searchsorted(weight, draw() * weight[-1], "right")), len(good) - 1)]]
     for k, i in enumerate(last):
@@ -126,7 +128,7 @@ def landing(pi: list[float], a: list[float], b: list[float], words: float, docum
 
 def _fly(seed: int):
     """A block's flight, the largest units first. The only block of a source holds a reserve back and lands it with what the flight leaves
-    open; off_words and off_documents are what the totals wanted exceed the probabilities by."""
+    open, to 0.005 % of source_words; off_words and off_documents are what the totals wanted exceed the probabilities by."""
 
     def run(key, pdf):
         import random
@@ -143,7 +145,7 @@ def _fly(seed: int):
         for i, p in zip(fliers, flying):
             pi[i] = p
         if blocks == 1:
-            landing(pi, a, b, words, documents, draw)
+            landing(pi, a, b, words, documents, draw, max(1.0, 5e-5 * float(pdf["source_words"].iloc[0])))
         return pdf.drop(columns="_words").assign(pi=pi)
 
     return run
@@ -177,7 +179,7 @@ def balanced(units: DataFrame, block_rows: int = 5_000, seed: int = 7, heavy: fl
     units = units.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
     is_open, words = F.col("pi").between(EPS, 1 - EPS), F.col("size") * F.col("n")
     done = units.filter(~is_open).withColumn("pi", F.when(F.col("pi") >= 0.5, 1.0).otherwise(0.0))
-    mean = units.filter(is_open).groupBy("rank").agg((heavy * F.avg(words)).alias("most"))
+    mean = units.filter(is_open).groupBy("rank").agg((heavy * F.avg(words)).alias("most"), F.sum((F.col("whole") + F.col("pi")) * words).alias("source_words"))
     n_sources = mean.count()
     parted = units.filter(is_open).join(broadcast_if_small(mean, n_sources, 64), "rank").withColumn("heavy", words > F.col("most")).drop("most")
     parted = written(parted.withColumns({"off_words": F.lit(0.0), "off_documents": F.lit(0.0)}), "mix-parted")
