@@ -263,6 +263,46 @@ def test_quality_rules_learn_thresholds(spark):
     assert Q.learn(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("digest", ["0L", "cast(length(x) as bigint)"])
+def test_windows_are_compared_by_their_words(spark, docs, rows, digest):
+    """Digests that collide for every window, or for many, change no count."""
+    from weighbridge.llm import quality_rules as Q
+
+    own = docs.select("doc_id", "text").filter("length(text) < 4000 or text is null")
+    count = lambda df: sorted((str(r.doc_id), r.n_repeat_words) for r in df.select("doc_id", "n_repeat_words").collect())
+    got = count(Q.statistics(own, digest=digest))
+    assert got == count(Q.statistics(own)) and any(n for _, n in got)
+
+
+def test_only_the_tightest_literals_stay():
+    from weighbridge.llm.quality_rules import Literal, tightest
+
+    x = [Literal("a", False, 0.6), Literal("b", True, 1.0), Literal("a", False, 0.5), Literal("a", True, 0.1), Literal("b", True, 0.5)]
+    assert set(tightest(x)) == {Literal("a", False, 0.5), Literal("b", True, 1.0), Literal("a", True, 0.1)}
+
+
+def test_quality_verdicts_by_hand(spark):
+    """kept, for every document, from the learned list applied in Python to statistics counted in Python."""
+    from weighbridge.llm import quality_rules as Q
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rules = Q.learned(docs, labels)
+    got = {r.doc_id: r.kept for r in Q.op3_quality_rules(spark, d).collect()}
+    assert rules and len(got) == 1000
+    for r in docs.collect():
+        text, w = r.text or "", words(r.text)
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        c = collections.Counter(tri)
+        rep = len({j for i, t in enumerate(tri) if c[t] > 1 for j in (i, i + 1, i + 2)})
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        chars, n = sum(map(len, w)), len(w)
+        f = {"symbol_ratio": sum(x in "#*$%&|<>" for x in text) / max(chars, 1), "repeat_ratio": rep / max(n, 1), "dup_line_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1), "upper_ratio": sum("A" <= x <= "Z" for x in text) / max(chars, 1),
+             "mark_ratio": sum(x in "!?" for x in text) / max(n, 1), "word_length": chars / max(n, 1), "distinct_ratio": len(set(w)) / max(n, 1)}
+        fits = any(all((f[x.feature] > x.cut) == x.above for x in rule.literals) for rule in rules)
+        assert got[r.doc_id] == (n >= 50 and 100 * rep <= 50 * n and not fits)
+
+
 def test_quality_keeps_clean_documents(spark):
     from weighbridge.llm import quality_rules as Q
 

@@ -27,26 +27,31 @@ FEATURES = {
     "distinct_ratio": "n_distinct / greatest(n_words, 1)",
 }
 # Words in 3-word windows found twice or more: sort the window digests with
-# their places, keep places whose digest has an equal neighbour, and add up how
-# many words each such window covers beyond the next one.
-_COVERED = """
+# their places, keep places whose digest has an equal neighbour, sort those by
+# the words themselves and keep what is equal again; then add up how many words
+# each such window covers beyond the next one. Digests only spare comparisons.
+_TWICE = "filter({0}, (x, k) -> x.h <=> get({0}, k - 1).h or x.h <=> get({0}, k + 1).h)"
+_WINDOW = "array_join(slice(of_words.words, x.i + 1, 3), ' ')"
+_COVERED = f"""
 aggregate(
-  transform(array(array_sort(transform(
-    filter(s, (x, k) -> x.h <=> get(s, k - 1).h or x.h <=> get(s, k + 1).h), x -> x.i))),
+  transform(array(array_sort(transform({_TWICE.format('t')}, x -> x.i))),
     p -> aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1), x + 3) - x)), 0L, (a, x) -> a + x)),
   0L, (a, x) -> a + x)"""
 _REPEATED = f"""
 transform(array(of_words.windows), h ->
   if(size(array_distinct(h)) = size(h), 0L,
-     transform(array(sort_array(transform(h, (x, k) -> struct(x as h, k as i)))), s -> {_COVERED})[0]))[0]"""
+     transform(array(sort_array(transform(h, (x, k) -> struct(x as h, k as i)))), s ->
+       transform(array(sort_array(transform({_TWICE.format('s')}, x -> struct({_WINDOW} as h, x.i as i)))), t -> {_COVERED})[0])[0]))[0]"""
+DIGEST = "xxhash64(x, get(w, k + 1), get(w, k + 2))"
 # Everything that needs the words takes them as one lambda argument, so the text
 # is split once however the optimiser merges projections.
-_OF_WORDS = f"""
-transform(array(regexp_extract_all(_t, r'{WORD}', 0)), w -> named_struct(
+_OF_WORDS = """
+transform(array(regexp_extract_all(_t, r'{word}', 0)), w -> named_struct(
   'n_words', cast(size(w) as bigint),
   'word_chars', cast(length(array_join(w, '')) as bigint),
   'n_distinct', cast(size(array_distinct(w)) as bigint),
-  'windows', transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, k) -> xxhash64(x, get(w, k + 1), get(w, k + 2)))))[0]"""
+  'words', w,
+  'windows', transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, k) -> {digest})))[0]"""
 _OF_LINES = f"""
 transform(array(filter(split(_t, '\n'), x -> x rlike r'[^{SPACE}]')), l -> named_struct(
   'n_lines', cast(size(l) as bigint), 'n_dup_lines', cast(size(l) - size(array_distinct(l)) as bigint)))[0]"""
@@ -57,10 +62,10 @@ def only(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the statistics of every whole text; a null text has none (all counts 0)."""
+def statistics(docs: DataFrame, text_col: str = "text", digest: str = DIGEST) -> DataFrame:
+    """Adds the statistics of every whole text; a null text has none (all counts 0). digest (of window k, whose first word is x) affects cost only."""
     df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    df = df.withColumn("of_words", F.expr(_OF_WORDS)).withColumn("of_lines", F.expr(_OF_LINES))
+    df = df.withColumn("of_words", F.expr(_OF_WORDS.format(word=WORD, digest=digest))).withColumn("of_lines", F.expr(_OF_LINES))
     return df.select(
         *docs.columns,
         "of_words.n_words",
@@ -85,6 +90,16 @@ class Literal:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut!r}"
 
 
+def tightest(literals: list[Literal]) -> tuple[Literal, ...]:
+    """Of literals on one side of one feature only the tightest is needed."""
+    last: dict[tuple[str, bool], Literal] = {}
+    for x in literals:
+        old = last.get((x.feature, x.above))
+        if old is None or (x.cut > old.cut) == x.above:
+            last[x.feature, x.above] = x
+    return tuple(last.values())
+
+
 @dataclass(frozen=True)
 class Rule:
     literals: tuple[Literal, ...]
@@ -131,7 +146,10 @@ def best_literal(found: dict, cuts: dict[str, list[float]]) -> tuple[float, Lite
 
 
 def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, n_cuts: int = 24, least_bad: int = 5, precision: float = 0.95) -> list[Rule]:
-    """rows: features, bad (0/1), grow (0/1). Rules in the order in which they apply."""
+    """rows: features, bad (0/1), grow (0/1). Rules in the order in which they apply.
+
+    A rule is accepted on the pruning rows alone: least_bad rejected ones among those it covers, and the precision.
+    """
     cuts, rules, left = cut_points(rows, n_cuts), [], rows
     while len(rules) < max_rules:
         literals, steps, covered = [], [], left
@@ -148,10 +166,10 @@ def learn(rows: DataFrame, max_rules: int = 8, max_literals: int = 3, n_cuts: in
             break
         worth = [(bad - good) / (bad + good) if bad + good else -1.0 for _, _, bad, good in steps]
         keep = max(range(len(steps)), key=lambda k: (worth[k], -k)) + 1  # prune to the best prefix
-        bad, good = steps[keep - 1][0] + steps[keep - 1][2], steps[keep - 1][1] + steps[keep - 1][3]
+        bad, good = steps[keep - 1][2:]
         if bad < least_bad or bad / (bad + good) < precision:
             break
-        rules.append(Rule(tuple(literals[:keep])))
+        rules.append(Rule(tightest(literals[:keep])))
         left = left.filter(f"not ({rules[-1].text()})")
     return rules
 
