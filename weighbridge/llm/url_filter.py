@@ -18,7 +18,7 @@ from .common import ascii_lower, hashed_share, table, written
 
 #: host/path prefix -> verdict; the longest fitting rule wins.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate", "suffix_rows"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate"]
 _ENTROPY = """
 if(length(_u) = 0, 0D, aggregate(
   transform(array_distinct(split(_u, '')), c -> cast(length(_u) - length(replace(_u, c, '')) as double) / length(_u)),
@@ -99,20 +99,20 @@ class Boosted:
 
 def with_suffix(df: DataFrame, model: Boosted) -> DataFrame:
     """Joins the suffix statistics; their table is bounded by the training sample and broadcast."""
-    rate, rows = F.lit(model.base_rate), F.lit(0.0)
+    rate = F.lit(model.base_rate)
     if model.suffixes is not None:
         df = df.join(F.broadcast(model.suffixes), "suffix", "left")
-        rate, rows = F.coalesce("suffix_rate", rate), F.coalesce("suffix_rows", rows)
-    return df.withColumns({"suffix_rate": rate, "suffix_rows": rows})
+        rate = F.coalesce("suffix_rate", rate)
+    return df.withColumn("suffix_rate", rate)
 
 
 def out_of_fold(rows: DataFrame, base: float, smooth: float, folds: int = 5) -> DataFrame:
-    """Adds to the training rows their suffix's share of blocked rows and its number of rows, both without the row's own hash fold."""
+    """Adds to the training rows their suffix's smoothed share of blocked rows, without the row's own hash fold."""
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("key", "url", F.lit(22)), F.lit(folds)))
     by_fold = rows.groupBy("suffix", "_fold").agg(F.sum("label").alias("_s"), F.count("label").alias("_k"))
     whole = by_fold.groupBy("suffix").agg(F.sum("_s").alias("_all_s"), F.sum("_k").alias("_all_k"))
-    rest = by_fold.join(whole, "suffix").select("suffix", "_fold", (F.col("_all_s") - F.col("_s")).alias("_s"), (F.col("_all_k") - F.col("_k")).cast("double").alias("suffix_rows"))
-    rest = rest.withColumn("suffix_rate", (F.col("_s") + smooth * base) / (F.col("suffix_rows") + smooth)).drop("_s")
+    rest = by_fold.join(whole, "suffix").select("suffix", "_fold", (F.col("_all_s") - F.col("_s")).alias("_s"), (F.col("_all_k") - F.col("_k")).alias("_k"))
+    rest = rest.withColumn("suffix_rate", (F.col("_s") + smooth * base) / (F.col("_k") + smooth)).drop("_s", "_k")
     return rows.join(rest, ["suffix", "_fold"]).drop("_fold")
 
 
@@ -169,7 +169,7 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, rate: float = 0.4, smo
     if base is None:
         return Boosted(0.0, rate, [])
     model = Boosted(0.0, rate, [], base_rate=base)
-    model.suffixes = rows.groupBy("suffix").agg(((F.sum("label") + smooth * base) / (F.count("label") + smooth)).alias("suffix_rate"), F.count("label").cast("double").alias("suffix_rows"))
+    model.suffixes = rows.groupBy("suffix").agg(((F.sum("label") + smooth * base) / (F.count("label") + smooth)).alias("suffix_rate"))
     fit = written(out_of_fold(rows, base, smooth).select("label", *FEATURES), "url-fit")
     model.prior, model.trees = boost(fit, rate=rate, base_rate=base)
     return model
