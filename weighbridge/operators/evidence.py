@@ -125,8 +125,8 @@ def permuted(rows: DataFrame, key: str, value: str, within: list[str], seed: int
 
 def support(values: DataFrame, keys: list[str], x: str, y: str, n_grid: int, reach: int, least: int) -> DataFrame:
     """Rows and events in a moving window of grid cells, and whether a cell is supported."""
-    limits = percentiles(values, keys, x, [0.01, 0.99]).select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    v = values.join(F.broadcast(limits), keys).filter(F.col(x).between(F.col("lo"), F.col("hi")) & (F.col("hi") > F.col("lo")))
+    limits = scan_once(percentiles(values, keys, x, [0.01, 0.99]).select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), shared_path(values.sparkSession, "limits"))
+    v = values.join(limits, keys).filter(F.col(x).between(F.col("lo"), F.col("hi")) & (F.col("hi") > F.col("lo")))
     cell = F.least(F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_grid), F.lit(n_grid - 1)).cast("int")
     g = v.withColumn("cell", cell).groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"))
     w = Window.partitionBy(*keys).orderBy("cell").rangeBetween(-reach, reach)
@@ -169,10 +169,16 @@ def scores(evidence: DataFrame, key: str) -> DataFrame:
     return evidence.groupBy(key, "arm").agg(F.sum("l").alias("score"))
 
 
+def signal_pairs(cells: DataFrame, key: str, extra: tuple[str, ...] = (), own: bool = False) -> DataFrame:
+    """extra, a, b, x, z: every pair of a key's known signals once, a before b (with own also each with itself); cells meet by key in one shuffle."""
+    lines = cells.filter("l is not null").groupBy(key, *extra).agg(F.array_sort(F.collect_list(F.struct("signal", "l"))).alias("e"))  # signals are few
+    pairs = F.expr(f"explode(flatten(transform(e, (p, i) -> transform(slice(e, i + {1 if own else 2}, size(e)), q -> named_struct('a', p.signal, 'b', q.signal, 'x', p.l, 'z', q.l)))))")
+    return lines.select(*extra, pairs.alias("p")).select(*extra, "p.*")
+
+
 def correlations(cells: DataFrame, key: str) -> DataFrame:
-    """All pairs of signals, pairwise complete; signals are few, keys never meet each other."""
-    a, b = cells.select(key, F.col("signal").alias("a"), F.col("l").alias("x")), cells.select(key, F.col("signal").alias("b"), F.col("l").alias("y"))
-    return a.join(b, key).filter("a < b and x is not null and y is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).filter("r is not null")
+    """All pairs of signals, pairwise complete. cells: one row a key and signal."""
+    return signal_pairs(cells, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "z").alias("r")).filter("r is not null")
 
 
 def spectrum(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,9 +201,8 @@ def spectrum(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def within_class(cells: DataFrame, key: str) -> DataFrame:
-    """Covariance of signal pairs pooled over outcome classes, pairwise complete."""
-    a, b = cells.select(key, "y", F.col("signal").alias("a"), F.col("l").alias("x")), cells.select(key, F.col("signal").alias("b"), F.col("l").alias("z"))
-    g = a.join(b, key).filter("a <= b and x is not null and z is not null").groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("x", "z").alias("c"))
+    """Covariance of signal pairs pooled over outcome classes, pairwise complete. cells: one row a key and signal."""
+    g = signal_pairs(cells, key, ("y",), own=True).groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("x", "z").alias("c"))
     return g.filter("n > 1").groupBy("a", "b").agg(F.try_divide(F.sum((F.col("n") - 1) * F.col("c")), F.sum(F.col("n") - 1)).alias("covariance"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percentiles
+from ..sources.tables import scan_once, shared_path
 
 
 def wide_design(long: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:
@@ -70,7 +71,8 @@ def cross_fitted(design: DataFrame, features: list[str], key: str, y: str, fold:
     from ..functions.scalars import uniform
 
     v = VectorAssembler(inputCols=features, outputCol="v").transform(design.withColumn("label", F.col(y).cast("double")))
-    v = v.withColumn("held", uniform(F.lit("inner"), F.col(key)) < held_share).select(key, F.col(fold).alias("fold"), F.col(y).alias("y"), "label", "held", "v").persist()
+    v = v.withColumn("held", uniform(F.lit("inner"), F.col(key)) < held_share).select(key, F.col(fold).alias("fold"), F.col(y).alias("y"), "label", "held", "v")
+    v = scan_once(v, shared_path(design.sparkSession, "boosting-rows"))  # read by every round of every fold
     out = []
     for f in range(1, n_folds + 1):
         train, test = v.filter(F.col("fold") != f), v.filter(F.col("fold") == f)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import logit, uniform
+from ..sources.tables import scan_once, shared_path
 
 
 def measured_rows(features: DataFrame, outcome: DataFrame, folds: DataFrame, key: str) -> DataFrame:
@@ -209,7 +210,8 @@ def pearson_residual(rows: DataFrame, fit: DataFrame, keys: list[str], a: str, e
     """(a - M p) / sqrt(M p (1 - p)); 0 where unexposed; a capped at M."""
     p = 1 / (1 + F.exp(-(F.col("c0") + F.col("c1") * F.log(exposure))))
     r = (F.least(F.col(a), F.lit(pool)) - pool * p) / F.sqrt(pool * p * (1 - p))
-    return rows.join(F.broadcast(fit), keys).withColumn("residual", F.when(F.col(exposure) > 0, r).otherwise(0.0)).drop("c0", "c1")
+    fit = scan_once(fit, shared_path(rows.sparkSession, "intensity-fits"))  # its written size decides how it is joined
+    return rows.join(fit, keys).withColumn("residual", F.when(F.col(exposure) > 0, r).otherwise(0.0)).drop("c0", "c1")
 
 
 def lognormal_intensity(rows: DataFrame, keys: list[str], amount: str, exposure: str) -> DataFrame:

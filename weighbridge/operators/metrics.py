@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percentiles, prefix_sums
+from ..sources.tables import scan_once, shared_path
 
 
 def discrimination(scores: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
@@ -93,12 +94,14 @@ def monotonicity(bins: DataFrame) -> DataFrame:
 def calibration(scores: DataFrame, keys: list[str], iterations: int = 8) -> DataFrame:
     """Logistic intercept and slope of y on the score per group, with Wald limits.
 
-    All groups move together: each Newton step is one grouped aggregate.
+    All groups move together: each Newton step is one grouped aggregate, whose coefficients (a row a group) are written and
+    joined to the rows as their size asks for.
     """
-    rows = scores.select(*keys, F.col("score").cast("double").alias("x"), "y").persist()  # read by every step
+    spark = scores.sparkSession
+    rows = scan_once(scores.select(*keys, F.col("score").cast("double").alias("x"), "y"), shared_path(spark, "calibration-rows"))  # read by every step
     b = rows.groupBy(*keys).agg(F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"))
     for i in range(iterations):
-        t = rows.join(F.broadcast(b), keys)
+        t = rows.join(b, keys)
         p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
         w, r = p * (1 - p), F.col("y") - p
         s = t.groupBy(*keys).agg(F.sum(w).alias("s0"), F.sum(w * F.col("x")).alias("s1"), F.sum(w * F.col("x") ** 2).alias("s2"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
@@ -106,7 +109,7 @@ def calibration(scores: DataFrame, keys: list[str], iterations: int = 8) -> Data
         step = s.filter(det > 1e-12).select(*keys, (F.col("b0") + (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det).alias("b0"), (F.col("b1") + (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det).alias("b1"), F.sqrt(F.col("s0") / det).alias("se"), "n", "rate")
         if i == iterations - 1:
             break
-        b = step.sparkSession.createDataFrame(step.select(*keys, "b0", "b1").collect(), b.schema)  # two numbers a group
+        b = scan_once(step.select(*keys, "b0", "b1"), shared_path(spark, "calibration"))
     return step.select(*keys, "n", F.col("b0").alias("intercept"), F.col("b1").alias("slope"), (F.col("b1") - 1.96 * F.col("se")).alias("slope_low"), (F.col("b1") + 1.96 * F.col("se")).alias("slope_high"), F.log(F.col("rate") / (1 - F.col("rate"))).alias("expected_intercept"))
 
 
