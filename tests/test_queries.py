@@ -10,6 +10,7 @@ from weighbridge.plans import base as B
 from weighbridge.plans import registry
 
 SF = "/root/testdata/sf0.001"
+FITTED = "/root/testdata/sf0.01"  # the smallest tables with events to fit
 NAMES = set(B.SIGNALS)
 
 
@@ -19,14 +20,14 @@ def con():
 
 
 @pytest.fixture(scope="module")
-def measured(con):
-    """signal -> rows with observations."""
-    return dict(con.execute(B.sql(B.GRID, "SELECT signal, count(*) FROM grid WHERE n_obs > 0 GROUP BY 1")).fetchall())
+def measured():
+    """signal -> rows with observations, in FITTED."""
+    return dict(oracle.connect(FITTED).execute(B.sql(B.GRID, "SELECT signal, count(*) FROM grid WHERE n_obs > 0 GROUP BY 1")).fetchall())
 
 
 @pytest.fixture(scope="module")
-def users(con):
-    return con.execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
+def users():
+    return oracle.connect(FITTED).execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -144,7 +145,7 @@ MAY_BE_EMPTY = {"fit_triage", "column_contract", "severity_transport"}
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_fitted(spark, measured, users, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, FITTED)
     assert len(set(df.columns)) == len(df.columns)
     rows = df.collect()
     assert rows or name in MAY_BE_EMPTY
