@@ -90,6 +90,24 @@ def test_edited_texts_and_likeness(spark, texts, monkeypatch, each):
     assert ahead >= 0.97 * len(rows)
 
 
+def test_near_copies_that_follow_each_other_are_verified(spark, texts):
+    from weighbridge.llm.edit_embedding import edited_prints
+
+    rng = random.Random(13)
+    seeds = [t for t in texts if 200 < len(t) < 900][:20]
+    rows = [(2 * k + c, edits(t, 3, rng) if c else t) for k, t in enumerate(seeds) for c in (0, 1)]
+    got = {r.doc_id: r for r in edited_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = dict(rows)
+    found = 0
+    for doc, r in got.items():
+        after = own[(doc - 1) % 40]
+        d, most = levenshtein(own[doc], after), int(0.1 * max(len(own[doc]), len(after)))
+        assert r.next_distance == (d if r.bands_next and d <= most else None)
+        found += doc % 2 and r.next_distance is not None
+        assert doc % 2 or r.next_distance is None
+    assert found >= 18
+
+
 def test_one_row_repeats_and_null_ids(spark):
     from weighbridge.llm.edit_embedding import edited_prints
 

@@ -232,25 +232,30 @@ def dealt_in_order(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
     return placed.repartition(parts, "part").sortWithinPartitions("part", "visits", "k1", "k2", "text")
 
 
-def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.1) -> DataFrame:
+    """The id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, bands_next, next_distance of every row.
 
-    The edited text is the text with its last half replaced by as much of the next row's text (descending id); near_next
+    bands_next: bands that the row shares with the next one; where it shares any, next_distance is their edit distance if that is within a
+    tenth of the longer text, else null (a row alone is its own next). The edited text is the text with its last half replaced by as much of the next row's text (descending id); near_next
     compares with that row. Rows of one id follow each other by a hash of their text, rows without id come last; the row
     after the last is the first. Null texts count as empty.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_next", "next_distance"]
+
+    def verified_next(a: str, b: str, shared: int) -> int | None:
+        return edit_distance(a, b, int(share * max(len(a), len(b)))) if shared else None
 
     def results(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (part, visits, id, text, fingerprint) in order; a row for each that another one of its part follows."""
+        """rows: (part, visits, id, text, fingerprint, bands) in order; a row for each that another one of its part follows."""
         pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1] and a[0] == b[0]]
         edited = [a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs]
         prints, _ = walks().of(edited)
-        out = [(a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), a[4], p, walks().alike(a[4], p), walks().alike(a[4], b[4])) for (a, b), e, p in zip(pairs, edited, prints)]
-        types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, [id_type, *types[1:]])]
+        met = [len(np.intersect1d(a[5], b[5])) for a, b in pairs]
+        out = [(a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), a[4], p, walks().alike(a[4], p), walks().alike(a[4], b[4]), m, verified_next(a[3], b[3], m)) for (a, b), e, p, m in zip(pairs, edited, prints, met)]
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int64()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)]
         return pa.RecordBatch.from_arrays(cols, names)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -262,12 +267,12 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = part["text"].to_pylist()
-                prints, _ = walks().of(texts)
-                rows = held + list(zip(part["part"].to_pylist(), part["visits"].to_pylist(), part["id"].to_pylist(), texts, prints))
+                prints, keys = walks().of(texts, bands=True)
+                rows = held + list(zip(part["part"].to_pylist(), part["visits"].to_pylist(), part["id"].to_pylist(), texts, prints, keys))
                 yield results(rows)
                 held = rows[-1:]
 
-    fields = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    fields = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_next int, next_distance long"
     return dealt_in_order(docs).mapInArrow(run, fields).withColumnRenamed("id", id_col)
 
 
