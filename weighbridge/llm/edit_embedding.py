@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the next document -----------------------------------------------------------
 
 
-def dealt_in_order(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
+def dealt_in_order(docs: DataFrame, rows_each: int = 5_000) -> DataFrame:
     """part, visits, k1, k2, id, text: docs cut into stretches by descending id (null last; rows of one id by a hash of
     their text), each with the first rows of the stretch after it (visits 1); after the last comes the first.
 
