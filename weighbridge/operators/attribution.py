@@ -198,8 +198,14 @@ def paired_over_bags(a: DataFrame, b: DataFrame) -> DataFrame:
     return keyed(a, "x").join(keyed(b, "y"), ["lo", "hi"]).withColumn("difference", F.col("x") - F.col("y"))
 
 
+#: Replicates whose pairs are formed at most: a manifest is a table of dozens to hundreds of rows.
+MOST_REPLICATES = 5_000
+
+
 def contrasts(manifest: DataFrame) -> DataFrame:
     """Pairs of replicates by what differs: seed (L1), draw (L2), bag (L3), method within a route (L4), half bags (L3P); others are refused."""
+    if (n := manifest.count()) > MOST_REPLICATES:
+        raise ValueError(f"{n} replicates; a manifest may hold {MOST_REPLICATES}")
     cols = ["id", "method", "route", "boot", "seed", "draw"]
     a, b = (manifest.select(*[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
     j = a.join(b, F.col("id_a") < F.col("id_b"))  # replicates, a few dozen rows by design
@@ -362,10 +368,6 @@ def manifest_coverage(manifest: DataFrame, plan: DataFrame, keys: list[str], by:
     return states.groupBy(*by).agg(*[F.count_if(F.col("state") == n).alias(n) for n in ("planned", "present", "missing", "unplanned", "repeated")])
 
 
-#: Replicates whose pairs are formed at most: a manifest is a table of dozens to hundreds of rows.
-MOST_REPLICATES = 5_000
-
-
 def contrast_levels(manifest: DataFrame, families: dict[str, str]) -> DataFrame:
     """Pairs of replicates and the level of their contrast, or why they are refused.
 

@@ -53,8 +53,14 @@ def halves(units: DataFrame, unit: str, seed: int) -> DataFrame:
     return units.select(unit).distinct().withColumn("half", F.when(uniform(F.lit(seed), F.lit("half"), F.col(unit)) < 0.5, 1).otherwise(2))
 
 
+#: Replicates whose pairs are formed at most.
+MOST_MEMBERS = 5_000
+
+
 def sampled_pairs(members: DataFrame, member: str, most: int, seed: int) -> DataFrame:
-    """Pairs of replicates, all or a seeded sample. Replicates are few by design (never rows)."""
+    """Pairs of replicates, all or a seeded sample. Replicates are few by design (never rows): more than MOST_MEMBERS raise."""
+    if (n := members.count()) > MOST_MEMBERS:
+        raise ValueError(f"{n} members; pairs are formed of {MOST_MEMBERS} at most")
     a, b = members.select(F.col(member).alias("a")), members.select(F.col(member).alias("b"))
     pairs = a.join(b, F.col("a") < F.col("b")).withColumn("u", uniform(F.lit(seed), F.col("a"), F.col("b")))
     return pairs.orderBy("u", "a", "b").limit(most).select("a", "b")
