@@ -202,3 +202,26 @@ def test_resampling_floor_over_twelve_refits(spark, rows, kind):
         assert r.spearman == pytest.approx(own["a"].rank().corr(own["b"].rank())) and r.same_sign == pytest.approx((np.sign(own["a"]) == np.sign(own["b"]))[big].mean()) and r.within_key == pytest.approx(within.mean())
     s = summary.first()
     assert s.replicates == 6 and s.spearman_q1 <= s.spearman_median <= s.spearman_q3
+
+
+def test_held_losses_and_margins_by_hand(rows):
+    from weighbridge.operators import boosting as G
+
+    wide = rows.select("user_id", "y", "fold", F.col("z_a").alias("a"), F.col("z_b").alias("b"))
+    forest = G.boost(wide, ["a", "b"], "y", {f: F.col("fold") != f for f in (1, 2)}, rounds=4)
+    losses = G.held_losses(wide, "y", forest, {1: F.col("fold") == 1, 2: F.lit(0)})
+    got = {r.user_id: r for r in G.margins(wide, forest, "fold", ["user_id", "y"]).collect()}
+    assert len(got) == wide.filter("fold in (1, 2)").count() and losses[2] == [] and len(losses[1]) == 4
+    own = wide.filter("fold = 1").select("user_id", "y", forest.bins().alias("x")).collect()
+    x, y = np.array([r.x for r in own]), np.array([r.y for r in own])
+    margin = forest.margin(x, 1)
+    assert [got[r.user_id].margin for r in own] == pytest.approx(margin.tolist())
+    assert losses[1][-1] == pytest.approx(float(np.logaddexp(0, (1 - 2 * y) * margin).sum())) and losses[1][1] < losses[1][0]
+
+
+def test_fewer_rounds_are_a_prefix_of_more(rows):
+    from weighbridge.operators import boosting as G
+
+    wide = rows.select("y", F.col("z_a").alias("a"), F.col("z_b").alias("b"))
+    three, five = (G.boost(wide, ["a", "b"], "y", {0: F.lit(1)}, rounds=n).trees[0] for n in (3, 5))
+    assert all(np.allclose(p, q) for s, t in zip(three, five[:3]) for p, q in zip(s, t))

@@ -160,3 +160,46 @@ def attributions(rows: DataFrame, key: str, forest: Forest, roles: list[int]) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, r, np.int32)), keys, pa.array(names * len(x)), pa.array(a.reshape(-1))], ["role", "key", "feature", "a"])
 
     return rows.select(F.col(key).alias("key"), forest.bins().alias("x")).mapInArrow(run, f"role int, key {kind}, feature string, a double").withColumnRenamed("key", key)
+
+
+def held_losses(rows: DataFrame, y: str, forest: Forest, weights: dict[int, Column]) -> dict[int, list[float]]:
+    """Of every replicate the log-loss of its held rows (weights) after each round, all in one pass; a replicate without held rows has none."""
+    roles, width = list(weights), len(forest.features)
+    w = F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in weights.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {r: np.zeros(len(forest.trees[r]) + 1) for r in roles}
+        for batch in batches:
+            x, label, w = dense(batch["x"], width), batch["y"].to_numpy(), dense(batch["w"], len(roles))
+            for k, r in enumerate(roles):
+                mine = np.flatnonzero(w[:, k] > 0)
+                margin, sign = np.full(len(mine), forest.base[r]), 1 - 2 * label[mine]
+                sums[r][-1] += w[mine, k].sum()
+                for i, tree in enumerate(forest.trees[r]):
+                    margin = margin + tree[2][forest.walk(x[mine], tree, forest.depth)]
+                    sums[r][i] += (w[mine, k] * np.logaddexp(0, sign * margin)).sum()
+        for r in roles:
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sums[r]], pa.list_(pa.float64()))], ["role", "loss"])
+
+    parts = rows.select(forest.bins().alias("x"), F.col(y).cast("double").alias("y"), w.alias("w")).mapInArrow(run, "role int, loss array<double>")
+    total = parts.select("role", F.posexplode("loss").alias("i", "v")).groupBy("role", "i").agg(F.sum("v").alias("v"))
+    found: dict[int, dict[int, float]] = {}
+    for r in total.collect():  # rounds x replicates
+        found.setdefault(r["role"], {})[r["i"]] = r["v"]
+    return {r: [v[i] for i in range(len(v) - 1)] if v and v[max(v)] > 0 else [] for r, v in found.items()}
+
+
+def margins(rows: DataFrame, forest: Forest, role: str, columns: list[str]) -> DataFrame:
+    """The columns, and margin: that of the replicate that the role column names (rows of other roles have none and are left out)."""
+    kinds, width = dict(rows.dtypes), len(forest.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, own = dense(batch["_x"], width), batch["_role"].to_numpy()
+            out = np.zeros(len(x))
+            for r in np.unique(own):
+                out[own == r] = forest.margin(x[own == r], int(r))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out)], [*columns, "margin"])
+
+    known = rows.filter(F.col(role).isin(*forest.trees)).select(*columns, F.col(role).cast("int").alias("_role"), forest.bins().alias("_x"))
+    return known.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", margin double")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percentiles
+from ..functions.scalars import percentiles, uniform
 from ..sources.tables import scan_once, shared_path
+from . import boosting
 
 
 def wide_design(long: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:
@@ -60,34 +61,32 @@ def cross_fitted(design: DataFrame, features: list[str], key: str, y: str, fold:
     """Every row scored by trees that never saw its fold: key, fold, y, rounds, l = logit p - logit of the training rate, p clipped.
 
     For each fold a hashed share of the other folds' keys chooses the number of rounds (early stopping); the trees are then
-    fitted again to all rows of the other folds. A fold whose training rows hold one outcome class gives null l and 0 rounds.
+    grown again on all rows of the other folds. The trees of all folds grow in the same passes. A fold whose training rows hold one
+    outcome class gives null l and 0 rounds. Unknown features count as 0.
     """
-    from functools import reduce
-
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    from ..functions.scalars import uniform
-
-    v = VectorAssembler(inputCols=features, outputCol="v").transform(design.withColumn("label", F.col(y).cast("double")))
-    v = v.withColumn("held", uniform(F.lit("inner"), F.col(key)) < held_share).select(key, F.col(fold).alias("fold"), F.col(y).alias("y"), "label", "held", "v")
-    v = scan_once(v, shared_path(design.sparkSession, "boosting-rows"))  # read by every round of every fold
-    out = []
-    for f in range(1, n_folds + 1):
-        train, test = v.filter(F.col("fold") != f), v.filter(F.col("fold") == f)
-        classes = {(r["held"], r["label"]) for r in train.select("held", "label").distinct().collect()}
-        if len({label for _, label in classes}) < 2:
-            out.append(test.select(key, "fold", "y", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("l")))
-            continue
-        gbt = GBTClassifier(featuresCol="v", labelCol="label", maxIter=rounds, maxDepth=depth, seed=1)
-        best = gbt.copy({gbt.validationIndicatorCol: "held"}).fit(train).getNumTrees if len(classes) == 4 else rounds
-        model = gbt.copy({gbt.maxIter: best}).fit(train)
-        base = train.agg(F.avg("label")).first()[0]
-        p = F.least(F.greatest(F.element_at(vector_to_array("probability"), 2), F.lit(1e-6)), F.lit(1 - 1e-6))
-        scored = model.transform(test).withColumn("p", p)
-        out.append(scored.select(key, "fold", "y", F.lit(best).alias("rounds"), (F.log(F.col("p") / (1 - F.col("p"))) - F.log(F.lit(base) / (1 - F.lit(base)))).alias("l")))
-    return reduce(DataFrame.unionByName, out)
+    cols = [F.col(key).alias("_key"), F.col(fold).cast("int").alias("_fold"), F.col(y).alias("_y"), (uniform(F.lit("inner"), F.col(key)) < held_share).alias("_held")]
+    rows = scan_once(design.select(*cols, *[F.col(f).cast("double").alias(f) for f in features]), shared_path(design.sparkSession, "boosting-rows"))
+    seen = [(r["_fold"], r["_held"], int(r["_y"])) for r in rows.select("_fold", "_held", "_y").distinct().filter("_y is not null").collect()]  # folds x 4
+    classes = {f: {(held, label) for other, held, label in seen if other is not None and other != f} for f in range(1, n_folds + 1)}
+    usable = [f for f, c in classes.items() if len({label for _, label in c}) == 2]
+    out = rows.select(F.col("_key").alias(key), F.col("_fold").alias("fold"), F.col("_y").alias("y"))
+    if not usable:
+        return out.select("*", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("l"))
+    best = dict.fromkeys(usable, rounds)
+    if early := [f for f in usable if len(classes[f]) == 4]:
+        first = boosting.boost(rows, features, "_y", {f: (F.col("_fold") != f) & ~F.col("_held") for f in early}, rounds, depth)
+        losses = boosting.held_losses(rows, "_y", first, {f: (F.col("_fold") != f) & F.col("_held") for f in early})
+        best |= {f: 1 + min(range(rounds), key=lambda i, v=v: (round(v[i], 9), i)) for f, v in losses.items() if v}
+    forest = boosting.boost(rows, features, "_y", {f: F.col("_fold") != f for f in usable}, max(best.values()), depth)
+    for f in usable:  # fewer rounds are a prefix of more
+        forest.trees[f] = forest.trees[f][: best[f]]
+    scored = boosting.margins(rows, forest, "_fold", ["_key", "_fold", "_y"])
+    p = F.least(F.greatest(1 / (1 + F.exp(-F.col("margin"))), F.lit(1e-6)), F.lit(1 - 1e-6))
+    of_fold = F.create_map(*[F.lit(x) for f in usable for x in (f, best[f])])[F.col("_fold")]
+    base = F.create_map(*[F.lit(x) for f in usable for x in (f, forest.base[f])])[F.col("_fold")]
+    got = scored.select(F.col("_key").alias(key), F.col("_fold").alias("fold"), F.col("_y").alias("y"), of_fold.alias("rounds"), (F.log(p / (1 - p)) - base).alias("l"))
+    rest = out.filter(F.col("fold").between(1, n_folds) & ~F.col("fold").isin(*usable)).select("*", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("l"))
+    return got.unionByName(rest)
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
