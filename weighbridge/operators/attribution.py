@@ -84,7 +84,8 @@ def curve_agreement(curve: DataFrame) -> DataFrame:
     m = curve.groupBy("signal").agg((F.sum(w * F.col("mean_a")) / F.sum(w)).alias("ma"), (F.sum(w * F.col("mean_b")) / F.sum(w)).alias("mb"))
     j = curve.join(m, "signal")
     da, db = F.col("mean_a") - F.col("ma"), F.col("mean_b") - F.col("mb")
-    return j.groupBy("signal").agg(F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da) * F.sum(w * db * db))).alias("correlation"), F.sqrt(F.try_divide(F.sum(w * (F.col("mean_a") - F.col("mean_b")) ** 2), F.sum(w * F.col("mean_a") ** 2))).alias("distance"))
+    return j.groupBy("signal").agg(F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da) * F.sum(w * db * db))).alias("correlation"),
+        F.sqrt(F.try_divide(F.sum(w * (F.col("mean_a") - F.col("mean_b")) ** 2), F.sum(w * F.col("mean_a") ** 2))).alias("distance"))
 
 
 def by_domain(cells: DataFrame, domains: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,7 +164,8 @@ def leaders(cells: DataFrame, key: str) -> DataFrame:
 def leader_collapse(led: DataFrame, thresholds: list[float]) -> DataFrame:
     """Share of leaders whose share on the other side falls below each threshold, and how many land in the bottom third."""
     t = led.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    return t.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("share_b") < F.col("threshold")).cast("double")).alias("collapsed"), F.avg((F.col("displacement") > 2 / 3).cast("double")).alias("bottom_third"), F.percentile("displacement", F.lit(0.5)).alias("median_displacement"))
+    return t.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("share_b") < F.col("threshold")).cast("double")).alias("collapsed"),
+        F.avg((F.col("displacement") > 2 / 3).cast("double")).alias("bottom_third"), F.percentile("displacement", F.lit(0.5)).alias("median_displacement"))
 
 
 def oriented(metrics: DataFrame, agreement_prefix: str = "share_") -> DataFrame:
@@ -266,11 +268,13 @@ def transport_join(tables: dict[str, tuple[DataFrame, DataFrame]], keys: list[st
 def margin_bins(cells: DataFrame, key: str, breaks: list[float]) -> DataFrame:
     """Agreement on the leader by bins of the leader's margin over its runner-up."""
     r = cells.withColumn("ra", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("a"), "ord"))).withColumn("rb", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("b"), "ord")))
-    p = r.groupBy(key).agg(F.max(F.when(F.col("ra") == 1, F.col("a"))).alias("m1"), F.max(F.when(F.col("ra") == 2, F.col("a"))).alias("m2"), F.max(F.when(F.col("ra") == 1, F.col("ord"))).alias("la"), F.max(F.when(F.col("rb") == 1, F.col("ord"))).alias("lb"))
+    p = r.groupBy(key).agg(F.max(F.when(F.col("ra") == 1, F.col("a"))).alias("m1"), F.max(F.when(F.col("ra") == 2, F.col("a"))).alias("m2"),
+        F.max(F.when(F.col("ra") == 1, F.col("ord"))).alias("la"), F.max(F.when(F.col("rb") == 1, F.col("ord"))).alias("lb"))
     b = F.lit(0)
     for x in breaks:
         b = b + F.when(F.col("m1") - F.col("m2") > x, 1).otherwise(0)
-    return p.filter("m2 is not null").withColumn("margin_bin", b).groupBy("margin_bin").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("la") == F.col("lb")).cast("double")).alias("agree"), F.avg(F.col("m1") - F.col("m2")).alias("mean_margin"))
+    return p.filter("m2 is not null").withColumn("margin_bin", b).groupBy("margin_bin").agg(F.count(F.lit(1)).alias("n"),
+        F.avg((F.col("la") == F.col("lb")).cast("double")).alias("agree"), F.avg(F.col("m1") - F.col("m2")).alias("mean_margin"))
 
 
 def metric_values(replicates: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

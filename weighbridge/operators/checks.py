@@ -89,7 +89,8 @@ def captured(spark: SparkSession, checks: dict) -> DataFrame:
 
 def resampling_column(df: DataFrame, group: str, stratum: str) -> DataFrame:
     """Q12: the columns that resampling needs are complete and usable."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"), F.count_distinct(stratum).alias("strata"), F.count_if(F.col(group).isNull()).alias("null_group"), F.count_if(F.col(stratum).isNull()).alias("null_stratum"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"), F.count_distinct(stratum).alias("strata"),
+        F.count_if(F.col(group).isNull()).alias("null_group"), F.count_if(F.col(stratum).isNull()).alias("null_stratum"))
 
 
 def tail_occupancy(features: DataFrame, floor: int) -> DataFrame:

@@ -7,7 +7,7 @@ piecewise-linear basis, fitted by operators/additive.py.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import beside, percentiles, prefix_sums, uniform
@@ -195,7 +195,8 @@ def spectrum(pairs: DataFrame, keys: list[str]) -> DataFrame:
         e = np.sort(np.linalg.eigvalsh(M))[::-1]
         q = np.maximum(e, 0)
         c = np.cumsum(q) / q.sum()
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "pc1": q[0] / q.sum(), "n80": int((c < 0.8).sum() + 1), "n90": int((c < 0.9).sum() + 1), "participation": q.sum() ** 2 / (q**2).sum(), "over_one": int((e > 1).sum()), "psd": int(e[-1] > -1e-9)}])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "pc1": q[0] / q.sum(), "n80": int((c < 0.8).sum() + 1), "n90": int((c < 0.9).sum() + 1),
+            "participation": q.sum() ** 2 / (q**2).sum(), "over_one": int((e > 1).sum()), "psd": int(e[-1] > -1e-9)}])
 
     return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", pc1 double, n80 int, n90 int, participation double, over_one int, psd int")
 

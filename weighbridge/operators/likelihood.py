@@ -96,7 +96,8 @@ def least_squares(rows: DataFrame, keys: list[str], xs: list[str], y: str, itera
     A regressor without variance gets 0. Adds the residual variance."""
     cols = ["_1", *xs]
     d = rows.withColumn("_1", F.lit(1.0))
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i] + [F.sum(F.col(a) * F.col(y)).alias(f"t_{i}") for i, a in enumerate(cols)] + [F.sum(F.col(y) * F.col(y)).alias("yy")]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i] + [F.sum(F.col(a) * F.col(y)).alias(f"t_{i}") for i,
+        a in enumerate(cols)] + [F.sum(F.col(y) * F.col(y)).alias("yy")]
     g = d.groupBy(*keys).agg(*sums)
     p = len(cols)
 
@@ -182,7 +183,8 @@ def mid_pit(rows: DataFrame, fitted: DataFrame, level: str, count: str) -> DataF
 
 def variance_components(features: DataFrame) -> DataFrame:
     """Pooled within mean square and between-row variance of the means, per signal."""
-    return features.filter("n_obs > 1").groupBy("signal").agg(F.count(F.lit(1)).alias("rows"), F.try_divide(F.sum("within_ss"), F.sum(F.col("n_obs") - 1)).alias("within_ms"), F.var_samp("within_mean").alias("between_var"), F.avg(1.0 / F.col("n_obs")).alias("mean_inverse_n"))
+    return features.filter("n_obs > 1").groupBy("signal").agg(F.count(F.lit(1)).alias("rows"), F.try_divide(F.sum("within_ss"), F.sum(F.col("n_obs") - 1)).alias("within_ms"),
+        F.var_samp("within_mean").alias("between_var"), F.avg(1.0 / F.col("n_obs")).alias("mean_inverse_n"))
 
 
 def binomial_intensity(rows: DataFrame, keys: list[str], a: str, exposure: str, pool: int, iterations: int = 25) -> DataFrame:
@@ -217,7 +219,8 @@ def pearson_residual(rows: DataFrame, fit: DataFrame, keys: list[str], a: str, e
 def lognormal_intensity(rows: DataFrame, keys: list[str], amount: str, exposure: str) -> DataFrame:
     """Slope, intercept and R2 of log amount on log exposure, their correlation, and what a bare rate A/D does."""
     d = rows.filter((F.col(amount) > 0) & (F.col(exposure) > 0)).withColumns({"ly": F.log(amount), "lx": F.log(exposure), "bare": F.log(F.col(amount) / F.col(exposure))})
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"), F.regr_r2("ly", "lx").alias("r2"), F.corr("ly", "lx").alias("correlation"), F.corr("bare", "lx").alias("bare_correlation"))
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"),
+        F.regr_r2("ly", "lx").alias("r2"), F.corr("ly", "lx").alias("correlation"), F.corr("bare", "lx").alias("bare_correlation"))
 
 
 def shrinkage_weights(rows: DataFrame, priors: DataFrame) -> DataFrame:
@@ -241,12 +244,14 @@ def predictive_check(rows: DataFrame, priors: DataFrame, seed: int) -> DataFrame
         b, s, n = pdf["b"], pdf["s"], pdf["n"]
         return pd.Series(np.exp(lg(b + n) - lg(b) - lg(s + n) + lg(s))) if len(pdf) else pd.Series([], dtype=float)
 
-    cells = j.groupBy("signal", "n_obs", "a_low", "a_sum").agg(F.count(F.lit(1)).alias("m"), F.sum(((F.col("k_low") - n * p) ** 2) / var).alias("z2"), F.count_if(F.col("k_low") == 0).alias("zero"), F.count_if(F.col("k_low") == n).alias("full"), F.min(uniform(F.lit(seed), F.col("k_low"))).alias("u"))
+    cells = j.groupBy("signal", "n_obs", "a_low", "a_sum").agg(F.count(F.lit(1)).alias("m"), F.sum(((F.col("k_low") - n * p) ** 2) / var).alias("z2"),
+        F.count_if(F.col("k_low") == 0).alias("zero"), F.count_if(F.col("k_low") == n).alias("full"), F.min(uniform(F.lit(seed), F.col("k_low"))).alias("u"))
     none_udf = F.pandas_udf(lambda s: none(s), "double")
     cells = cells.withColumn("p0", none_udf(F.struct((F.col("a_sum") - F.col("a_low")).alias("b"), F.col("a_sum").alias("s"), n.cast("double").alias("n"))))
     cells = cells.withColumn("p1", none_udf(F.struct(F.col("a_low").alias("b"), F.col("a_sum").alias("s"), n.cast("double").alias("n"))))
     m = F.sum("m")
-    return cells.groupBy("signal").agg((F.sum("z2") / m).alias("dispersion"), (F.sum("zero") / m).alias("zero_seen"), (F.sum(F.col("p0") * F.col("m")) / m).alias("zero_expected"), (F.sum("full") / m).alias("full_seen"), (F.sum(F.col("p1") * F.col("m")) / m).alias("full_expected"))
+    return cells.groupBy("signal").agg((F.sum("z2") / m).alias("dispersion"), (F.sum("zero") / m).alias("zero_seen"), (F.sum(F.col("p0") * F.col("m")) / m).alias("zero_expected"),
+        (F.sum("full") / m).alias("full_seen"), (F.sum(F.col("p1") * F.col("m")) / m).alias("full_expected"))
 
 
 def dispersion_drift(residuals: DataFrame, breaks: list[int]) -> DataFrame:
@@ -260,7 +265,8 @@ def dispersion_drift(residuals: DataFrame, breaks: list[int]) -> DataFrame:
 
 def residual_diagnostics(residuals: DataFrame, count: str) -> DataFrame:
     """Between-count share of residual variance, residual sd, share beyond three sds, spread against coverage."""
-    total = residuals.groupBy("signal").agg(F.var_pop("residual").alias("v"), F.avg("residual").alias("mu"), F.stddev_samp("residual").alias("sd"), F.corr(F.abs("residual"), F.col("n_obs").cast("double")).alias("spread_corr"), F.count(F.lit(1)).alias("n"))
+    total = residuals.groupBy("signal").agg(F.var_pop("residual").alias("v"), F.avg("residual").alias("mu"), F.stddev_samp("residual").alias("sd"),
+        F.corr(F.abs("residual"), F.col("n_obs").cast("double")).alias("spread_corr"), F.count(F.lit(1)).alias("n"))
     bins = residuals.groupBy("signal", count).agg(F.count(F.lit(1)).alias("m"), F.avg("residual").alias("r"))
     between = bins.join(total, "signal").groupBy("signal").agg((F.sum(F.col("m") * (F.col("r") - F.col("mu")) ** 2) / F.max("n")).alias("bv"))
     off = residuals.join(total.select("signal", "mu", "sd"), "signal").groupBy("signal").agg(F.avg((F.abs(F.col("residual") - F.col("mu")) > 3 * F.col("sd")).cast("double")).alias("off_scale"))

@@ -27,7 +27,8 @@ def discrimination(scores: DataFrame, keys: list[str], weight: str | None = None
     )
     base = F.col("P") / (F.col("P") + F.col("N"))
     auprc = F.try_divide("_a", "P")
-    return out.select(*keys, (F.col("P") + F.col("N")).cast("long").alias("n"), F.col("P").cast("long").alias("events"), base.alias("rate"), F.try_divide(F.col("_u"), F.col("P") * F.col("N")).alias("auroc"), auprc.alias("auprc"), F.try_divide(auprc, base).alias("lift"))
+    return out.select(*keys, (F.col("P") + F.col("N")).cast("long").alias("n"), F.col("P").cast("long").alias("events"), base.alias("rate"),
+        F.try_divide(F.col("_u"), F.col("P") * F.col("N")).alias("auroc"), auprc.alias("auprc"), F.try_divide(auprc, base).alias("lift"))
 
 
 def with_intervals(scores: DataFrame, keys: list[str], unit: str, units: DataFrame, statistic: str = "auroc") -> DataFrame:
@@ -46,7 +47,8 @@ def paired_bootstrap(scores: DataFrame, arm: str, a: str, b: str, unit: str, uni
     drawn = discrimination(both.join(units, unit), [arm, "b"], "w")
     d = side(drawn, a).select("b", F.col(statistic).alias("x")).join(side(drawn, b).select("b", F.col(statistic).alias("y")), "b").select((F.col("x") - F.col("y")).alias("d"))
     d = d.crossJoin(seen)
-    return d.groupBy("difference").agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), ((F.count_if(F.abs(F.col("d") - F.col("difference")) >= F.abs(F.col("difference"))) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return d.groupBy("difference").agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"),
+        ((F.count_if(F.abs(F.col("d") - F.col("difference")) >= F.abs(F.col("difference"))) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
 def delong(scores: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -88,7 +90,8 @@ def monotonicity(bins: DataFrame) -> DataFrame:
     """M6: inversions between neighbouring bins, those beyond their intervals, Spearman of bin and rate, rate ratio."""
     w = Window.orderBy("bin")  # a fixed number of bins
     b = bins.withColumn("prev", F.lag("rate").over(w)).withColumn("prev_low", F.lag("low").over(w)).withColumn("rk", F.rank().over(Window.orderBy("rate")) + (F.count(F.lit(1)).over(Window.partitionBy("rate")) - 1) / 2.0)
-    return b.agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("rate") < F.col("prev")).alias("inversions"), F.count_if(F.col("high") < F.col("prev_low")).alias("significant"), F.corr(F.col("bin").cast("double"), "rk").alias("spearman"), F.try_divide(F.max_by("rate", "bin"), F.min_by("rate", "bin")).alias("rate_ratio"))
+    return b.agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("rate") < F.col("prev")).alias("inversions"), F.count_if(F.col("high") < F.col("prev_low")).alias("significant"),
+        F.corr(F.col("bin").cast("double"), "rk").alias("spearman"), F.try_divide(F.max_by("rate", "bin"), F.min_by("rate", "bin")).alias("rate_ratio"))
 
 
 def calibration(scores: DataFrame, keys: list[str], iterations: int = 8) -> DataFrame:
@@ -104,13 +107,16 @@ def calibration(scores: DataFrame, keys: list[str], iterations: int = 8) -> Data
         t = rows.join(b, keys)
         p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
         w, r = p * (1 - p), F.col("y") - p
-        s = t.groupBy(*keys).agg(F.sum(w).alias("s0"), F.sum(w * F.col("x")).alias("s1"), F.sum(w * F.col("x") ** 2).alias("s2"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
+        s = t.groupBy(*keys).agg(F.sum(w).alias("s0"), F.sum(w * F.col("x")).alias("s1"), F.sum(w * F.col("x") ** 2).alias("s2"), F.sum(r).alias("g0"),
+            F.sum(r * F.col("x")).alias("g1"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
         det = F.col("s0") * F.col("s2") - F.col("s1") ** 2
-        step = s.filter(det > 1e-12).select(*keys, (F.col("b0") + (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det).alias("b0"), (F.col("b1") + (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det).alias("b1"), F.sqrt(F.col("s0") / det).alias("se"), "n", "rate")
+        step = s.filter(det > 1e-12).select(*keys, (F.col("b0") + (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det).alias("b0"),
+            (F.col("b1") + (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det).alias("b1"), F.sqrt(F.col("s0") / det).alias("se"), "n", "rate")
         if i == iterations - 1:
             break
         b = scan_once(step.select(*keys, "b0", "b1"), shared_path(spark, "calibration"))
-    return step.select(*keys, "n", F.col("b0").alias("intercept"), F.col("b1").alias("slope"), (F.col("b1") - 1.96 * F.col("se")).alias("slope_low"), (F.col("b1") + 1.96 * F.col("se")).alias("slope_high"), F.log(F.col("rate") / (1 - F.col("rate"))).alias("expected_intercept"))
+    return step.select(*keys, "n", F.col("b0").alias("intercept"), F.col("b1").alias("slope"), (F.col("b1") - 1.96 * F.col("se")).alias("slope_low"),
+        (F.col("b1") + 1.96 * F.col("se")).alias("slope_high"), F.log(F.col("rate") / (1 - F.col("rate"))).alias("expected_intercept"))
 
 
 def retained(site, train, near: float = 0.01):
@@ -171,7 +177,8 @@ def delong_by(scores: DataFrame, keys: list[str], key: str, a: str, b: str) -> D
     wide = v.groupBy(*keys, key, "y").agg(F.max(F.when(F.col("arm") == "a", F.col("v"))).alias("va"), F.max(F.when(F.col("arm") == "b", F.col("v"))).alias("vb"))
     s = wide.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp(F.col("va") - F.col("vb")).alias("vd"))
     pos = lambda c: F.max(F.when(F.col("y") == 1, F.col(c)))
-    one = s.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("events"), pos("ma").alias("auc_a"), pos("mb").alias("auc_b"), F.when(F.count("vd") == 2, F.sum(F.col("vd") / F.col("n"))).alias("variance"))
+    one = s.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("events"), pos("ma").alias("auc_a"),
+        pos("mb").alias("auc_b"), F.when(F.count("vd") == 2, F.sum(F.col("vd") / F.col("n"))).alias("variance"))
     one = one.withColumns({"difference": F.col("auc_a") - F.col("auc_b"), "se": F.sqrt("variance")}).withColumn("z", F.when(F.col("variance") > 1e-18, F.col("difference") / F.col("se")))
     return one.withColumn("p", F.expr(normal_tail("z"))).select(*keys, "n", "events", "auc_a", "auc_b", "difference", "se", "z", "p")
 

@@ -73,7 +73,8 @@ def cards(lines: DataFrame, replicates: DataFrame, key: str, reference: DataFram
     band = total.filter("role > 0").groupBy(key).agg(F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # one value a replicate
     line = F.struct((-F.col("l")).alias("m"), *[c for c in lines.columns if c != key])
     own = lines.groupBy(key).agg(F.sum("l").alias("score"), F.sqrt(F.sum(F.col("se") ** 2)).alias("se"), F.count_if(F.col("outside") != "").alias("extrapolated"), F.sort_array(F.collect_list(line)).alias("lines"))  # a line a signal
-    j = own.join(band, key, "left").select(key, "score", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (F.col("score") - 1.959963984540054 * F.col("se")).alias("post_low"), (F.col("score") + 1.959963984540054 * F.col("se")).alias("post_high"), "extrapolated", "lines")
+    j = own.join(band, key, "left").select(key, "score", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"),
+        (F.col("score") - 1.959963984540054 * F.col("se")).alias("post_low"), (F.col("score") + 1.959963984540054 * F.col("se")).alias("post_high"), "extrapolated", "lines")
     j = scan_once(j.withColumn("all", F.lit(1)), shared_path(lines.sparkSession, "cards"))
     j = percentile_within(j, reference.withColumn("all", F.lit(1)), ["all"], ["score", "low", "high"], "score").drop("all")
     cuts = percentiles(reference, [], "score", [i / n_bins for i in range(1, n_bins)], "cuts")

@@ -156,7 +156,8 @@ def recalibrated(df: DataFrame, score: str, y: str, fold: str, iterations: int =
     for _ in range(iterations):
         t = train.join(F.broadcast(b), "out").withColumn("p", 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col(score)))))
         w, r, x = F.col("n") * F.col("p") * (1 - F.col("p")), F.col("d") - F.col("n") * F.col("p"), F.col(score)
-        s = t.groupBy("out").agg(F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prior").alias("prior"))
+        s = t.groupBy("out").agg(F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"),
+            F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prior").alias("prior"))
         det = F.col("s0") * F.col("s2") - F.col("s1") ** 2
         solvable = F.abs(det) > 1e-12 * F.greatest(F.abs(F.col("s0") * F.col("s2")), F.lit(1e-300))
         step = lambda x, y, u, v: F.when(solvable, (F.col(x) * F.col(y) - F.col(u) * F.col(v)) / det).otherwise(0.0)

@@ -116,7 +116,8 @@ def top_k(spark, d):
     return A.top_k(_cells(spark, d), ["vec_id"], 3)
 
 
-@query("top_k_disagreement", B.sql(V + f", ta AS ({top_sql(3, 'a')}), tb AS ({top_sql(3, 'b')})", "SELECT vec_id, ((b.top & ~(a.top | a.tied)) <> 0 OR (a.top & ~(b.top | b.tied)) <> 0)::BIGINT AS disagrees FROM ta a JOIN tb b USING (vec_id)"))
+@query("top_k_disagreement", B.sql(V + f", ta AS ({top_sql(3, 'a')}), tb AS ({top_sql(3, 'b')})",
+    "SELECT vec_id, ((b.top & ~(a.top | a.tied)) <> 0 OR (a.top & ~(b.top | b.tied)) <> 0)::BIGINT AS disagrees FROM ta a JOIN tb b USING (vec_id)"))
 def top_k_disagreement(spark, d):
     """Tie-aware disagreement."""
     c = _cells(spark, d)

@@ -200,7 +200,8 @@ def source_fallback(spark, d):
     return B.rounded(lattice.fallback(r.filter("signal = 'signup'"), r.filter("signal = 'view'"), "user_id").groupBy("user_id", "bin").agg(F.max("value").alias("value")))
 
 
-@query("equivalent_dose", "SELECT l_orderkey, sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 END * l_tax) AS dose FROM lineitem GROUP BY 1".replace("sum(", "round(sum(").replace("* l_tax) AS", "* l_tax), 6) + 0.0 AS"))
+@query("equivalent_dose", "SELECT l_orderkey, sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 END * l_tax) AS dose FROM lineitem GROUP BY 1".replace("sum(",
+    "round(sum(").replace("* l_tax) AS", "* l_tax), 6) + 0.0 AS"))
 def equivalent_dose(spark, d):
     """Unit factor times potency, summed; unknown units add nothing."""
     return B.rounded(lattice.equivalent_dose(S.scan(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", "l_returnflag", {"A": 1.0, "N": 0.5}, "l_tax"))
@@ -248,7 +249,8 @@ def unit_bands(spark, d):
 @query("ordinal_components", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, signal, value::BIGINT AS value FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_quantity::INT % 7 END AS verbal, l_suppkey::INT % 6 AS motor, l_partkey::INT % 5 AS eyes FROM lineitem) UNPIVOT (value FOR signal IN (verbal, motor, eyes)) WHERE (signal = 'verbal' AND value BETWEEN 1 AND 5) OR (signal = 'motor' AND value BETWEEN 1 AND 6) OR (signal = 'eyes' AND value BETWEEN 1 AND 4)")
 def ordinal_components(spark, d):
     """Bounded ordinal components, one dropped where unassessable."""
-    l = S.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 7).alias("verbal"), (F.col("l_suppkey").cast("int") % 6).alias("motor"), (F.col("l_partkey").cast("int") % 5).alias("eyes"), (F.col("l_returnflag") == "R").cast("int").alias("unable"))
+    l = S.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 7).alias("verbal"),
+        (F.col("l_suppkey").cast("int") % 6).alias("motor"), (F.col("l_partkey").cast("int") % 5).alias("eyes"), (F.col("l_returnflag") == "R").cast("int").alias("unable"))
     return B.rounded(signals.components(l, ["l_orderkey", "l_linenumber"], {"verbal": (1, 5), "motor": (1, 6), "eyes": (1, 4)}, "unable"))
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import midrank
 from ..operators import checks as Q
 from ..operators import features, resampling, severity as V
 from ..sources import tables as S
@@ -99,7 +98,8 @@ SEVERITY = f"SELECT user_id, acute_score::BIGINT AS acute_score, acute_present::
 
 def _inputs(spark, d):
     med = lambda f, s, c: f(F.when(F.col("signal") == s, F.col(c)))
-    g = B.binned(spark, d).groupBy("user_id").agg(F.min("bin_min").alias("lo"), F.max("bin_max").alias("hi"), (F.count(F.lit(1)) % 16).cast("int").alias("gcs"), med(F.min, "view", "bin_med").alias("fio2"), med(F.max, "click", "bin_med").alias("gradient"), med(F.min, "error", "bin_max").alias("pao2"))
+    g = B.binned(spark, d).groupBy("user_id").agg(F.min("bin_min").alias("lo"), F.max("bin_max").alias("hi"), (F.count(F.lit(1)) % 16).cast("int").alias("gcs"),
+        med(F.min, "view", "bin_med").alias("fio2"), med(F.max, "click", "bin_med").alias("gradient"), med(F.min, "error", "bin_max").alias("pao2"))
     scale = dict(zip(V.APACHE_BANDS, (0.5, 1, 1, 0.4, 0.09, 1.6, 0.05, 0.03, 0.5, 0.3)))
     g = g.withColumns({f"{v}_{e}": F.col(c) * F.lit(float(k)) for v, k in scale.items() for e, c in (("min", "lo"), ("max", "hi"))})
     none = F.lit(None).cast("double")
@@ -129,7 +129,8 @@ FROM (SELECT user_id, CASE WHEN support = 1 THEN {_case('x', *V.SOFA_BANDS['resp
 def organ_score(spark, d):
     """Six organ scores with the support cap and the dose rules."""
     at = lambda f, s, c: f(F.when(F.col("signal") == s, F.col(c)))
-    g = B.binned(spark, d).groupBy("user_id").agg(at(F.max, "view", "bin_max").alias("respiration"), (at(F.min, "click", "bin_min") * 20).alias("coagulation"), at(F.min, "error", "bin_min").alias("liver"), (F.count(F.lit(1)) % 16).cast("double").alias("nervous"))
+    g = B.binned(spark, d).groupBy("user_id").agg(at(F.max, "view", "bin_max").alias("respiration"), (at(F.min, "click", "bin_min") * 20).alias("coagulation"),
+        at(F.min, "error", "bin_min").alias("liver"), (F.count(F.lit(1)) % 16).cast("double").alias("nervous"))
     u = F.col("user_id")
     g = g.withColumns({"renal": F.col("liver") / 2, "map_min": F.col("respiration"), "support": (u % 2).cast("int"), "vasopressor": (u % 4 == 0).cast("int"), "inotrope": (u % 3 == 0).cast("int"), "dose": F.when(u % 8 != 0, (u % 5) / 20.0)})
     return V.organ_score(g).select("user_id", "organ_score", "organs_present")

@@ -10,7 +10,8 @@ from .registry import query
 
 
 @query("expressions", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in (
-    ("least_greatest", "least(greatest(l_discount, l_tax), 0.05)"), ("ratio", "l_extendedprice / nullif(l_tax, 0)"), ("logs", "ln(l_quantity) + ln(1 + l_discount)"), ("squashed", "1 / (1 + exp(-(l_quantity - 25) / 10))"))) + ", nullif(l_returnflag, 'N') AS flag, upper(trim(l_linestatus)) || '-' || lower(l_returnflag) AS label, floor(l_extendedprice / 1000)::BIGINT AS thousands FROM lineitem")
+    ("least_greatest", "least(greatest(l_discount, l_tax), 0.05)"), ("ratio", "l_extendedprice / nullif(l_tax, 0)"), ("logs", "ln(l_quantity) + ln(1 + l_discount)"),
+        ("squashed", "1 / (1 + exp(-(l_quantity - 25) / 10))"))) + ", nullif(l_returnflag, 'N') AS flag, upper(trim(l_linestatus)) || '-' || lower(l_returnflag) AS label, floor(l_extendedprice / 1000)::BIGINT AS thousands FROM lineitem")
 def expressions(spark, d):
     """Conditionals, strings and mathematics."""
     c = F.col
@@ -24,7 +25,9 @@ def expressions(spark, d):
 def aggregates(spark, d):
     """X7."""
     r4 = lambda c: F.round(c, 4) + F.lit(0.0)
-    return S.scan(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"), r4(F.avg("l_quantity")).alias("mean_q"), r4(F.var_pop("l_quantity")).alias("var_q"), r4(F.covar_pop("l_quantity", "l_discount")).alias("covariance"), r4(F.corr("l_quantity", "l_extendedprice")).alias("correlation"), r4(F.expr("percentile_disc(0.5) within group (order by l_extendedprice)")).alias("median_price"))
+    return S.scan(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"),
+        F.count_if(F.col("l_discount") > 0.05).alias("discounted"), r4(F.avg("l_quantity")).alias("mean_q"), r4(F.var_pop("l_quantity")).alias("var_q"),
+            r4(F.covar_pop("l_quantity", "l_discount")).alias("covariance"), r4(F.corr("l_quantity", "l_extendedprice")).alias("correlation"), r4(F.expr("percentile_disc(0.5) within group (order by l_extendedprice)")).alias("median_price"))
 
 
 @query("windows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, row_number() OVER w AS rn, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS dr, round(lead(l_quantity) OVER w, 6) + 0.0 AS next_q, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2 AS mid FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag)")
