@@ -31,17 +31,17 @@ FEATURES = {
 # the words themselves and keep what is equal again; then add up how many words
 # each such window covers beyond the next one. Digests only spare comparisons.
 _TWICE = "filter({0}, (x, k) -> x.h <=> get({0}, k - 1).h or x.h <=> get({0}, k + 1).h)"
-_WINDOW = "array_join(slice(of_words.words, x.i + 1, 3), ' ')"
+_WINDOW = "array_join(slice(o.words, x.i + 1, 3), ' ')"
 _COVERED = f"""
 aggregate(
   transform(array(array_sort(transform({_TWICE.format('t')}, x -> x.i))),
     p -> aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1), x + 3) - x)), 0L, (a, x) -> a + x)),
   0L, (a, x) -> a + x)"""
 _REPEATED = f"""
-transform(array(of_words.windows), h ->
+transform(array(of_words), o -> transform(array(o.windows), h ->
   if(size(array_distinct(h)) = size(h), 0L,
      transform(array(sort_array(transform(h, (x, k) -> struct(x as h, k as i)))), s ->
-       transform(array(sort_array(transform({_TWICE.format('s')}, x -> struct({_WINDOW} as h, x.i as i)))), t -> {_COVERED})[0])[0]))[0]"""
+       transform(array(sort_array(transform({_TWICE.format('s')}, x -> struct({_WINDOW} as h, x.i as i)))), t -> {_COVERED})[0])[0]))[0])[0]"""
 DIGEST = "xxhash64(x, get(w, k + 1), get(w, k + 2))"
 # Everything that needs the words takes them as one lambda argument, so the text
 # is split once however the optimiser merges projections.
