@@ -198,7 +198,7 @@ def test_trees_use_lexical_features_and_judge_apart(spark):
     labelled = df.filter("rule is not null").withColumn("label", F.col("rule").isin("net/", "example.com/de/").cast("int"))
     model = U.train(labelled)
     used = {f for t in model.trees for f, _ in t.split.values()}
-    assert len(used - {"suffix_rate"}) >= 3
+    assert len(used - {"suffix_rate", "suffix_share"}) >= 3
     got = U.op2_url_filter(spark, d).filter("rule is null")
     assert got.select("verdict").distinct().count() == 2 and got.select("probability").distinct().count() > 20
 

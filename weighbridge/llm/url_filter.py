@@ -18,7 +18,7 @@ from .common import ascii_lower, hashed_share, table, written
 
 #: host/path prefix -> verdict; the longest fitting rule wins.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "has_fragment", "last_segment_length", "suffix_rate", "suffix_share"]
 _ENTROPY = """
 if(length(_u) = 0, 0D, aggregate(
   transform(array_distinct(split(_u, '')), c -> cast(length(_u) - length(replace(_u, c, '')) as double) / length(_u)),
@@ -99,20 +99,22 @@ class Boosted:
 
 def with_suffix(df: DataFrame, model: Boosted) -> DataFrame:
     """Joins the suffix statistics; their table is bounded by the training sample and broadcast."""
-    rate = F.lit(model.base_rate)
+    rate, share = F.lit(model.base_rate), F.lit(0.0)
     if model.suffixes is not None:
         df = df.join(F.broadcast(model.suffixes), "suffix", "left")
-        rate = F.coalesce("suffix_rate", rate)
-    return df.withColumn("suffix_rate", rate)
+        rate, share = F.coalesce("suffix_rate", rate), F.coalesce("suffix_share", share)
+    return df.withColumns({"suffix_rate": rate, "suffix_share": share})
 
 
 def out_of_fold(rows: DataFrame, base: float, smooth: float, folds: int = 5) -> DataFrame:
-    """Adds to the training rows their suffix's smoothed share of blocked rows, without the row's own hash fold."""
+    """Adds to the training rows their suffix's smoothed share of blocked rows and its share of all rows, both without the row's own hash fold."""
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("key", "url", F.lit(22)), F.lit(folds)))
     by_fold = rows.groupBy("suffix", "_fold").agg(F.sum("label").alias("_s"), F.count("label").alias("_k"))
     whole = by_fold.groupBy("suffix").agg(F.sum("_s").alias("_all_s"), F.sum("_k").alias("_all_k"))
-    rest = by_fold.join(whole, "suffix").select("suffix", "_fold", (F.col("_all_s") - F.col("_s")).alias("_s"), (F.col("_all_k") - F.col("_k")).alias("_k"))
-    rest = rest.withColumn("suffix_rate", (F.col("_s") + smooth * base) / (F.col("_k") + smooth)).drop("_s", "_k")
+    n = rows.groupBy("_fold").agg(F.count("label").alias("_n")).withColumn("_others", F.lit(rows.count()) - F.col("_n")).drop("_n")
+    seen = (F.col("_all_k") - F.col("_k")).cast("double")
+    rate = (F.col("_all_s") - F.col("_s") + smooth * base) / (seen + smooth)
+    rest = by_fold.join(whole, "suffix").join(F.broadcast(n), "_fold").select("suffix", "_fold", rate.alias("suffix_rate"), F.coalesce(F.try_divide(seen, F.col("_others")), F.lit(0.0)).alias("suffix_share"))  # n: a row a fold
     return rows.join(rest, ["suffix", "_fold"]).drop("_fold")
 
 
@@ -165,11 +167,11 @@ def boost(rows: DataFrame, n_trees: int = 10, depth: int = 3, rate: float = 0.4,
 def train(labelled: DataFrame, sample_rows: int = 20_000, rate: float = 0.4, smooth: float = 4.0) -> Boosted:
     """labelled: host, path, lexical features, key, url, label (1: block). Fits on about sample_rows of them, by hash."""
     rows = written(labelled.filter(hashed_share("key", 21, sample_rows / max(1, labelled.count()))), "url-train")
-    base = rows.agg(F.avg("label")).first()[0]
+    base, n_rows = rows.agg(F.avg("label"), F.count("label")).first()
     if base is None:
         return Boosted(0.0, rate, [])
     model = Boosted(0.0, rate, [], base_rate=base)
-    model.suffixes = rows.groupBy("suffix").agg(((F.sum("label") + smooth * base) / (F.count("label") + smooth)).alias("suffix_rate"))
+    model.suffixes = rows.groupBy("suffix").agg(((F.sum("label") + smooth * base) / (F.count("label") + smooth)).alias("suffix_rate"), (F.count("label") / F.lit(float(n_rows))).alias("suffix_share"))
     fit = written(out_of_fold(rows, base, smooth).select("label", *FEATURES), "url-fit")
     model.prior, model.trees = boost(fit, rate=rate, base_rate=base)
     return model
