@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import band, logit, spearman
 
-# Published bands of the acute physiology score and of the organ failure score.
+# Published bands of the acute physiology score (Knaus et al., Crit Care Med 1985;13:818-829) and of the organ failure
+# score (Vincent et al., Intensive Care Med 1996;22:707-710).
 # variable -> (right-open breaks, points); the last points hold from the last break on.
 APACHE_BANDS = {
     "temperature": ([30.0, 32.0, 34.0, 36.0, 38.5, 39.0, 41.0], [4, 3, 2, 1, 0, 1, 3, 4]),
