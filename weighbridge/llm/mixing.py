@@ -222,7 +222,8 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     """Mixes all documents; one row per row. Null texts have no words; rows that repeat id, source and size are taken alike;
-    an empty table gives no rows; other columns are ignored."""
+    equal sizes are told apart by a hash of the id; very long texts are counted whole and decided first; an empty table gives no rows;
+    other columns are ignored."""
     out = mix(sizes(table(spark, sf_dir, "documents"))).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 

@@ -345,7 +345,8 @@ def encode(docs: DataFrame, model_data: bytes, text_col: str = "text", check_dec
     with check_decoding also decodes: whether the ids decode to the text.
 
     A null text has null ids and null parity; an empty one has no ids. Columns of docs named
-    ids or parity are replaced. The model is a file of bounded size; the driver rebuilds it once
+    ids, parity or decodes are replaced. Of pieces that could be merged with one score the first in the text is, and of unigram
+    segmentations that tie the one that the library takes. The model is a file of bounded size; the driver rebuilds it once
     and it goes to the executors with the code.
     """
     docs = docs.drop("ids", "parity", "decodes")
