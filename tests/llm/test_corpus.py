@@ -810,6 +810,30 @@ def test_codewords_are_apart():
         assert k < 3 or min((c[i] != c[j]).sum() for i in range(k) for j in range(i)) >= 2
 
 
+def test_star_steps_stop_at_stars_and_join_little_at_once(spark, monkeypatch):
+    """The driver holds every plan and its broadcasts: links that are stars take no step, and no written table's plan has more than three joins."""
+    from weighbridge.llm import jaccard_join as J
+
+    made = []
+
+    def recorded(df, name, write=J.written):
+        made.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return write(df, name)
+
+    monkeypatch.setattr(J, "written", recorded)
+    stars = [(1, 2), (3, 1), (7, 8)]
+    assert sorted(J.components(spark.createDataFrame(stars, "a long, b long")).collect()) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert len(made) == 1
+    rng, nodes = random.Random(5), list(range(-30, 30))
+    rng.shuffle(nodes)
+    chain = [*zip(nodes[:40], nodes[1:40]), (nodes[0], nodes[0]), *[(nodes[50], n) for n in nodes[51:]], (nodes[1], nodes[0])]
+    low = {n: min(part) for part in (nodes[:40], nodes[50:]) for n in part}
+    assert dict(J.components(spark.createDataFrame(chain, "a long, b long")).collect()) == low
+    assert J.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    J.jaccard_components(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert max(joins for _, joins in made) <= 3
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 
 

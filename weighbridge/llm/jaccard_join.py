@@ -280,21 +280,23 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, overlap long, united long").dropDuplicates(["a", "b"])
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """No node of edges u > v has two edges upwards, or edges both ways: the star steps would leave them as they are."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").count()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links a, b: node and the smallest node of its component (alternating large and small stars)."""
+    """links a, b: node and the smallest node of its component (alternating large and small stars, each from a written table)."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "cc")
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = written(large, "cc")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.filter("u > v").distinct(), "cc")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -351,7 +353,7 @@ def _links(lists, weight, n_classes, texts, percent, size, rounds) -> DataFrame:
         met = met.groupBy("sig", F.col("top.sig").alias("pivot")).count()
         best = met.groupBy("sig").agg(F.max(F.struct("count", "pivot")).alias("m")).select("sig", F.col("m.pivot").alias("pivot"))
         pairs = best.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(compared(pairs, texts, size), "jj-compared")
+        new = written(compared(written(pairs, "jj-pairs"), texts, size), "jj-compared")
         seen = seen.unionByName(new)
         n_new = new.filter(is_link).count()
         if n_new:
@@ -364,13 +366,14 @@ def _links(lists, weight, n_classes, texts, percent, size, rounds) -> DataFrame:
     # each set keeps its distance to the most compared of the sets that it was compared with
     times = to.groupBy("p").agg(F.count(F.lit(1)).alias("times"))
     nearest = to.join(times, "p").groupBy("sig").agg(F.max(F.struct("times", "p", "d")).alias("m")).select("sig", F.col("m.p").alias("near"), F.col("m.d").alias("far"))
+    nearest = written(nearest, "jj-nearest")
     centres = nearest.select(F.col("near").alias("sig")).distinct().withColumn("own", F.lit(True))
     about = written(comp.join(nearest, "sig", "left").join(centres, "sig", "left"), "jj-about")
     near = F.when(F.col("own"), F.col("sig")).otherwise(F.coalesce("near", "sig"))
     about = about.select("sig", "comp", near.alias("near"), F.when(F.col("own") | F.col("near").isNull(), 0.0).otherwise(F.col("far")).alias("far"))
     at = lists.drop("df").join(broadcast_if_small(about, n_classes, 48), "sig")
     pairs = open_pairs(at, percent).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    return seen.unionByName(written(compared(pairs, texts, size), "jj-compared")).filter(is_link).select("a", "b")
+    return seen.unionByName(written(compared(written(pairs, "jj-pairs"), texts, size), "jj-compared")).filter(is_link).select("a", "b")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
