@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weighbridge.functions.scalars import band, capped_age, first_match, percentiles, poisson_weight, prefix_sums, spearman
+from weighbridge.functions.scalars import band, capped_age, first_match, mean_above, percentiles, poisson_weight, prefix_sums, spearman
 from weighbridge.operators import attribution as A
 from weighbridge.operators import checks, lattice, likelihood, metrics, resampling, severity
 from weighbridge.sources import tables
@@ -238,3 +238,21 @@ def test_percentiles_and_rank_correlation_equal_plain_ones(spark):
     assert np.allclose(percentiles(df, [], "x", at).first().q, p.x.quantile(at).tolist())
     assert percentiles(df.limit(0), [], "x", [0.5]).first().q == [None]
     assert percentiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
+
+
+def test_verdicts_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from weighbridge.plans import registry
+
+    tied = [0.02, 0.03, 0.1]  # mean 0.05; as doubles they add up to more in this order
+    assert (0.02 + 0.03 + 0.1) / 3 > 0.05 >= (0.1 + 0.03 + 0.02) / 3
+    rows = [(s, 30.0, x, 0.08) for s, v in ((1, tied), (2, tied[::-1]), (3, [0.06, 0.05, 0.05])) for x in v]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.l_suppkey: r.verdict for r in registry.QUERIES["verdicts"](spark, str(tmp_path)).collect()} == {1: "trade_off", 2: "trade_off", 3: "admissible"}
+
+
+def test_mean_above_of_odd_values(spark):
+    nan, inf = float("nan"), math.inf
+    cases = {"nan": ([nan, 0.0], True), "inf": ([inf, 0.0], True), "low": ([-inf, 0.9], False), "large": ([1e300, 0.0], True), "tiny": ([0.05, 0.05 + 1e-17], True), "less": ([0.05, 0.05 - 2e-17], False), "places": ([5e-324, 0.1], False), "mixed": ([2e6, -2e6, 0.1, 0.05, 1e-17], False), "negative": ([-0.1, 0.2], False),
+             "unknown": ([None, None], None), "some": ([None, 0.06], True), "tie": ([None, 0.05], False), "below": ([0.04, 0.05], False)}
+    df = spark.createDataFrame([(k, x) for k, (v, _) in cases.items() for x in v], "k string, x double")
+    assert {r.k: r.above for r in df.groupBy("k").agg(mean_above("x", "0.05").alias("above")).collect()} == {k: w for k, (_, w) in cases.items()}

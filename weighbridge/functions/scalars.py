@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,24 @@ def poisson_weight(*parts: Column) -> Column:
     return out.cast("long")
 
 
+def mean_above(value: str, cut: str) -> Column:
+    """Aggregate: whether the mean of the known values is above cut, a decimal as text.
+
+    Sums of doubles depend on the order of rows, which would decide means that equal cut. Whole millionths and, of the values that these
+    do not hold, decimals add up the same in any order. Values beyond 18 places or 10 digits before them (and NaN, infinities, sums
+    over 9e12) leave it to the mean of doubles.
+    """
+    x = F.col(value).cast("double")
+    millionths = F.when(F.abs(x) < 1e6, F.rint(x * 1e6).cast("long"))
+    whole = F.coalesce(millionths / 1e6 == x, F.lit(False))
+    rest = F.when(~whole, x)
+    exact = rest.try_cast("decimal(28,18)")
+    held = (F.count(x) > 0) & (F.count_if(exact.cast("double") == rest) == F.count(rest))
+    others = F.coalesce(F.try_sum(exact), F.when(F.count(rest) == 0, F.lit(0).cast("decimal(38,18)")))
+    missing = F.count(x) * F.lit(Decimal(cut)) - F.try_sum(F.when(whole, millionths).otherwise(0)) * F.lit(Decimal("0.000001"))
+    return F.coalesce(F.when(held, others > missing.cast("decimal(38,18)")), F.avg(x) > F.lit(float(cut)))
+
+
 def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 

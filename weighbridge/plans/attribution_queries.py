@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percentiles
+from ..functions.scalars import mean_above, percentiles
 from ..operators import attribution as A
 from ..operators import resampling
 from ..sources import tables as S
@@ -255,7 +255,7 @@ def bands(spark, d):
 @query("verdicts", "SELECT l_suppkey, CASE WHEN d IS NULL THEN 'unscored' WHEN d = 0 THEN 'excluded' WHEN s + r + d = 3 THEN 'admissible' WHEN s + r + d = 2 THEN 'trade_off' ELSE 'excluded' END AS verdict FROM (SELECT l_suppkey, (avg(l_discount) > 0.05)::INT AS s, (avg(l_tax) > 0.04)::INT AS r, CASE WHEN l_suppkey % 7 <> 0 THEN (avg(l_quantity) > 25)::INT END AS d FROM lineitem GROUP BY 1)")
 def verdicts(spark, d):
     """Selection rules."""
-    g = B.scan(spark, d, "lineitem").groupBy("l_suppkey").agg((F.avg("l_discount") > 0.05).cast("int").alias("stability"), (F.avg("l_tax") > 0.04).cast("int").alias("resolution"), (F.avg("l_quantity") > 25).cast("int").alias("q"))
+    g = B.scan(spark, d, "lineitem").groupBy("l_suppkey").agg(*[mean_above(c, cut).cast("int").alias(name) for name, c, cut in (("stability", "l_discount", "0.05"), ("resolution", "l_tax", "0.04"), ("q", "l_quantity", "25"))])
     return A.verdict(g.withColumn("discrimination", F.when(F.col("l_suppkey") % 7 != 0, F.col("q")))).select("l_suppkey", "verdict")
 
 
