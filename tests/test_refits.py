@@ -225,3 +225,31 @@ def test_fewer_rounds_are_a_prefix_of_more(rows):
     wide = rows.select("y", F.col("z_a").alias("a"), F.col("z_b").alias("b"))
     three, five = (G.boost(wide, ["a", "b"], "y", {0: F.lit(1)}, rounds=n).trees[0] for n in (3, 5))
     assert all(np.allclose(p, q) for s, t in zip(three, five[:3]) for p, q in zip(s, t))
+
+
+def test_refits_read_the_events_once(spark, monkeypatch):
+    from weighbridge.plans import base as B
+    from weighbridge.plans import registry
+
+    Q = registry.refit_queries
+    d, events, reads = "/root/testdata/sf0.001", B.events, []
+    state, intake = B.pressor_bins(spark, d), B.signup_bins(spark, d)
+    want = Q._rows(spark, d).select("user_id", "signal", "fold", "y", *Q.COVARIATES)
+    want = want.join(state.groupBy("user_id").agg(F.count(F.lit(1)).alias("active")), "user_id", "left").join(intake.groupBy("user_id").agg(F.round(F.sum("intensity"), 2).alias("intake")), "user_id", "left")
+    want = sorted(map(tuple, want.fillna(0, ["active", "intake"]).collect()))
+    monkeypatch.setattr(B, "events", lambda *a: reads.append(a) or events(*a))
+    got = sorted(map(tuple, Q._covariates(spark, d).collect()))
+    assert len(reads) == 1
+    assert len(got) == len(want) > 0 and all(a[:4] == b[:4] and np.allclose(a[4:], b[4:]) for a, b in zip(got, want))
+
+
+def test_keys_are_ranked_once_for_all_permutations(spark, monkeypatch):
+    from weighbridge.operators import stability as T
+
+    sums, groups = T.prefix_sums, []
+    monkeypatch.setattr(T, "prefix_sums", lambda df, keys, *a, **k: groups.append(keys) or sums(df, keys, *a, **k))
+    df = spark.createDataFrame([(i, None if i % 3 else "s", i % 2, float(i), float(-i)) for i in range(30)], "user_id long, signal string, y int, a double, b double")
+    got = T.permuted_blocks(df, "user_id", ["y"], ["b"], 4, 1).collect()
+    assert groups == [["y"], ["y", "variant"]]
+    assert len(got) == 120 and all(sorted(r.b for r in got if r.variant == v and r.y == y) == [float(-i) for i in range(29, -1, -1) if i % 2 == y] for v in (1, 2, 3, 4) for y in (0, 1))
+    assert sorted((r.user_id, r.a) for r in got if r.variant == 1) == [(i, float(i)) for i in range(30)]
